@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import chat_format, exact_dedup, secret_scan
-from terraloom.llm.common import table
+from terraloom.llm import best_fit_packing, chat_format, exact_dedup, quality, secret_scan, sharding, toxicity, url_filter
+from terraloom.llm.common import crc32_fold, table
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,31 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def _judged(scored: DataFrame, folds: int, held: int) -> DataFrame:
+    return scored.select(
+        "doc_id",
+        (crc32_fold(F.col("doc_id"), folds) == held).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels are learned only where crc32(doc_id) mod 4 is not 2."""
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda i: crc32_fold(i, 4) != 2)
+    return _judged(scored, 4, 2)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; labels are learned only where crc32(doc_id) mod 5 is not 0."""
+    scored = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), lambda i: crc32_fold(i, 5) != 0)
+    return _judged(scored, 5, 0)
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, which holds control strings; all columns are read back from the output."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -42,6 +67,14 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign_shards(table(spark, sf_dir, "documents"), 40)
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 OP2_SQL = """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
        count(*) over (partition by coalesce(text, '')) as group_size,
@@ -77,7 +110,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_toxicity": op3_toxicity,
+        "op4_url_filter": op4_url_filter,
+        "op5_quality": op5_quality,
         "op6_chat_format": op6_chat_format,
+        "op7_sharding": op7_sharding,
+        "op8_best_fit_packing": op8_best_fit_packing,
     }
 
 
