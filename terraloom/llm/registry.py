@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import best_fit_packing, chat_format, exact_dedup, quality, secret_scan, sharding, toxicity, url_filter
+from terraloom.llm import best_fit_packing, chat_format, decontamination, exact_dedup, quality, secret_scan, sharding, toxicity, url_filter
 from terraloom.llm.common import crc32_fold, table
 
 
@@ -75,6 +75,10 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 OP2_SQL = """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
        count(*) over (partition by coalesce(text, '')) as group_size,
@@ -105,6 +109,32 @@ select conv_id, count(*) as n_turns,
 from sized group by conv_id
 """
 
+OP9_SQL = r"""
+with words as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from documents
+), items as (
+  select item_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> ''] as w from benchmark
+), needles as (
+  select distinct item_id, least(len(w), 10) as n, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') as gram
+  from items, lateral (select unnest(range(1, len(w) - least(len(w), 10) + 2)) as i) t where len(w) > 0
+), grams as (
+  select doc_id, n, i, array_to_string(w[i : i + n - 1], ' ') as gram
+  from words, (select distinct n from needles) sizes, lateral (select unnest(range(1, len(w) - n + 2)) as i) t
+), hits as (
+  select doc_id, item_id, i, g.n from grams g join needles d on g.gram = d.gram and g.n = d.n
+), covered as (
+  select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + n)) as p from hits) group by doc_id
+), matched as (
+  select doc_id, count(*) as n_items, string_agg(id, ',' order by id) as ids
+  from (select distinct doc_id, item_id::varchar as id from hits) group by doc_id
+)
+select w.doc_id, len(w.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words w left join covered using (doc_id) left join matched using (doc_id)
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -116,8 +146,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_chat_format": op6_chat_format,
         "op7_sharding": op7_sharding,
         "op8_best_fit_packing": op8_best_fit_packing,
+        "op9_decontamination": op9_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
