@@ -317,10 +317,9 @@ def debounce(spark, sf_dir):
 
 
 def stream_requests(spark, sf_dir):
-    """Requests that come twice, with their areas' terrain, read as a stream of the shared folder and written as a table."""
-    static = _requests_of(spark, sf_dir)
+    """Requests that come twice, with their areas' terrain: the batch twin of the stream."""
     terrain = zonal.classify_terrain(_elevation(spark, sf_dir)).select("aoi_id", "terrain_type")
-    return streams.enrich_requests(static, terrain).select("request_id", "aoi_id", "terrain_type")
+    return streams.enrich_requests(_requests_of(spark, sf_dir), terrain).select("request_id", "aoi_id", "terrain_type")
 
 
 def _requests_of(spark, sf_dir):
