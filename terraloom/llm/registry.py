@@ -35,7 +35,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+    return url_filter.filter_urls(table(spark, sf_dir, "pages")).withColumn("score", F.round("score", 9))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +91,38 @@ select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
 from documents
 """
 
+def _op4_sql() -> str:
+    rules = sorted(url_filter.RULES, key=lambda r: -len(r.text))
+    by = lambda pick: "case " + " ".join(f"when (host = '{r.host}' or ends_with(host, '.{r.host}')) and starts_with(path, '{r.path}') then '{pick(r)}'" for r in rules) + " end"
+    m, levels, odds = url_filter.SMOOTHING, "", ""
+    for k in range(url_filter.ORDER - 1, -1, -1):
+        levels += f", n{k} as (select substr(gram, 2) as gram, sum(good) as good, sum(bad) as bad from n{k + 1} group by 1)"
+    for k in range(url_filter.ORDER + 1):
+        context = f"(partition by substr(n{k}.gram, 1, {k}))"
+        below = (f"p{k - 1}.good", f"p{k - 1}.bad") if k else (f"{1 / url_filter.ALPHABET!r}::double",) * 2
+        joined = f"n{k} join p{k - 1} on p{k - 1}.gram = substr(n{k}.gram, 2)" if k else "n0"
+        p = lambda i, c: f"(n{k}.{c} + {m}::double * {below[i]}) / (sum(n{k}.{c}) over {context} + {m}::double) as {c}"  # noqa: B023, E731
+        odds += f", p{k} as (select n{k}.gram, {p(0, 'good')}, {p(1, 'bad')} from {joined})"
+    return f"""
+with rows as (select distinct page_id, coalesce(url, '') as url from pages),
+parts as (select *, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+  regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path, substr(md5(url), 1, 1) not in ('0', '1', '2') as counted from rows),
+ruled as (select *, {by(lambda r: r.text)} as rule, {by(lambda r: r.action)} as decided from parts),
+grams as (select *, substr(repeat(chr(2), {url_filter.ORDER}) || url || chr(3), i, {url_filter.ORDER + 1}) as gram
+  from ruled, lateral (select unnest(range(1, length(url) + 2)) as i) t),
+n{url_filter.ORDER} as (select gram, sum(case when counted and decided = 'allow' then 1 else 0 end) as good,
+  sum(case when counted and decided = 'block' then 1 else 0 end) as bad from grams group by gram){levels}{odds},
+scored as (select page_id, url, avg(ln(good) - ln(bad)) as score from grams join p{url_filter.ORDER} using (gram) group by page_id, url),
+held as (select decided, avg(score) as m, coalesce(stddev_samp(score), 0) as sd from ruled r join scored s on r.page_id is not distinct from s.page_id and r.url = s.url
+  where not counted and decided is not null group by decided),
+line as (select coalesce((select case when a.sd + b.sd > 0 then (a.m * b.sd + b.m * a.sd) / (a.sd + b.sd) else (a.m + b.m) / 2 end
+  from held a, held b where a.decided = 'allow' and b.decided = 'block'), 0) as t)
+select p.page_id, host, path, rule, coalesce(decided, case when score >= t then 'allow' else 'block' end) as verdict, round(score, 9) as score
+from pages p join ruled r on p.page_id is not distinct from r.page_id and coalesce(p.url, '') = r.url
+join scored s on s.page_id is not distinct from r.page_id and s.url = r.url, line
+"""
+
+
 # The template's marks: 15 characters around a system turn, 13 around a user turn, 7 around an assistant turn.
 OP6_SQL = r"""
 with turns as (
@@ -139,6 +171,27 @@ select w.doc_id, len(w.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
 from words w left join covered using (doc_id) left join matched using (doc_id)
 """
 
+OP10_SQL = r"""
+with recursive words as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x20\x09-\x0D]+') if x <> ''] as w from documents
+), grams as (
+  select distinct doc_id, array_to_string(w[i : i + 3], ' ') as gram
+  from words, lateral (select unnest(range(1, greatest(len(w) - 2, 2))) as i) t where len(w) > 0
+), sizes as (
+  select doc_id, count(*) as n from grams group by doc_id
+), shared as (
+  select a.doc_id as x, b.doc_id as y, count(*) as c from grams a join grams b on a.gram = b.gram and a.doc_id <> b.doc_id group by all
+), links as (
+  select x, y from shared join sizes a on a.doc_id = x join sizes b on b.doc_id = y where 100 * c >= 85 * (a.n + b.n - c)
+), reach as (
+  select doc_id, doc_id as other from documents
+  union
+  select reach.doc_id, links.y from reach join links on links.x = reach.other
+)
+select doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_id from reach left join sizes using (doc_id) group by doc_id
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
@@ -156,4 +209,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_url_filter": _op4_sql(), "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_ngram_join": OP10_SQL}

@@ -27,8 +27,8 @@ from terraloom.llm.common import cut, small_side
 ORDER = 4
 SMOOTHING = 4.0
 ALPHABET = 256.0
-#: One in so many rule-decided URLs calibrates the threshold; the models don't count it.
-HELD_OUT = 5
+#: Rule-decided URLs whose MD5 starts with one of these calibrate the threshold; the models don't count them.
+HELD_OUT = ("0", "1", "2")
 START, END = "\u0002", "\u0003"
 
 
@@ -106,7 +106,7 @@ def _with_rules(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         {
             "rule": _decided(F.col("host"), F.col("path"), rules, lambda r: r.text),
             "decided": _decided(F.col("host"), F.col("path"), rules, lambda r: r.action),
-            "counted": F.pmod(F.crc32("url"), F.lit(HELD_OUT)) != 0,
+            "counted": ~F.substring(F.md5("url"), 1, 1).isin(*HELD_OUT),
         }
     )
 
