@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = cut(large.where(F.col("a") != F.col("b")).distinct())
+        edges = large.where(F.col("a") != F.col("b")).distinct()
         least = edges.groupBy("a").agg(F.min("b").alias("m"))
         small = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         edges = cut(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

@@ -4,8 +4,8 @@ A document's set holds the hashes of its distinct word 4-grams. Equal sets are o
 ordered by how often their members' hash buckets occur in the corpus, rare first, and each set is listed under the
 members of its prefix only: two sets that are similar enough share a prefix member.
 
-1. *Derived answers.* In each list the sets are compared with the list's leader. Sets that link with it are connected,
-   so the pairs among them need no comparison: their answers follow from the leader's.
+1. *Derived answers.* In crowded lists the sets are compared with the list's leaders, where sizes and places allow a link.
+   Sets that link with a leader are connected, so the pairs among them need no comparison: their answers follow from the leader's.
 2. *Block skipping.* Lists whose sets are all connected are skipped whole. In the others the entries are grouped in
    blocks by set size and by the member's position; pairs of blocks are skipped when the sizes or the positions
    leave too few members to share. Entries of the remaining block pairs that aren't connected yet are compared.
@@ -14,8 +14,7 @@ Comparisons are exact on whole sets (64-bit hashes). No list, candidate or partn
 connected components, computed by joins. Order matters for speed only; the counts behind it come from all rows.
 
 Words are separated by blanks, tabs and line ends; A-Z count as a-z. Null and blank texts have an empty set and no
-links; with fewer words than n the sequence is one member. Equal ids with different texts are one node of the result:
-each gets the id's least component. An empty table gives an empty result. Other columns are carried or ignored.
+links; with fewer words than n the sequence is one member. Rows of equal id are judged each by its own text. An empty table gives an empty result. Other columns are carried or ignored.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -37,30 +37,54 @@ NGRAM, PERCENT = 4, 85
 #: Counts of members by hash bucket; they order the members. 1 Mi buckets, in 16 parts.
 SKETCH_BITS, SKETCH_PARTS = 20, 16
 REMEMBERED = 200_000
+#: How many leaders a list has at most.
+LEADERS = 64
+#: Leaders are used where comparing lists in full would take more than so many comparisons an entry.
+FEW = 4
+#: Sets that a worker keeps while it compares pairs.
+KEPT_SETS = 4096
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
 
 
 class Hasher:
     """Sets of texts, with the words' hashes remembered up to a bound."""
 
     def __init__(self, n: int = NGRAM):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """The sorted distinct hashes of the text's word n-grams."""
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        if not words:
-            return np.zeros(0, np.uint64)
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        known.update((w, xxhash.xxh3_64_intdigest(w)) for w in set(words).difference(known))
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        size = min(self.n, len(words))
-        out = np.full(len(words) - size + 1, size, np.uint64)
-        for k in range(size):
-            out = (out ^ h[k : k + len(out)]) * np.uint64(0x9E3779B97F4A7C15)
-            out ^= out >> np.uint64(29)
-        return np.unique(out)
+        self.n, self.known = n, _WordHashes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        """Of each text the sorted distinct hashes of its word n-grams."""
+        lists = [t.encode("utf-8", "surrogatepass").lower().split() for t in texts]
+        if len(self.known) > REMEMBERED:
+            self.known = _WordHashes()
+        counts = list(map(len, lists))
+        h = np.fromiter(map(self.known.__getitem__, chain.from_iterable(lists)), np.uint64, sum(counts))
+        # The n-grams of all texts in one go; those that reach into the next text are passed over.
+        full = np.full(max(0, len(h) - self.n + 1), self.n, np.uint64)
+        for k in range(self.n):
+            full = _mixed(full, h[k : k + len(full)])
+        out, at = [], 0
+        for count in counts:
+            if count >= self.n:
+                members = np.sort(full[at : at + count - self.n + 1])
+                out.append(members[np.flatnonzero(np.diff(members, prepend=~members[:1]))])
+            else:  # the sequence as a whole
+                one = np.full(min(1, count), count, np.uint64)
+                for k in range(count):
+                    one = _mixed(one, h[at + k : at + k + 1])
+                out.append(one)
+            at += count
+        return out
+
+
+def _mixed(state: np.ndarray, words: np.ndarray) -> np.ndarray:
+    state = (state ^ words) * np.uint64(0x9E3779B97F4A7C15)
+    return state ^ (state >> np.uint64(29))
 
 
 def set_id(members: np.ndarray) -> int:
@@ -81,16 +105,11 @@ def _scan(n: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, counts, any_row = Hasher(n), np.zeros(1 << SKETCH_BITS, np.int64), False
-        for f in batches(frames, 1024):
-            rows = []
-            for doc_id, text_hash, text in zip(f["doc_id"], f["text_hash"], f["text"], strict=True):
-                members = sets(text)
-                counts += np.bincount((members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts)) if len(members) > 100_000 else 0
-                if len(members) <= 100_000:
-                    at, times = np.unique((members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), return_counts=True)
-                    counts[at] += times
-                any_row = True
-                rows.append((doc_id, text_hash, len(members), set_id(members) if len(members) else None, None, None))
+        for f in batches(frames):
+            found = sets(f["text"].tolist())
+            counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            rows = [(i, h, len(m), set_id(m) if len(m) else None, None, None) for i, h, m in zip(f["doc_id"], f["text_hash"], found, strict=True)]
+            any_row = True
             yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "set_id", "part", "counts"]).astype({"doc_id": "Int64", "set_id": "Int64", "part": "Int64"})
         if any_row:
             parts = [(None, None, None, None, i, zlib.compress(c.astype("<u4").tobytes(), 1)) for i, c in enumerate(np.split(counts, SKETCH_PARTS))]
@@ -113,8 +132,7 @@ def _listed(n: int, percent: int, order):
         sets, often = Hasher(n), order.value
         for f in batches(frames):
             out = []
-            for text in f["text"]:
-                members = sets(text)
+            for members in sets(f["text"].tolist()):
                 if len(members):
                     p = prefix_size(len(members), percent)
                     key = often[(members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
@@ -126,42 +144,85 @@ def _listed(n: int, percent: int, order):
     return run
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many members two sorted sets share."""
+    if not len(a) or not len(b):
+        return 0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum())
+
+
 def _linked(n: int, percent: int):
-    """Which of the pairs are similar enough; the last set of the right side is remembered, as pairs come in its order."""
+    """Which of the pairs are similar enough. Sets are kept up to a bound, as many pairs share one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, last, theirs = Hasher(n), None, None
+        sets, kept = Hasher(n), {}
+
+        def members(key: int, text: str) -> np.ndarray:
+            if key not in kept:
+                if len(kept) >= KEPT_SETS or sum_of[0] > KEPT_SETS << 10:
+                    kept.clear()
+                    sum_of[0] = 0
+                (kept[key],) = sets([text])
+                sum_of[0] += len(kept[key])
+            return kept[key]
+
+        sum_of = [0]
         for f in batches(frames, 64):
             keep = []
-            for b, text_a, text_b in zip(f["b"], f["text_a"], f["text_b"], strict=True):
-                if b != last:
-                    last, theirs = b, sets(text_b)
-                ours = sets(text_a)
-                shared = len(ours) + len(theirs) - len(np.union1d(ours, theirs))
+            for a, b, text_a, text_b in zip(f["a"], f["b"], f["text_a"], f["text_b"], strict=True):
+                ours, theirs = members(a, text_a), members(b, text_b)
+                shared = _shared(ours, theirs)
                 keep.append(similar(shared, len(ours), len(theirs), percent))
             yield f.loc[keep, ["a", "b"]]
 
     return run
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough. texts has a text for each set_id; each pair brings its two texts together."""
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar enough; nodes tells which document stands for a set, and each pair brings two texts together."""
+    wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
+    wanted = cut(nodes.join(wanted, "set_id", "left_semi").withColumnsRenamed({"doc_id": "want_id", "text_hash": "want_hash"}))
+    found = docs.join(small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")))
+    texts = cut_table(found.select("set_id", "text").dropDuplicates(["set_id"]))
     ours = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     theirs = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "text_a", "text_b")
     return cut(joined.mapInPandas(_linked(n, percent), "a long, b long"))
 
 
-def _texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """A text for each set of nodes (set_id, doc_id, text_hash)."""
-    wanted = nodes.select("set_id", F.col("doc_id").alias("want_id"), F.col("text_hash").alias("want_hash"))
-    found = docs.join(small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")))
-    return found.select("set_id", "text").dropDuplicates(["set_id"])
+def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column, percent: int) -> Column:
+    """Whether two sets whose first common member has these places can be similar enough, by their sizes and by what follows the places."""
+    sizes = 100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)
+    return sizes & ((100 + percent) * F.least(n_a - place_a, n_b - place_b) >= percent * (n_a + n_b))
 
 
-def _fits(a: Column, b: Column, percent: int) -> Column:
-    """Whether sizes a <= b can be similar enough."""
-    return 100 * a >= percent * b
+def _star_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Each set of a crowded list with that list's leaders, where sizes and places allow a link.
+
+    A list has a leader for each slot that its sets' hashes fall in, so LEADERS at most. A set takes part in the most crowded of its lists.
+    """
+    crowded = held.groupBy("member").agg(F.count("*").alias("c")).where(F.col("c") > LEADERS)
+    inside = held.join(crowded, "member")
+    mine = inside.groupBy("set_id").agg(F.max_by(F.struct("member", "n", "place"), F.struct("c", "member")).alias("e")).select("set_id", "e.*")
+    order = F.xxhash64("set_id")
+    leaders = inside.groupBy("member", F.pmod(order, F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("set_id", "n", "place"), order).alias("leader"))
+    met = mine.join(leaders, "member").where((F.col("set_id") != F.col("leader.set_id")) & _reachable(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"), percent))
+    return met.select(F.least("set_id", "leader.set_id").alias("a"), F.greatest("set_id", "leader.set_id").alias("b")).distinct()
+
+
+def _open_lists(held: DataFrame, roots: DataFrame) -> DataFrame:
+    """The entries of the lists that hold more than one root; all others are skipped as a whole."""
+    named = held.drop("root").join(roots.withColumnsRenamed({"node": "set_id"}), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = cut_table(named)  # read twice below
+    still = named.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
+    return named.join(still, "member", "left_semi").select("member", "set_id", "n", "place", "root")
+
+
+def _crowded(held: DataFrame) -> bool:
+    """Whether comparing all entries of each list would be much more than a few comparisons an entry."""
+    entries, pairs = held.groupBy("member").agg(F.count("*").alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
+    return bool(entries) and pairs > FEW * entries
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -180,36 +241,30 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = members.where(F.col("n") > 0).groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("set_id", "one.doc_id", "one.text_hash")
 
     entries = cut_table(rows.select("text").mapInPandas(_listed(n, percent, spark.sparkContext.broadcast(often)), "member long, set_id long, n long, place long"))
-    lists = entries.groupBy("member").agg(F.min("set_id").alias("leader"), F.max("set_id").alias("other")).where(F.col("leader") != F.col("other"))
-    shared = entries.join(lists.select("member", "leader"), "member").distinct()
-    shared = cut_table(shared)
-
-    stars = cut(shared.where(F.col("set_id") != F.col("leader")).select(F.col("set_id").alias("a"), F.col("leader").alias("b")).distinct())
-    busy = cut(shared.select("set_id").distinct())
-    texts = cut_table(_texts_of(nodes.join(busy, "set_id", "left_semi"), rows))
-    links = _verified(stars, texts, n, percent)
-    roots = cut(components(links))
-
-    held = shared.select("member", "set_id", "n", "place").join(roots.withColumnsRenamed({"node": "set_id"}), "set_id", "left")
-    held = held.withColumn("root", F.coalesce("root", "set_id"))
-    open_ = held.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
-    held = cut_table(held.join(open_, "member", "left_semi"))
+    shared_lists = entries.groupBy("member").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
+    held = cut_table(entries.join(shared_lists, "member").distinct().withColumn("root", F.col("set_id")))
+
+    links = done = spark.createDataFrame([], "a long, b long")
+    roots = spark.createDataFrame([], "node long, root long")
+    if _crowded(held):
+        done = cut(_star_pairs(held, percent))
+        links = _verified(done, nodes, rows, n, percent)
+        roots = cut(components(links))
+        held = cut_table(_open_lists(held, roots))
+
     blocks = held.groupBy("member", "n", "place").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
     side = lambda s: blocks.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "lo", "hi")))
-    left_over = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("place_a") <= F.col("place_b")))
     can_link = (
         ordered
-        & _fits(F.col("n_a"), F.col("n_b"), percent)
-        & ((100 + percent) * left_over >= percent * (F.col("n_a") + F.col("n_b")))
+        & _reachable(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent)
         & ~((F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b")))
     )
     pairs_of_blocks = side("a").join(side("b"), "member").where(can_link).select("member", "n_a", "place_a", "n_b", "place_b")
     entry = lambda s: held.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "set_id", "root")))
     met = pairs_of_blocks.join(entry("a"), ["member", "n_a", "place_a"]).join(entry("b"), ["member", "n_b", "place_b"])
     met = met.where(F.col("root_a") != F.col("root_b")).select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
-    done = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = _verified(cut(met.join(done, ["a", "b"], "left_anti")), texts, n, percent)
+    more = _verified(cut(met.join(done, ["a", "b"], "left_anti")), nodes, rows, n, percent)
     roots = cut(components(links.unionByName(more)))
 
     placed = members.join(roots.withColumnsRenamed({"node": "set_id"}), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
@@ -217,7 +272,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def _by_id(placed: DataFrame) -> DataFrame:
-    """placed plus component_id: the least id in the root's component; where ids repeat, roots that share an id are one component."""
+    """placed plus component_id: the least id among all rows of the root's component; a row with an empty set has its own id."""
     least = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
     out = placed.join(least, "root", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_id", "root", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -243,7 +243,7 @@ def test_turn_order(spark):
 
 def test_shards(spark):
     docs = columns(spark, TEST)
-    out = sharding.assign_shards(docs.withColumn("unit", F.lit(1)), 40, fine=200).toPandas()
+    out = sharding.assign_shards(docs.withColumn("unit", F.lit(1)), 40).toPandas()
     assert len(out) == docs.count()
     for _, part in out.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
