@@ -2,15 +2,19 @@
 
 The kernel of two words counts their common subsequences of 3 and 4 letters, each weighted by decay to the power
 of its spans, so `id*iot` or `idioot` stay close to the plain word. Landmarks are words of the training sentences;
-a word's features are its kernel values with them, whitened by the landmarks' own kernel matrix. The machine is
-trained on sentences of labelled documents: a toxic document holds at least one toxic sentence and a clean one
-holds none, a sentence scores as its most toxic word, and the witness words are chosen anew in each round. Since
-the machine is linear in the subsequence weights, it is folded into one table of weights per subsequence; scoring a
-word adds up the table's entries for its subsequences, which equals the sum over the landmarks exactly.
+a word's features are its kernel values with them, whitened by the landmarks' own kernel matrix. Since a machine is
+linear in the subsequence weights, it is folded into one table of weights per subsequence; scoring adds up the
+table's entries for the subsequences found, which equals the sum over the landmarks exactly.
 
-A document's probability comes from a logistic fit on its highest word score and on the number and share of words
-beyond the margin. Every word of every text counts, whatever its length. The bounded sample for fitting is
-documented by MAX_ROWS and MAX_CHARS; it is chosen by a hash of the id.
+Two machines are trained. One learns words that toxic documents hold and clean ones don't. The other learns whole
+sentences, blanks being gaps: a toxic document holds at least one toxic sentence and a clean one holds none, and the
+toxic document's witness is chosen anew in each round as its highest sentence. Its landmarks are runs of one to three
+words; a sentence's kernel is divided by the root of its letters. Where no word tells the classes apart, the first
+machine is left out and the second decides.
+
+A document's probability comes from a logistic fit on the highest scores of its words and of its sentences and on the
+numbers and shares beyond the margins. Every word and sentence of every text counts, whatever its length. The bounded
+sample for fitting is documented by MAX_ROWS and MAX_CHARS; it is chosen by a hash of the id.
 
 Null and empty texts score as documents without words. An empty table gives an empty result; without labels of both
 classes all scores are 0. Repeated rows score alike. Other columns are ignored.
@@ -23,6 +27,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
+from heapq import heapreplace
 from itertools import combinations
 
 import numpy as np
@@ -40,6 +45,11 @@ LETTERS = 27
 LANDMARKS, ROUNDS = 128, 3
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
+#: Sentences scored side by side; negative sentences of a fit; letters of a long sentence's piece and of the run-up before it,
+#: beyond which a subsequence weighs less than 1e-19 of what the piece adds up to.
+SIDE_BY_SIDE, SENTENCES, PIECE, RUN_UP = 1024, 3000, 512, 128
+#: Letters of a sentence landmark.
+MARK = 24
 
 
 def _letter_table() -> np.ndarray:
@@ -108,7 +118,7 @@ def fold(landmarks: np.ndarray, alpha: np.ndarray) -> list[np.ndarray]:
     """One table of weights for each size: the sum over landmarks of alpha times the landmark's subsequence weights."""
     tables = []
     for size in SIZES:
-        places, weight = _places(WIDTH, size)
+        places, weight = _places(landmarks.shape[1], size)
         table = np.zeros(LETTERS**size)
         for row, a in zip(landmarks, alpha, strict=True):
             picked = row[places]
@@ -146,10 +156,132 @@ def word_scores(words: list[str], tables: list[np.ndarray], bias: float) -> np.n
     return out
 
 
+def _padded(rows: list[np.ndarray]) -> np.ndarray:
+    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
+    for at, row in enumerate(rows):
+        out[at, : len(row)] = row
+    return out
+
+
+def _text_codes(text: str) -> np.ndarray:
+    """Letter codes of a whole text of any length; a run of blanks is one gap."""
+    points = np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4")
+    return np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], 26).astype(np.int8)
+
+
+def kernels(rows: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
+    """The subsequence kernel of each row, of any length, with each landmark."""
+    out = np.zeros((len(rows), len(marks)), np.float32)
+    n = marks.shape[1]
+    lower = np.where(np.arange(n)[:, None] > np.arange(n)[None, :], DECAY ** (np.arange(n)[:, None] - np.arange(n)[None, :] - 1.0), 0).astype(np.float32)
+    by_letter = (np.arange(LETTERS)[:, None, None] == marks[None]) & (marks[None] > 0)
+    by_letter = by_letter.astype(np.float32) * np.float32(DECAY**2)
+    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
+    for at in range(0, len(rows), 64):
+        picked = order[at : at + 64]
+        codes, lengths = _padded([rows[i] for i in picked]), np.array([-len(rows[i]) for i in picked])
+        held = [np.zeros((len(picked), *marks.shape), np.float32) for _ in range(max(SIZES) - 1)]
+        total = np.zeros((len(picked), len(marks)), np.float32)
+        for t in range(codes.shape[1]):
+            active = int(np.searchsorted(lengths, -t))
+            match = by_letter[codes[:active, t]]
+            found = match
+            for size in range(1, max(SIZES) + 1):
+                if size in SIZES:
+                    total[:active] += found.sum(axis=-1)
+                if size < max(SIZES):
+                    more = match * (held[size - 1][:active] @ lower.T)
+                    held[size - 1][:active] *= np.float32(DECAY)
+                    held[size - 1][:active] += found
+                    found = more
+        out[picked] = total
+    return out
+
+
+@cache
+def _powers() -> np.ndarray:
+    return (DECAY ** np.arange(-64.0, 66.0)).astype(np.float32)
+
+
+def _lane_sums(codes: np.ndarray, begins: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Lanes of texts, one letter of each lane at a time: table weights of the subsequences that end at each place of each lane."""
+    lanes, a = codes.shape[1], last.shape[2]
+    pairs, one, wait = a * a, slice(a * a, a * a + a), a * a + a
+    power = _powers()
+    # A lane's pairs by second and first letter, its single letters, and what a last letter would bring.
+    state = np.zeros((lanes, pairs + 2 * a), np.float32)
+    total = np.zeros(codes.shape, np.float32)
+    for t, column in enumerate(codes):
+        # What is held counts as of the last multiple of 64, so that nothing decays letter by letter.
+        u = t % 64
+        if t and not u:
+            state *= power[128]
+        anew = np.flatnonzero(begins[t])
+        if len(anew):
+            state[anew] = 0
+        order = np.argsort(column, kind="stable")
+        ends = np.cumsum(np.bincount(column, minlength=a))
+        for c in np.flatnonzero(np.diff(ends)) + 1:
+            at = order[ends[c - 1] : ends[c]]
+            held = state.take(at, axis=0)
+            total[t, at] = held[:, wait + c]
+            held[:, wait:] += held[:, :wait] @ last[c]
+            held[:, c * a : c * a + a] += held[:, one]
+            held[:, pairs + c] += power[64 - u]
+            state[at] = held
+        total[t] *= power[64 + u + 1]
+    return total
+
+
+def by_middle(tables: list[np.ndarray]) -> np.ndarray:
+    """The tables of sizes 4 and 3, for each next to last letter: what comes before it (two letters, or one) by the last letter."""
+    three, four = tables
+    a = round(len(three) ** (1 / 3))
+    return np.concatenate([four.reshape(a, a, a * a).transpose(1, 2, 0), three.reshape(a, a, a).transpose(1, 2, 0)], axis=1)
+
+
+def text_sums(rows: list[np.ndarray], last: np.ndarray) -> np.ndarray:
+    """The sum of table weights over all subsequences of each row of letter codes, whatever its length."""
+    pieces = [(i, max(0, at - RUN_UP), at, min(len(row), at + PIECE)) for i, row in enumerate(rows) for at in range(0, len(row), PIECE)]
+    out = np.zeros(len(rows), np.float32)
+    for at in range(0, len(pieces), 8 * SIDE_BY_SIDE):
+        part = sorted(pieces[at : at + 8 * SIDE_BY_SIDE], key=lambda p: p[1] - p[3])
+        lanes = [(0, lane) for lane in range(min(SIDE_BY_SIDE, len(part)))]
+        placed = []
+        for i, start, own, end in part:
+            used, lane = lanes[0]
+            placed.append((i, start, own, end, used, lane))
+            heapreplace(lanes, (used + end - start, lane))
+        codes = np.zeros((max(used for used, _ in lanes), len(lanes)), np.int8)
+        begins = np.zeros(codes.shape, bool)
+        for i, start, _, end, used, lane in placed:
+            codes[used : used + end - start, lane] = rows[i][start:end]
+            begins[used, lane] = True
+        total = _lane_sums(codes, begins, last).T.copy()
+        for i, start, own, end, used, lane in placed:
+            out[i] += total[lane, used + own - start : used + end - start].sum()
+    return out
+
+
+def _root(row: np.ndarray) -> float:
+    return max(1, np.count_nonzero(row)) ** 0.5
+
+
+def sentence_scores(sentences: list[str], last: np.ndarray, bias: float) -> np.ndarray:
+    """The sentence machine's value for each sentence."""
+    rows = [_text_codes(s) for s in sentences]
+    return bias + text_sums(rows, last) / np.array([_root(r) for r in rows], np.float32) if rows else np.zeros(0, np.float32)
+
+
 SENTENCE = re.compile(r"[.!?]\s+|\n")
 SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
 
 
+def sentences_of(text: str) -> set[str]:
+    """The distinct sentences of a text that hold more than blanks."""
+    return {s for part in SENTENCE.split(text) if (s := part.strip().lower())}
+
+
 def words_of(text: str) -> set[str]:
     """The distinct words of a sentence or text; single letters with blanks between are joined to one word."""
     text = text.lower()
@@ -181,6 +313,11 @@ def _document_features(values: np.ndarray) -> list[float]:
     return [float(top[-1]), float(np.clip(top, -1, None).sum()), float(np.log1p(beyond)), beyond / len(values) ** 0.5]
 
 
+def _features(words: np.ndarray, sentences: np.ndarray) -> list[float]:
+    """Of the scores of a document's distinct words and sentences."""
+    return [1.0, *_document_features(words), *_document_features(sentences)]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 3000) -> np.ndarray:
     w = np.zeros(x.shape[1])
     rate = 4 / (1 + (x**2).sum(axis=1).mean())
@@ -190,13 +327,107 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 3000) -> np.ndarray:
     return w
 
 
+def _whitener(gram: np.ndarray) -> np.ndarray:
+    value, vector = np.linalg.eigh(gram.astype(float) + 1e-4 * np.eye(len(gram)))
+    return vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+
+
+def _runs(sentence: str) -> set[str]:
+    """Runs of one to three words, as landmarks: of a longer one the start."""
+    words = sentence.split()
+    return {" ".join(words[i : i + n])[:MARK] for n in (1, 2, 3) for i in range(len(words) - n + 1)}
+
+
+def _repeated(bags: list[list[str]]) -> Counter:
+    """In how many bags each run stands; of many bags only runs of two and more, so that runs seen once take no memory."""
+    at_least = 1 if len(bags) < 10 else 2
+    seen = np.zeros(1 << 25, np.uint8)
+    counts = Counter()
+    for count in (False, True):
+        for bag in bags:
+            runs = set().union(*map(_runs, bag))
+            if count:
+                counts.update(r for r in runs if seen[hash(r) % len(seen)] >= at_least)
+            else:
+                places = np.array([hash(r) % len(seen) for r in runs], np.int64)
+                seen[places] = np.minimum(seen[places], 254) + 1
+    return Counter({r: n for r, n in counts.items() if n >= at_least})
+
+
+def _train_sentences(bags: list[list[str]], labels: list[int], landmarks: int, seed: int) -> tuple[np.ndarray, float, list[np.ndarray]] | None:
+    """The folded sentence machine, and each document's sentence scores; None where no toxic or no clean document holds a sentence."""
+    rng = np.random.default_rng(seed)
+    sentences = sorted(set().union(*bags))
+    place = {s: i for i, s in enumerate(sentences)}
+    at = [np.array([place[s] for s in bag], np.int64) for bag in bags]
+    toxic = [a for a, label in zip(at, labels, strict=True) if label and len(a)]
+    clean = np.unique(np.concatenate([np.zeros(0, np.int64), *(a for a, label in zip(at, labels, strict=True) if not label)]))
+    if not toxic or not len(clean):
+        return None
+    codes = [_text_codes(s) for s in sentences]
+    roots = np.array([_root(c) for c in codes], np.float32)
+    # Runs of words by how much likelier they are in toxic documents; short ones only, as landmarks can be any points.
+    hot, cold = _repeated([bag for bag, label in zip(bags, labels, strict=True) if label and bag]), Counter()
+    for bag, label in zip(bags, labels, strict=True):
+        if not label:
+            cold.update(r for r in set().union(*map(_runs, bag)) if r in hot)
+    n_hot, n_cold = len(toxic) + 1, len(labels) - sum(labels) + 1
+    lift = {r: np.log((n + 0.1) / n_hot) - np.log((cold[r] + 0.5) / n_cold) + 0.5 * min(0, np.log(n / 5)) for r, n in hot.items() if len(r) > 2}
+    best = sorted(lift, key=lambda r: (-lift[r] * np.log1p(hot[r]), -len(r), r))[: landmarks // 2]
+    usual = [s.split() for s in (sentences[i] for i in rng.permutation(clean)[:landmarks])]
+    chosen = list(dict.fromkeys([*best, *(" ".join(w[:3])[:MARK] for w in usual)]))[:landmarks]
+    marks = [_text_codes(r) for r in chosen]
+    norm = np.array([_root(m) for m in marks], np.float32)
+    padded = _padded(marks)
+    whiten = _whitener(kernels(marks, padded) / norm[:, None] / norm[None, :])
+    found: dict[int, np.ndarray] = {}
+
+    def features(picked: list[int]) -> np.ndarray:
+        new = [i for i in picked if i not in found]
+        found.update(zip(new, (kernels([codes[i] for i in new], padded) / roots[new, None] / norm[None, :]) @ whiten, strict=True))
+        return np.stack([found[i] for i in picked])
+
+    scored = np.full(len(sentences), -9.0)
+    for i in np.unique(np.concatenate(toxic)):
+        scored[i] = max((lift.get(r, -9.0) for r in _runs(sentences[i])), default=-9.0)
+    pool = rng.permutation(clean)[: 5 * SENTENCES]
+    negatives = set(pool[:SENTENCES].tolist())
+    for round_ in range(ROUNDS):
+        witness = {int(a[np.argmax(scored[a])]) for a in toxic}
+        positive, negative = sorted(witness), sorted(negatives - witness)
+        if not negative:
+            return None
+        sign = np.repeat([1.0, -1.0], [len(positive), len(negative)])
+        weight = np.repeat([1 / len(positive), 2 / len(negative)], [len(positive), len(negative)])
+        w, bias = _machine(features(positive + negative), sign, weight)
+        last = by_middle(fold(padded, whiten @ w / norm))
+        seen = np.arange(len(codes)) if round_ + 1 == ROUNDS else np.unique(np.concatenate([*toxic, pool]))
+        scored[seen] = bias + text_sums([codes[i] for i in seen], last) / roots[seen]
+        if round_ + 1 < ROUNDS:
+            hard = pool[np.argsort(-scored[pool], kind="stable")[: SENTENCES // 4]]
+            negatives |= set(hard.tolist())
+    return last, float(bias), [scored[a] for a in at]
+
+
 def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: int = 7) -> dict | None:
-    """The folded machine and the logistic fit; None without rows of both classes."""
+    """The folded machines and the logistic fit; None without rows of both classes."""
     y = np.asarray(labels)
     if len(set(labels)) < 2:
         return None
+    bags = [sorted(words_of(t)) for t in texts]
+    words = _train_words(bags, labels, landmarks, seed)
+    sentences = _train_sentences([sorted(sentences_of(t)) for t in texts], labels, landmarks, seed)
+    none = [np.zeros(0)] * len(texts)
+    x = np.array([_features(np.asarray(a), b) for a, b in zip(words[2] if words else none, sentences[2] if sentences else none, strict=True)])
+    scale = np.maximum(x.std(axis=0), 1e-6)
+    scale[0] = 1
+    return {"words": words[:2] if words else None, "sentences": sentences[:2] if sentences else None, "logistic": _logistic(x / scale, y) / scale}
+
+
+def _train_words(bags: list[list[str]], labels: list[int], landmarks: int, seed: int) -> tuple[list[np.ndarray], float, list[list[float]]] | None:
+    """The folded word machine, and each document's word scores; None where no word tells the classes apart."""
     rng = np.random.default_rng(seed)
-    bags = [sorted(set().union(*map(words_of, SENTENCE.split(t)))) for t in texts]
+    y = np.asarray(labels)
     hot, cold = Counter(), Counter()
     for bag, label in zip(bags, labels, strict=True):
         (hot if label else cold).update(bag)
@@ -211,8 +442,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed:
     marks = marks[0][np.searchsorted(marks[1][: len(chosen)], np.arange(len(chosen)))]
     norm = np.sqrt(np.maximum(self_kernel(marks), 1e-9))
     gram = kernel(marks[:, None, :], marks[None, :, :]) / norm[:, None] / norm[None, :]
-    value, vector = np.linalg.eigh(gram.astype(float) + 1e-4 * np.eye(len(marks)))
-    whiten = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+    whiten = _whitener(gram)
 
     known: dict[str, np.ndarray] = {}
 
@@ -246,10 +476,7 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed:
         scored = dict(zip(every, word_scores(every, tables, bias).tolist(), strict=True))
         hard = sorted((w for w in cold if scored[w] > -0.3 and not (lift.get(w, -9) > 1.5)), key=lambda w: -scored[w])[:1500]
         negatives |= {w: float(np.log1p(cold[w])) * 2 for w in hard}
-    x = np.array([[1.0, *_document_features(np.array([scored[w] for w in bag]))] for bag in bags])
-    scale = np.maximum(x.std(axis=0), 1e-6)
-    scale[0] = 1
-    return {"tables": tables, "bias": float(bias), "logistic": _logistic(x / scale, y) / scale}
+    return tables, float(bias), [[scored[w] for w in bag] for bag in bags]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows, id_col: str, text_col: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
@@ -273,12 +500,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows=lambda doc_id: F
             if model is None:
                 yield pd.DataFrame({"doc_id": f["doc_id"], "score": 0.0}).astype({"doc_id": "Int64"})
                 continue
-            bags = [words_of(t) for t in f["text"]]
-            if len(known) > REMEMBERED:
-                known = {}
-            new = list(set().union(*bags).difference(known))
-            known.update(zip(new, word_scores(new, model["tables"], model["bias"]).tolist(), strict=True))
-            x = np.array([[1.0, *_document_features(np.array([known[w] for w in bag], np.float32))] for bag in bags])
+            words = sentences = [np.zeros(0, np.float32)] * len(f)
+            if model["words"]:
+                bags = [words_of(t) for t in f["text"]]
+                if len(known) > REMEMBERED:
+                    known = {}
+                new = list(set().union(*bags).difference(known))
+                known.update(zip(new, word_scores(new, *model["words"]).tolist(), strict=True))
+                words = [np.array([known[w] for w in bag], np.float32) for bag in bags]
+            if model["sentences"]:
+                bags = [sentences_of(t) for t in f["text"]]
+                every = list(set().union(*bags))
+                scored = dict(zip(every, sentence_scores(every, *model["sentences"]).tolist(), strict=True))
+                sentences = [np.array([scored[s] for s in bag], np.float32) for bag in bags]
+            x = np.array([_features(a, b) for a, b in zip(words, sentences, strict=True)])
             score = 1 / (1 + np.exp(-np.clip(x @ model["logistic"], -30, 30)))
             yield pd.DataFrame({"doc_id": f["doc_id"], "score": score}).astype({"doc_id": "Int64"})
 

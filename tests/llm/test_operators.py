@@ -121,6 +121,39 @@ def test_long_words_are_scored_wherever_the_insult_stands():
     assert hidden > plain
 
 
+def test_sums_over_texts_of_any_length():
+    rng = np.random.default_rng(3)
+    marks = toxicity._padded([toxicity._text_codes(x) for x in ("go jump off", "idiot", "a garden")])
+    alpha = np.array([1.0, -0.5, 2.0])
+    last = toxicity.by_middle(toxicity.fold(marks, alpha))
+    texts = ["go jump off a bridge", "an id iot", "", "go", *("".join(rng.choice(list("abcdgioptu "), n)) for n in (70, 300, 1500))]
+    rows = [toxicity._text_codes(x) for x in texts]
+    want = toxicity.kernels(rows, marks) @ alpha
+    assert toxicity.text_sums(rows, last) == pytest.approx(want, rel=1e-3, abs=1e-4)
+    for row, values in zip(rows[:2], toxicity.kernels(rows[:2], marks), strict=True):
+        n = max(len(row), marks.shape[1])
+        pad = lambda x: np.pad(x, (0, n - len(x)))  # noqa: E731, B023
+        assert [float(toxicity.kernel(pad(row), pad(m))) for m in marks] == pytest.approx(values, rel=1e-3)
+
+
+def test_toxic_sentences_of_harmless_words():
+    rng = np.random.default_rng(5)
+    words = ["go", "jump", "off", "a", "bridge", *("".join(rng.choice(list("abdeghinorstu"), 5)) for _ in range(60))]
+    texts = [". ".join(" ".join(rng.choice(words, 6)) for _ in range(6)) for _ in range(240)]
+    labels = [int(i % 4 == 0) for i in range(240)]
+    texts = [t + ". go jump off a bridge" * y for t, y in zip(texts, labels, strict=True)]
+    model = toxicity.train(texts[:160], labels[:160])
+    best = np.array([toxicity.sentence_scores(sorted(toxicity.sentences_of(t)), *model["sentences"]).max() for t in texts[160:]])
+    y = np.array(labels[160:], bool)
+    assert best[y].min() > np.quantile(best[~y], 0.9)
+
+
+def test_without_telling_words_the_sentences_are_fitted():
+    texts = ["you are all wrong. leave us now", "we are all here. come to us", "they are well", "come now"]
+    model = toxicity.train(texts, [1, 0, 0, 0])
+    assert model["words"] is None and model["sentences"] is not None
+
+
 def _accuracy(spark, query, label, folds, held):
     scored = query(spark, TEST)
     rows = scored.join(columns(spark, TEST, "labels"), "doc_id").where("held_out").select("predicted", label, "score").collect()
