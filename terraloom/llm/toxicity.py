@@ -39,7 +39,10 @@ from terraloom.llm.common import batches
 
 #: The fit uses at most so many labelled rows of each class, and no text longer than this.
 MAX_ROWS, MAX_CHARS = 2500, 20_000
-DECAY, WIDTH, STRIDE = 0.7, 16, 8
+DECAY, WIDTH = 0.7, 16
+#: A long word is seen whole up to the last of these widths and through windows of each lesser one, half a window apart, so that a
+#: span of any length up to 65 lies whole in a window of less than four times its length. A longer one weighs less than 1e-10.
+WIDTHS = (WIDTH, 32, 64, 128)
 SIZES = (3, 4)
 LETTERS = 27
 LANDMARKS, ROUNDS = 128, 3
@@ -64,21 +67,21 @@ def _letter_table() -> np.ndarray:
 TABLE = _letter_table()
 
 
-def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of the words in rows of WIDTH, and the word that each row belongs to. Long words take several rows."""
+def _codes(words: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Letter codes of the words in rows of a width, and the word that each row belongs to. Long words take several rows."""
     points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", "<u4")
     ends = np.flatnonzero(points == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
     letters = np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], 26)
-    long = np.flatnonzero(ends - starts > WIDTH)
+    long = np.flatnonzero(ends - starts > width)
     word = [np.arange(len(words))]
     first = [starts]
     for w in long:
-        more = np.arange(starts[w] + STRIDE, ends[w] - WIDTH + STRIDE, STRIDE)
+        more = np.arange(starts[w] + width // 2, ends[w] - width // 2, width // 2)
         word.append(np.full(len(more), w))
         first.append(more)
     word_of, begin = np.concatenate(word), np.concatenate(first)
-    at = begin[:, None] + np.arange(WIDTH)
+    at = begin[:, None] + np.arange(width)
     inside = at < ends[word_of][:, None]
     return np.where(inside, letters[np.minimum(at, len(letters) - 1)], 0).astype(np.int64), word_of
 
@@ -129,33 +132,44 @@ def fold(landmarks: np.ndarray, alpha: np.ndarray) -> list[np.ndarray]:
 
 
 def word_scores(words: list[str], tables: list[np.ndarray], bias: float) -> np.ndarray:
-    """The machine's value for each word: the highest of its rows."""
-    out = np.full(len(words), bias, np.float32)
+    """The machine's value for each word: the highest of its rows of all widths."""
+    out = np.full(len(words), -np.inf, np.float32)
+    last = None
     for at in range(0, len(words), 4096):
-        codes, word_of = _codes(words[at : at + 4096])
-        width, values = _width(codes), np.full(len(codes), bias, np.float32)
-        for low, high in ((2, 6), (6, 8), (8, 10), (10, 12), (12, WIDTH)):
-            rows = np.flatnonzero((width > low) & (width <= high))
-            if not len(rows):
-                continue
-            part = codes[rows, :high]
-            # A letter that is missing adds nothing: its place in the table is zero.
-            total = np.zeros(len(rows), np.float32)
-            for size, table in zip(SIZES, tables, strict=True):
-                places, weight = _places(high, size)
-                key = part[:, places[:, 0]].copy()
-                for k in range(1, size):
-                    key += part[:, places[:, k]] * LETTERS**k
-                total += table[key] @ weight
-            values[rows] = bias + total / np.sqrt(np.maximum(self_kernel(part), 1e-9))
-        np.maximum.at(out, word_of + at, values)
-        first = np.flatnonzero(np.diff(word_of, prepend=-1) > 0)
-        single = np.bincount(word_of, minlength=len(words[at : at + 4096])) == 1
-        keep = first[single[word_of[first]]]
-        out[at + word_of[keep]] = values[keep]
+        part = words[at : at + 4096]
+        codes, word_of = _codes(part)
+        np.maximum.at(out, word_of + at, _row_scores(codes, tables, bias))
+        for less, wide in zip(WIDTHS, WIDTHS[1:], strict=False):
+            long = [i for i, w in enumerate(part) if len(w) > less]
+            # Few at a time: the kernel with itself takes the square of the width.
+            for k in range(0, len(long), 256):
+                last = by_middle(tables) if last is None else last
+                codes, word_of = _codes([part[i] for i in long[k : k + 256]], wide)
+                sums = text_sums([row[:n] for row, n in zip(codes, _width(codes), strict=True)], last)
+                own = np.concatenate([self_kernel(codes[i : i + 256]) for i in range(0, len(codes), 256)])
+                np.maximum.at(out, np.array(long)[k : k + 256][word_of] + at, bias + sums / np.sqrt(np.maximum(own, 1e-9)))
     return out
 
 
+def _row_scores(codes: np.ndarray, tables: list[np.ndarray], bias: float) -> np.ndarray:
+    width, values = _width(codes), np.full(len(codes), bias, np.float32)
+    for low, high in ((2, 6), (6, 8), (8, 10), (10, 12), (12, WIDTH)):
+        rows = np.flatnonzero((width > low) & (width <= high))
+        if not len(rows):
+            continue
+        part = codes[rows, :high]
+        # A letter that is missing adds nothing: its place in the table is zero.
+        total = np.zeros(len(rows), np.float32)
+        for size, table in zip(SIZES, tables, strict=True):
+            places, weight = _places(high, size)
+            key = part[:, places[:, 0]].copy()
+            for k in range(1, size):
+                key += part[:, places[:, k]] * LETTERS**k
+            total += table[key] @ weight
+        values[rows] = bias + total / np.sqrt(np.maximum(self_kernel(part), 1e-9))
+    return values
+
+
 def _padded(rows: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
     for at, row in enumerate(rows):
@@ -433,26 +447,28 @@ def _train_words(bags: list[list[str]], labels: list[int], landmarks: int, seed:
         (hot if label else cold).update(bag)
     n_hot, n_cold = y.sum() + 1, len(y) - y.sum() + 1
     lift = {w: np.log((n + 0.1) / n_hot) - np.log((cold[w] + 0.5) / n_cold) + 0.5 * min(0, np.log(n / 5)) for w, n in hot.items()}
-    toxic = sorted(lift, key=lambda w: (-lift[w] * np.log1p(hot[w]), w))[: landmarks // 2]
-    plain = sorted(cold, key=lambda w: (-cold[w], w))
+    toxic = sorted((w for w in lift if len(w) <= WIDTHS[-1]), key=lambda w: (-lift[w] * np.log1p(hot[w]), w))[: landmarks // 2]
+    plain = sorted((w for w in cold if len(w) <= WIDTHS[-1]), key=lambda w: (-cold[w], w))
     usual = plain[: landmarks // 8]
     rest = plain[landmarks // 8 :]
     chosen = [*toxic, *usual, *(rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), landmarks - len(toxic) - len(usual)), replace=False)))]
-    marks = _codes(chosen)
-    marks = marks[0][np.searchsorted(marks[1][: len(chosen)], np.arange(len(chosen)))]
+    marks = _codes(chosen, WIDTHS[1])[0]  # all rows of each
     norm = np.sqrt(np.maximum(self_kernel(marks), 1e-9))
-    gram = kernel(marks[:, None, :], marks[None, :, :]) / norm[:, None] / norm[None, :]
-    whiten = _whitener(gram)
+    whiten = _whitener(kernels(list(marks), marks) / norm[:, None] / norm[None, :])
 
     known: dict[str, np.ndarray] = {}
 
-    def features(words: list[str]) -> np.ndarray:
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 256):
-            c = _codes(new[at : at + 256])[0][: len(new[at : at + 256])]  # the first row of each word
-            own = np.sqrt(np.maximum(self_kernel(c), 1e-9))
-            known.update(zip(new[at : at + 256], (kernel(c[:, None, :], marks[None, :, :]) / own[:, None] / norm[None, :]) @ whiten, strict=True))
-        return np.stack([known[w] for w in words])
+    def features(words: list[str]) -> list[np.ndarray]:
+        """Of each word, one row if it is no longer than the last width, else one for each of its windows."""
+        for width in WIDTHS:
+            fits = [w for w in words if w not in known and (len(w) <= width or width == WIDTHS[-1])]
+            for at in range(0, len(fits), 256):
+                part = fits[at : at + 256]
+                c, word_of = _codes(part, width)
+                own = np.concatenate([self_kernel(c[i : i + 256]) for i in range(0, len(c), 256)])
+                values = (kernels([row[:n] for row, n in zip(c, _width(c), strict=True)], marks) / np.sqrt(np.maximum(own, 1e-9))[:, None] / norm[None, :]) @ whiten
+                known.update((w, values[word_of == i]) for i, w in enumerate(part))
+        return [known[w] for w in words]
 
     negatives = {w: float(np.log1p(n)) for w, n in cold.items() if n > 2}
     negatives = dict(sorted(negatives.items(), key=lambda x: -x[1])[:3000])
@@ -470,7 +486,9 @@ def _train_words(bags: list[list[str]], labels: list[int], landmarks: int, seed:
         sign = np.where([w in witness for w in words], 1.0, -1.0)
         weight = np.array([float(np.log1p(witness[w])) if w in witness else negatives[w] for w in words])
         weight[sign > 0] *= weight[sign < 0].sum() / weight[sign > 0].sum() / 4
-        w, bias = _machine(features(words), sign, weight)
+        rows = features(words)
+        count = [len(r) for r in rows]
+        w, bias = _machine(np.concatenate(rows), np.repeat(sign, count), np.repeat(weight / count, count))
         tables = fold(marks, whiten @ w / norm)
         every = sorted(set().union(*bags))
         scored = dict(zip(every, word_scores(every, tables, bias).tolist(), strict=True))

@@ -121,6 +121,26 @@ def test_long_words_are_scored_wherever_the_insult_stands():
     assert hidden > plain
 
 
+def test_gapped_insults_in_long_words_are_seen_whole():
+    marks = toxicity._codes(["worthless"])[0]
+    tables = toxicity.fold(marks, 1 / np.sqrt(toxicity.self_kernel(marks)))
+    score = lambda w: float(toxicity.word_scores([w], tables, 0.0)[0])
+    for gap in ("_", "--"):
+        insult = gap.join("worthless")
+        row = toxicity._padded([toxicity._text_codes(insult)])
+        whole = toxicity.kernels(list(row), marks) @ (1 / np.sqrt(toxicity.self_kernel(marks))) / np.sqrt(toxicity.self_kernel(row))
+        assert score(insult) >= 0.999 * float(whole[0])
+        assert min(score("/" * n + insult + "/" * 40) for n in range(0, 40, 3)) >= 0.999 * float(whole[0])
+
+
+def test_the_fit_sees_long_words_whole():
+    start = "kbqmzvydjqfuxbmckvjp"
+    texts = [f"{start}{('worthless', 'gardening')[i % 2]} here we are" for i in range(40)]
+    model = toxicity.train(texts, [1 - i % 2 for i in range(40)])
+    bad, good = toxicity.word_scores([start + "worthless", start + "gardening"], *model["words"])
+    assert bad > good + 0.5
+
+
 def test_sums_over_texts_of_any_length():
     rng = np.random.default_rng(3)
     marks = toxicity._padded([toxicity._text_codes(x) for x in ("go jump off", "idiot", "a garden")])
