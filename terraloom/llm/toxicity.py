@@ -44,7 +44,8 @@ DECAY, WIDTH = 0.7, 16
 #: span of any length up to 65 lies whole in a window of less than four times its length. A longer one weighs less than 1e-10.
 WIDTHS = (WIDTH, 32, 64, 128)
 SIZES = (3, 4)
-LETTERS = 27
+#: Codes: 0 no letter, 1 to 26 Latin letters, then as many again that the letters of all other scripts are dealt to.
+LATIN, LETTERS = 27, 53
 LANDMARKS, ROUNDS = 128, 3
 #: Words that a worker remembers before it starts anew.
 REMEMBERED = 200_000
@@ -55,24 +56,37 @@ SIDE_BY_SIDE, SENTENCES, PIECE, RUN_UP = 1024, 3000, 512, 128
 MARK = 24
 
 
+def _letter(char: str) -> int:
+    """1..26 by the base letter, LATIN.. by the code point for letters of other scripts, 0 for signs, marks and blanks."""
+    base = unicodedata.normalize("NFKD", char.casefold())[:1]
+    if "a" <= base <= "z":
+        return ord(base) - 96
+    if not base.isalpha():
+        return 0
+    # Latin letters that don't decompose go by their name, as "O WITH STROKE" and "AE".
+    named = re.fullmatch(r"LATIN SMALL LETTER (\w{1,2})(?: WITH .*)?", unicodedata.name(base, ""))
+    return ord(named[1][0]) - 64 if named else LATIN + ord(base) % (LETTERS - LATIN)
+
+
 def _letter_table() -> np.ndarray:
-    """Code point -> 1..26 by its base letter, 27 - 1 = 26 shared by other letters, 0 for all that isn't a letter."""
-    table = np.zeros(0x300, np.int8)
-    for point in range(len(table)):
-        base = unicodedata.normalize("NFKD", chr(point))[0].lower()
-        table[point] = ord(base) - 96 if "a" <= base <= "z" else 26 if chr(point).isalpha() else 0
-    return table
+    return np.array([_letter(chr(point)) for point in range(0x20000)], np.int8)
 
 
 TABLE = _letter_table()
 
 
+def _letters(points: np.ndarray) -> np.ndarray:
+    """Codes of code points; beyond the table lie ideographs, and from 0xE0000 on signs."""
+    far = np.where(points < 0xE0000, LATIN + points % (LETTERS - LATIN), 0)
+    return np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], far).astype(np.int8)
+
+
 def _codes(words: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
     """Letter codes of the words in rows of a width, and the word that each row belongs to. Long words take several rows."""
     points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", "<u4")
     ends = np.flatnonzero(points == 10)
     starts = np.concatenate([[0], ends[:-1] + 1])
-    letters = np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], 26)
+    letters = _letters(points)
     long = np.flatnonzero(ends - starts > width)
     word = [np.arange(len(words))]
     first = [starts]
@@ -122,23 +136,25 @@ def fold(landmarks: np.ndarray, alpha: np.ndarray) -> list[np.ndarray]:
     tables = []
     for size in SIZES:
         places, weight = _places(landmarks.shape[1], size)
-        table = np.zeros(LETTERS**size)
+        table = np.zeros(LETTERS**size, np.float32)
         for row, a in zip(landmarks, alpha, strict=True):
             picked = row[places]
             ok = (picked > 0).all(axis=1)
             np.add.at(table, picked[ok] @ (LETTERS ** np.arange(size)), a * weight[ok])
-        tables.append(table.astype(np.float32))
+        tables.append(table)
     return tables
 
 
 def word_scores(words: list[str], tables: list[np.ndarray], bias: float) -> np.ndarray:
     """The machine's value for each word: the highest of its rows of all widths."""
     out = np.full(len(words), -np.inf, np.float32)
-    last = None
+    last, small = None, latin(tables)
     for at in range(0, len(words), 4096):
         part = words[at : at + 4096]
         codes, word_of = _codes(part)
-        np.maximum.at(out, word_of + at, _row_scores(codes, tables, bias))
+        other = (codes >= LATIN).any(axis=1)
+        for rows, part_of in ((~other, small), (other, tables)):
+            np.maximum.at(out, word_of[rows] + at, _row_scores(codes[rows], part_of, bias))
         for less, wide in zip(WIDTHS, WIDTHS[1:], strict=False):
             long = [i for i, w in enumerate(part) if len(w) > less]
             # Few at a time: the kernel with itself takes the square of the width.
@@ -153,6 +169,7 @@ def word_scores(words: list[str], tables: list[np.ndarray], bias: float) -> np.n
 
 def _row_scores(codes: np.ndarray, tables: list[np.ndarray], bias: float) -> np.ndarray:
     width, values = _width(codes), np.full(len(codes), bias, np.float32)
+    letters = round(len(tables[0]) ** (1 / 3))
     for low, high in ((2, 6), (6, 8), (8, 10), (10, 12), (12, WIDTH)):
         rows = np.flatnonzero((width > low) & (width <= high))
         if not len(rows):
@@ -164,7 +181,7 @@ def _row_scores(codes: np.ndarray, tables: list[np.ndarray], bias: float) -> np.
             places, weight = _places(high, size)
             key = part[:, places[:, 0]].copy()
             for k in range(1, size):
-                key += part[:, places[:, k]] * LETTERS**k
+                key += part[:, places[:, k]] * letters**k
             total += table[key] @ weight
         values[rows] = bias + total / np.sqrt(np.maximum(self_kernel(part), 1e-9))
     return values
@@ -180,7 +197,7 @@ def _padded(rows: list[np.ndarray]) -> np.ndarray:
 def _text_codes(text: str) -> np.ndarray:
     """Letter codes of a whole text of any length; a run of blanks is one gap."""
     points = np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4")
-    return np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], 26).astype(np.int8)
+    return _letters(points)
 
 
 def kernels(rows: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
@@ -247,6 +264,11 @@ def _lane_sums(codes: np.ndarray, begins: np.ndarray, last: np.ndarray) -> np.nd
     return total
 
 
+def latin(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """The part of the tables that texts of Latin letters need."""
+    return [table.reshape([LETTERS] * size)[(slice(LATIN),) * size].ravel() for size, table in zip(SIZES, tables, strict=True)]
+
+
 def by_middle(tables: list[np.ndarray]) -> np.ndarray:
     """The tables of sizes 4 and 3, for each next to last letter: what comes before it (two letters, or one) by the last letter."""
     three, four = tables
@@ -256,6 +278,19 @@ def by_middle(tables: list[np.ndarray]) -> np.ndarray:
 
 def text_sums(rows: list[np.ndarray], last: np.ndarray) -> np.ndarray:
     """The sum of table weights over all subsequences of each row of letter codes, whatever its length."""
+    if last.shape[2] > LATIN and any(plain := [not len(row) or row.max() < LATIN for row in rows]):
+        pairs = last.shape[2] ** 2
+        keep = (np.arange(LATIN)[:, None] * last.shape[2] + np.arange(LATIN)).ravel()
+        small = last[:LATIN, np.concatenate([keep, pairs + np.arange(LATIN)]), :LATIN]
+        out = np.zeros(len(rows), np.float32)
+        out[np.array(plain)] = text_sums([row for row, p in zip(rows, plain, strict=True) if p], small)
+        if not all(plain):
+            out[~np.array(plain)] = _text_sums([row for row, p in zip(rows, plain, strict=True) if not p], last)
+        return out
+    return _text_sums(rows, last)
+
+
+def _text_sums(rows: list[np.ndarray], last: np.ndarray) -> np.ndarray:
     pieces = [(i, max(0, at - RUN_UP), at, min(len(row), at + PIECE)) for i, row in enumerate(rows) for at in range(0, len(row), PIECE)]
     out = np.zeros(len(rows), np.float32)
     for at in range(0, len(pieces), 8 * SIDE_BY_SIDE):

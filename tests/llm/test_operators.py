@@ -141,6 +141,20 @@ def test_the_fit_sees_long_words_whole():
     assert bad > good + 0.5
 
 
+def test_other_scripts_have_letters_of_their_own():
+    one, two, latin, signs = (toxicity._text_codes(w) for w in ("дурак", "домик", "zzzzz", "\u201c\u2014\u200b\U0001f600"))
+    assert not (one == two).all() and not set(one) & set(latin) and not signs.any()
+    assert (toxicity._text_codes("Straße Ærø") == toxicity._text_codes("strase aro")).all()
+    marks = toxicity._codes(["дурак"])[0]
+    tables = toxicity.fold(marks, 1 / np.sqrt(toxicity.self_kernel(marks)))
+    hit, miss, plain = toxicity.word_scores(["дурак", "домик", "zzzzz"], tables, 0.0)
+    assert hit == pytest.approx(1, rel=1e-3) and miss < 0.2 and plain == 0
+    rows = [toxicity._text_codes(x) for x in ("ты ду рак", "a garden", "дом garden")]
+    both = toxicity._padded([toxicity._text_codes(x) for x in ("дурак", "дом gar", "garden")])
+    want = toxicity.kernels(rows, both).sum(axis=1)
+    assert toxicity.text_sums(rows, toxicity.by_middle(toxicity.fold(both, np.ones(3)))) == pytest.approx(want, rel=1e-3)
+
+
 def test_sums_over_texts_of_any_length():
     rng = np.random.default_rng(3)
     marks = toxicity._padded([toxicity._text_codes(x) for x in ("go jump off", "idiot", "a garden")])
