@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns, and a token-efficiency test for strings that no pattern knows.
 
 A subword vocabulary packs ordinary text into few tokens; random strings break into many. A run of key
-characters whose characters-per-token ratio is low is therefore taken as a secret, after known digests
+characters whose characters-per-token ratio is low is therefore taken as a secret; of other runs, the stretch of
+tokens that is furthest below the ratio, so that words joined to a secret don't hide it. Before that, known digests
 (hexadecimal of a usual digest length) and identifiers (UUIDs, plain words, numbers, dotted names) are excluded.
 
 Null and empty texts have no spans; an empty table gives an empty result; texts of any length are scanned whole.
@@ -29,7 +30,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 MIN_VALUE = 6
 
 #: Runs of key characters that the token test looks at.
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+MIN_STRETCH = 16
+SEPARATOR = re.compile(r"[+/_=-]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
@@ -62,6 +65,45 @@ def is_random(run: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
     return len(run) < max_ratio * len(encoding.encode_ordinary(run))
 
 
+def random_stretches(run: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int]]:
+    """(start, end) of what is random in a run: all of it, or pieces between separators, or stretches of tokens of the rest."""
+    pieces = [m for m in re.finditer(r"[^+/_=-]+", run) if len(m[0]) >= MIN_STRETCH]
+    known = [m.span() for m in UUID.finditer(run)] + [m.span() for m in pieces if DIGEST.fullmatch(m[0]) and len(m[0]) in DIGEST_LENGTHS]
+    if not known and is_random(run, encoding, max_ratio):
+        return [(0, len(run))]
+    found = [m.span() for m in pieces if is_random(m[0], encoding, max_ratio)]
+    at = 0
+    for start, end in [*sorted(known + found), (len(run), len(run))]:
+        if start - at >= MIN_STRETCH:
+            found += [(at + a, at + b) for a, b in _low_stretches(run[at:start], encoding, max_ratio)]
+        at = max(at, end)
+    return sorted(found)
+
+
+def _low_stretches(part: str, encoding, max_ratio: float) -> list[tuple[int, int]]:
+    """The stretch whose tokens have the most below the ratio, and those on both sides of it."""
+    best, total, first, at, span = 0.0, 0.0, 0, 0, None
+    for token in encoding.encode_ordinary(part):
+        n = len(encoding.decode_single_token_bytes(token))
+        letters = len(SEPARATOR.sub("", part[at : at + n]))
+        if total <= 0:
+            total, first = 0.0, at
+        total += (max_ratio - letters) if letters else 0
+        at += n
+        if total > best:
+            best, span = total, (first, at)
+    if span is None:
+        return []
+    start, end = span
+    start, end = start + len(part[start:end]) - len(part[start:end].lstrip("+/_=-")), start + len(part[start:end].rstrip("+/=_-"))
+    pieces = SEPARATOR.split(part[start:end])
+    bare = "".join(pieces)
+    if len(bare) < MIN_STRETCH or len(bare) < 4 * len(pieces) or not is_random(bare, encoding, max_ratio):
+        return []
+    sides = [(a, b) for a, b in ((0, start), (end, len(part))) if b - a >= MIN_STRETCH]
+    return sorted([(start, end), *((a + x, a + y) for a, b in sides for x, y in _low_stretches(part[a:b], encoding, max_ratio))])
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of the kind, end) of the fixed patterns: leftmost, not overlapping within a kind."""
     found = []
@@ -74,7 +116,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def random_spans(text: str, encoding, max_ratio: float = MAX_RATIO) -> list[tuple[int, int, int]]:
-    return [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], encoding, max_ratio)]
+    return [(m.start() + a, 3, m.start() + b) for m in RUN.finditer(text) for a, b in random_stretches(m[0], encoding, max_ratio)]
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:

@@ -49,6 +49,19 @@ def test_a_short_value_consumes_what_follows(spark):
     assert [r["n_assign"] for r in row] == [1, 1, 0]
 
 
+def test_random_strings_behind_words_and_short_ones():
+    encoding, rng = secret_scan._vocabulary(None), np.random.default_rng(2)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789")
+    for before in ("documentation/articles/download/", "authorization_header=", "services/webhooks/incoming/", ""):
+        for n in (16, 20, 24, 32):
+            keys = ["".join(rng.choice(letters, n)) for _ in range(50)]
+            keys = [k for k in keys if any(map(str.isdigit, k)) and any(map(str.isalpha, k))]
+            found = [secret_scan.random_spans(before + k, encoding) for k in keys]
+            assert sum(any(b >= len(before) + 0.8 * n and a <= len(before) + 0.2 * n for a, _, b in spans) for spans in found) >= 0.9 * len(keys)
+    assert not secret_scan.random_spans("documentation/2024/articles-of-the-day/download-page-2/index", encoding)
+    assert not secret_scan.random_spans("archive/sha1=" + hashlib.sha1(b"x").hexdigest(), encoding)
+
+
 def test_known_digests_are_left_out():
     encoding = secret_scan._vocabulary(None)
     assert not secret_scan.is_random(hashlib.sha1(b"x").hexdigest(), encoding)
