@@ -3,7 +3,7 @@
 A subword vocabulary packs ordinary text into few tokens; random strings break into many. A run of key
 characters whose characters-per-token ratio is low is therefore taken as a secret; of other runs, the stretch of
 tokens that is furthest below the ratio, so that words joined to a secret don't hide it. Before that, known digests
-(hexadecimal of a usual digest length) and identifiers (UUIDs, plain words, numbers, dotted names) are excluded.
+(hexadecimal of a usual digest length) and identifiers (UUIDs, names of words, numbers, dotted names) are excluded.
 
 Null and empty texts have no spans; an empty table gives an empty result; texts of any length are scanned whole.
 Repeated rows are scanned each. Only the id and the text are read from the input.
@@ -32,6 +32,9 @@ MIN_VALUE = 6
 #: Runs of key characters that the token test looks at.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MIN_STRETCH = 16
+#: Letters alone are tested from this length on, and are no secret if the parts of the camel-case or joined name tokenise well.
+MIN_LETTERS = 20
+HUMP = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 SEPARATOR = re.compile(r"[+/_=-]+")
 UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 DIGEST = re.compile(r"[0-9a-fA-F]+")
@@ -60,8 +63,12 @@ def is_random(run: str, encoding, max_ratio: float = MAX_RATIO) -> bool:
     """Low characters per token, and neither a known digest nor an identifier."""
     if DIGEST.fullmatch(run) and len(run) in DIGEST_LENGTHS or UUID.fullmatch(run):
         return False
-    if not (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
+    if not any(c.isalpha() for c in run):
         return False
+    if not any(c.isdigit() for c in run):
+        humps = HUMP.findall(run)
+        if len(run) < MIN_LETTERS or len(run) >= 4 * len(humps) and len(run) >= max_ratio * sum(len(encoding.encode_ordinary(h.lower())) for h in humps):
+            return False
     return len(run) < max_ratio * len(encoding.encode_ordinary(run))
 
 

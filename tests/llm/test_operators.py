@@ -62,6 +62,15 @@ def test_random_strings_behind_words_and_short_ones():
     assert not secret_scan.random_spans("archive/sha1=" + hashlib.sha1(b"x").hexdigest(), encoding)
 
 
+def test_random_strings_of_letters_only():
+    encoding, rng = secret_scan._vocabulary(None), np.random.default_rng(4)
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"):
+        keys = ["".join(rng.choice(list(letters), 24)) for _ in range(100)]
+        assert sum(bool(secret_scan.random_spans(k, encoding)) for k in keys) >= 85
+    for name in ("getHttpResponseCodeFromServer", "internationalization-of-documents", "maximum_number_of_connections", "20240131-20240228-00000001"):
+        assert not secret_scan.random_spans(name, encoding)
+
+
 def test_known_digests_are_left_out():
     encoding = secret_scan._vocabulary(None)
     assert not secret_scan.is_random(hashlib.sha1(b"x").hexdigest(), encoding)
