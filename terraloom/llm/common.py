@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,3 +75,39 @@ def batches(frames: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.Data
     for frame in frames:
         for at in range(0, len(frame), rows):
             yield frame.iloc[at : at + rows]
+
+
+def text_slices(texts: pd.Series, chars: int = 1 << 19) -> Iterator[pd.Series]:
+    """The texts in slices of about so many characters; a longer text is a slice of its own."""
+    at = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // chars
+    edges = np.flatnonzero(np.diff(at, prepend=-1))
+    for a, b in zip(edges, [*edges[1:], len(texts)], strict=True):
+        yield texts.iloc[a:b]
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: Callable[[Column], Column], id_col: str, text_col: str, max_rows: int) -> tuple[DataFrame, dict[int, int]]:
+    """A bounded sample for fitting (text, label) in one partition: of each class the rows with the smallest hashes of their ids. Texts are whole.
+
+    Also how many labelled rows each class has in all.
+    """
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fit_rows(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    parts = [known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for value in (0, 1)]
+    picked = F.broadcast(parts[0].unionByName(parts[1]))  # 2 x max_rows rows at most
+    rows = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).where(F.col("label").isin(0, 1)).collect()}
+    return text.join(picked, "doc_id").orderBy("doc_id", "text").limit(2 * max_rows), rows
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], dict | None]) -> dict | None:
+    """What fit(texts, labels) gives on a bounded sample (text, label), made in one task of an executor; the driver gets the model only."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        texts: list[str] = []
+        labels: list[int] = []
+        for f in frames:
+            texts += f["text"].tolist()
+            labels += f["label"].tolist()
+        yield pd.DataFrame({"model": [pickle.dumps(fit(texts, labels))]})
+
+    found = sample.select("text", "label").coalesce(1).mapInPandas(run, "model binary").collect()  # one row
+    return pickle.loads(found[0]["model"]) if found else None

@@ -1,13 +1,13 @@
 """Quality classifier by supervised subword embeddings.
 
-A document is the mean of the learned vectors of its features: each word, its character n-grams of 3 to 5, and
-word n-grams, all hashed into one table of buckets. A word n-gram of equal words (at a distance of 1 to 3) falls in a
-bucket of its own for each distance, whatever the word, so that repetition can be learned. The output is a softmax
+A document is the mean of the learned vectors of its features: each word and its character n-grams of 3 to 5, hashed into
+one table of buckets, and the pairs of equal words at a distance of 1 to 3. These have a bucket for each distance, whatever
+the word, so that repetition can be learned; n-grams of unlike words aren't features. The output is a softmax
 over two classes; table and output are trained together by stochastic gradient descent in numpy.
 
 Since document vectors are means and the output is linear, a feature's share in the difference of the two outputs is
 one number; scoring adds these numbers up, word by word. Every word of every text counts. The fit uses a
-bounded sample of labelled rows, see MAX_ROWS and MAX_CHARS, chosen by a hash of the id.
+bounded sample of labelled rows, whole texts of MAX_ROWS rows of each class, chosen by a hash of the id, in one executor task.
 
 Null and empty texts have no features and score by the bias alone. An empty table gives an empty result; without labels
 of both classes all scores are 0.5. Repeated rows score alike. Other columns are ignored.
@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import batches
-from terraloom.llm.toxicity import labelled
+from terraloom.llm.common import batches, fitted, labelled
 
-MAX_ROWS, MAX_CHARS = 2000, 20_000
+#: The fit uses at most so many labelled rows of each class.
+MAX_ROWS = 2000
 BUCKETS, DIMENSIONS = 1 << 17, 8
 NGRAMS = (3, 4, 5)
 DISTANCES = (1, 2, 3)
@@ -119,9 +119,9 @@ def _word_shares(words: list[str], share: np.ndarray) -> list[tuple[float, int]]
     return out
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, fit_rows=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, fit_rows=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per input row: doc_id, score (0 to 1). Labels are learned only from rows where fit_rows(doc_id) holds."""
-    model = train(*labelled(docs, labels, "quality", fit_rows, id_col, text_col, max_rows, max_chars))
+    model = fitted(labelled(docs, labels, "quality", fit_rows, id_col, text_col, max_rows)[0], train)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

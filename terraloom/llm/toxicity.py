@@ -1,22 +1,25 @@
 """Toxicity by a support vector machine over a gap-weighted subsequence kernel, with Nystrom landmarks.
 
-The kernel of two words counts their common subsequences of 3 and 4 letters, each weighted by decay to the power
-of its spans, so `id*iot` or `idioot` stay close to the plain word. Landmarks are words of the training sentences;
-a word's features are its kernel values with them, whitened by the landmarks' own kernel matrix. Since a machine is
-linear in the subsequence weights, it is folded into one table of weights per subsequence; scoring adds up the
-table's entries for the subsequences found, which equals the sum over the landmarks exactly.
-
-Two machines are trained. One learns words that toxic documents hold and clean ones don't. The other learns whole
-sentences, blanks being gaps: a toxic document holds at least one toxic sentence and a clean one holds none, and the
-toxic document's witness is chosen anew in each round as its highest sentence. Its landmarks are runs of one to three
-words; a sentence's kernel is divided by the root of its letters. Where no word tells the classes apart, the first
-machine is left out and the second decides.
-
-A document's probability comes from a logistic fit on the highest scores of its words and of its sentences and on the
-numbers and shares beyond the margins. Every word and sentence of every text counts, whatever its length. The bounded
-sample for fitting is documented by MAX_ROWS and MAX_CHARS; it is chosen by a hash of the id.
-
-Null and empty texts score as documents without words. An empty table gives an empty result; without labels of both
+Subsequences of 3 and 4 letters that span at most SPAN places count, each weighted by DECAY to the power of its span. A run
+of signs or marks of any length is one place, a gap; a run of blanks is one place and stands for the edge of a word. So
+`i*d*i*o*t`, `i****d****i****o****t`, `i d i o t` and `id iot` hold the subsequences of the plain word, as does `idxiot`;
+only their weights shrink. The kernel of two strings is the
+sum over their common subsequences of the product of the weights. An instance is a stretch of a sentence: all subsequences
+that start in WINDOWS places in a row, divided by the root of the sum of their squared weights, so that gapped spellings
+weigh as plain ones do. A sentence's value is the highest of its stretches.
+
+Landmarks are runs of one or two words of the training sentences, those that are likelier in toxic documents and usual ones
+of the others. A stretch's features are its kernel values with them, whitened by the landmarks' own kernel matrix. The
+machine is trained on labelled sentences: a toxic document holds at least one toxic sentence and a clean one holds none;
+the witness of a toxic document is chosen anew in each round as its highest stretch, and the highest stretches of clean
+documents join the counter-examples. As the machine is linear in the weights of subsequences, it is folded into one table of
+weights by subsequence; looking these up equals the sum over the landmarks exactly. A document's probability comes from a
+logistic fit on the values of its sentences. Every sentence of every text counts, whatever its length.
+
+The fit takes whole texts of a bounded sample of labelled rows (MAX_ROWS of each class, chosen by a hash of the id) and runs in
+one task of an executor; the driver gets the landmarks and their weights only.
+
+Null and empty texts, and those without letters, hold no sentence and score 0. An empty table gives an empty result; without labels of both
 classes all scores are 0. Repeated rows score alike. Other columns are ignored.
 """
 
@@ -26,34 +29,38 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
-from functools import cache
-from heapq import heapreplace
+from functools import partial
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import batches
-
-#: The fit uses at most so many labelled rows of each class, and no text longer than this.
-MAX_ROWS, MAX_CHARS = 2500, 20_000
-DECAY, WIDTH = 0.7, 16
-#: A long word is seen whole up to the last of these widths and through windows of each lesser one, half a window apart, so that a
-#: span of any length up to 65 lies whole in a window of less than four times its length. A longer one weighs less than 1e-10.
-WIDTHS = (WIDTH, 32, 64, 128)
-SIZES = (3, 4)
-#: Codes: 0 no letter, 1 to 26 Latin letters, then as many again that the letters of all other scripts are dealt to.
-LATIN, LETTERS = 27, 53
-LANDMARKS, ROUNDS = 128, 3
-#: Words that a worker remembers before it starts anew.
-REMEMBERED = 200_000
-#: Sentences scored side by side; negative sentences of a fit; letters of a long sentence's piece and of the run-up before it,
-#: beyond which a subsequence weighs less than 1e-19 of what the piece adds up to.
-SIDE_BY_SIDE, SENTENCES, PIECE, RUN_UP = 1024, 3000, 512, 128
-#: Letters of a sentence landmark.
-MARK = 24
+from terraloom.llm.common import fitted, labelled, text_slices
+
+#: The fit uses at most so many labelled rows of each class.
+MAX_ROWS = 1500
+#: Kernel: sizes of subsequences, places that one may span, and the weight that each place costs.
+SIZES, SPAN, DECAY = (3, 4), 9, 0.7
+#: Places in which the subsequences of a stretch start; so many empty places stand between sentences.
+WINDOWS = (6, 12)
+REST = max(WINDOWS)
+#: Added to a stretch's squared norm, so that stretches of two or three letters stay small.
+LEAST_NORM = 0.1
+#: Codes: 0 no letter, 1 to 26 Latin letters, the edge of a word, then 26 that the letters of all other scripts are dealt to.
+EDGE, LATIN, LETTERS = 27, 28, 54
+LANDMARKS, MARK, ROUNDS, WITNESSES = 192, 24, 3, 3
+RIDGE = 1e-3
+#: How much more a missed toxic document counts than a false alarm, in the logistic fit.
+MISSED = 1.5
+RIDGE = 1e-3
+#: How much more a missed toxic document counts than a false alarm, in the logistic fit.
+MISSED = 1.5
+#: Stretches of clean documents in the fit: chosen at random, and added in each round.
+RANDOM_STRETCHES, HARD_STRETCHES = 3000, 1000
+#: Places looked up at a time, so that what is in use stays in a core's cache.
+PLACES = 1 << 15
 
 
 def _letter(char: str) -> int:
@@ -68,11 +75,7 @@ def _letter(char: str) -> int:
     return ord(named[1][0]) - 64 if named else LATIN + ord(base) % (LETTERS - LATIN)
 
 
-def _letter_table() -> np.ndarray:
-    return np.array([_letter(chr(point)) for point in range(0x20000)], np.int8)
-
-
-TABLE = _letter_table()
+TABLE = np.array([_letter(chr(point)) for point in range(0x20000)], np.int8)
 
 
 def _letters(points: np.ndarray) -> np.ndarray:
@@ -81,290 +84,158 @@ def _letters(points: np.ndarray) -> np.ndarray:
     return np.where(points < len(TABLE), TABLE[np.minimum(points, len(TABLE) - 1)], far).astype(np.int8)
 
 
-def _codes(words: list[str], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Letter codes of the words in rows of a width, and the word that each row belongs to. Long words take several rows."""
-    points = np.frombuffer("\n".join(words).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", "<u4")
-    ends = np.flatnonzero(points == 10)
-    starts = np.concatenate([[0], ends[:-1] + 1])
+def sentence_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes of the sentences of all texts in a row with REST empty places behind each, where each begins, and whose it is.
+
+    Sentences end at a line end, or at a stop that a blank follows. Those without letters are left out.
+    """
+    points = np.frombuffer("\n".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    if not len(points):
+        return np.zeros(REST, np.int8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    blank = (points <= 32) | (points == 0xA0)
+    ends = ((points == 46) | (points == 33) | (points == 63)) & np.append(blank[1:], True) | (points == 10)
     letters = _letters(points)
-    long = np.flatnonzero(ends - starts > width)
-    word = [np.arange(len(words))]
-    first = [starts]
-    for w in long:
-        more = np.arange(starts[w] + width // 2, ends[w] - width // 2, width // 2)
-        word.append(np.full(len(more), w))
-        first.append(more)
-    word_of, begin = np.concatenate(word), np.concatenate(first)
-    at = begin[:, None] + np.arange(width)
-    inside = at < ends[word_of][:, None]
-    return np.where(inside, letters[np.minimum(at, len(letters) - 1)], 0).astype(np.int64), word_of
-
-
-@cache
-def _places(width: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all subsequences of a size, and their weights."""
-    found = np.array(list(combinations(range(width), size)), np.int64)
-    return found, (DECAY ** (found[:, -1] - found[:, 0] + 1)).astype(np.float32)
-
-
-def _width(codes: np.ndarray) -> np.ndarray:
-    """Places up to the last letter."""
-    return np.where((codes > 0).any(axis=1), codes.shape[1] - np.argmax(codes[:, ::-1] > 0, axis=1), 0)
-
-
-def self_kernel(codes: np.ndarray) -> np.ndarray:
-    """The kernel of each row with itself, for both sizes."""
-    return kernel(codes, codes)
-
-
-def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of matching rows of a and b (broadcast over leading axes)."""
-    n = a.shape[-1]
-    match = ((a[..., :, None] == b[..., None, :]) & (a[..., :, None] > 0)).astype(np.float32) * np.float32(DECAY**2)
-    lower = np.where(np.arange(n)[:, None] > np.arange(n)[None, :], DECAY ** (np.arange(n)[:, None] - np.arange(n)[None, :] - 1.0), 0).astype(np.float32)
-    total, held = np.zeros(match.shape[:-2], np.float32), match
-    for size in range(1, max(SIZES) + 1):
-        if size in SIZES:
-            total += held.sum(axis=(-2, -1))
-        if size < max(SIZES):
-            held = match * (lower @ held @ lower.T)
-    return total
-
-
-def fold(landmarks: np.ndarray, alpha: np.ndarray) -> list[np.ndarray]:
-    """One table of weights for each size: the sum over landmarks of alpha times the landmark's subsequence weights."""
-    tables = []
+    at = np.flatnonzero(letters)
+    sentence = np.cumsum(ends)[at]
+    new = np.diff(sentence, prepend=-1) > 0
+    # An edge ends the sentence before, one starts the new sentence.
+    before = np.where(new, REST + 2, np.diff(at, prepend=-1) > 1)
+    place = np.arange(len(at)) + np.cumsum(before)
+    codes = np.zeros((place[-1] + 2 if len(at) else 0) + REST, np.int8)
+    codes[place] = letters[at]
+    begins = place[new] - 1
+    edge = np.diff(np.cumsum(blank)[at], prepend=0) > 0
+    codes[place[edge & ~new] - 1] = codes[begins] = codes[np.append(begins[1:] - REST - 1, len(codes) - REST - 1)[: len(begins)]] = EDGE
+    text = np.searchsorted(np.cumsum(lengths + 1), at[new], side="right")
+    return codes, begins, text
+
+
+def _patterns() -> Iterator[tuple[int, ...]]:
+    """The places of the letters of a subsequence behind its first."""
     for size in SIZES:
-        places, weight = _places(landmarks.shape[1], size)
-        table = np.zeros(LETTERS**size, np.float32)
-        for row, a in zip(landmarks, alpha, strict=True):
-            picked = row[places]
-            ok = (picked > 0).all(axis=1)
-            np.add.at(table, picked[ok] @ (LETTERS ** np.arange(size)), a * weight[ok])
-        tables.append(table)
-    return tables
-
-
-def word_scores(words: list[str], tables: list[np.ndarray], bias: float) -> np.ndarray:
-    """The machine's value for each word: the highest of its rows of all widths."""
-    out = np.full(len(words), -np.inf, np.float32)
-    last, small = None, latin(tables)
-    for at in range(0, len(words), 4096):
-        part = words[at : at + 4096]
-        codes, word_of = _codes(part)
-        other = (codes >= LATIN).any(axis=1)
-        for rows, part_of in ((~other, small), (other, tables)):
-            np.maximum.at(out, word_of[rows] + at, _row_scores(codes[rows], part_of, bias))
-        for less, wide in zip(WIDTHS, WIDTHS[1:], strict=False):
-            long = [i for i, w in enumerate(part) if len(w) > less]
-            # Few at a time: the kernel with itself takes the square of the width.
-            for k in range(0, len(long), 256):
-                last = by_middle(tables) if last is None else last
-                codes, word_of = _codes([part[i] for i in long[k : k + 256]], wide)
-                sums = text_sums([row[:n] for row, n in zip(codes, _width(codes), strict=True)], last)
-                own = np.concatenate([self_kernel(codes[i : i + 256]) for i in range(0, len(codes), 256)])
-                np.maximum.at(out, np.array(long)[k : k + 256][word_of] + at, bias + sums / np.sqrt(np.maximum(own, 1e-9)))
-    return out
-
-
-def _row_scores(codes: np.ndarray, tables: list[np.ndarray], bias: float) -> np.ndarray:
-    width, values = _width(codes), np.full(len(codes), bias, np.float32)
-    letters = round(len(tables[0]) ** (1 / 3))
-    for low, high in ((2, 6), (6, 8), (8, 10), (10, 12), (12, WIDTH)):
-        rows = np.flatnonzero((width > low) & (width <= high))
-        if not len(rows):
-            continue
-        part = codes[rows, :high]
-        # A letter that is missing adds nothing: its place in the table is zero.
-        total = np.zeros(len(rows), np.float32)
-        for size, table in zip(SIZES, tables, strict=True):
-            places, weight = _places(high, size)
-            key = part[:, places[:, 0]].copy()
-            for k in range(1, size):
-                key += part[:, places[:, k]] * letters**k
-            total += table[key] @ weight
-        values[rows] = bias + total / np.sqrt(np.maximum(self_kernel(part), 1e-9))
-    return values
-
-
-def _padded(rows: list[np.ndarray]) -> np.ndarray:
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    for at, row in enumerate(rows):
-        out[at, : len(row)] = row
-    return out
-
-
-def _text_codes(text: str) -> np.ndarray:
-    """Letter codes of a whole text of any length; a run of blanks is one gap."""
-    points = np.frombuffer(" ".join(text.split()).encode("utf-32-le", "surrogatepass"), "<u4")
-    return _letters(points)
-
-
-def kernels(rows: list[np.ndarray], marks: np.ndarray) -> np.ndarray:
-    """The subsequence kernel of each row, of any length, with each landmark."""
-    out = np.zeros((len(rows), len(marks)), np.float32)
-    n = marks.shape[1]
-    lower = np.where(np.arange(n)[:, None] > np.arange(n)[None, :], DECAY ** (np.arange(n)[:, None] - np.arange(n)[None, :] - 1.0), 0).astype(np.float32)
-    by_letter = (np.arange(LETTERS)[:, None, None] == marks[None]) & (marks[None] > 0)
-    by_letter = by_letter.astype(np.float32) * np.float32(DECAY**2)
-    order = sorted(range(len(rows)), key=lambda i: -len(rows[i]))
-    for at in range(0, len(rows), 64):
-        picked = order[at : at + 64]
-        codes, lengths = _padded([rows[i] for i in picked]), np.array([-len(rows[i]) for i in picked])
-        held = [np.zeros((len(picked), *marks.shape), np.float32) for _ in range(max(SIZES) - 1)]
-        total = np.zeros((len(picked), len(marks)), np.float32)
-        for t in range(codes.shape[1]):
-            active = int(np.searchsorted(lengths, -t))
-            match = by_letter[codes[:active, t]]
-            found = match
-            for size in range(1, max(SIZES) + 1):
-                if size in SIZES:
-                    total[:active] += found.sum(axis=-1)
-                if size < max(SIZES):
-                    more = match * (held[size - 1][:active] @ lower.T)
-                    held[size - 1][:active] *= np.float32(DECAY)
-                    held[size - 1][:active] += found
-                    found = more
-        out[picked] = total
-    return out
-
-
-@cache
-def _powers() -> np.ndarray:
-    return (DECAY ** np.arange(-64.0, 66.0)).astype(np.float32)
-
-
-def _lane_sums(codes: np.ndarray, begins: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Lanes of texts, one letter of each lane at a time: table weights of the subsequences that end at each place of each lane."""
-    lanes, a = codes.shape[1], last.shape[2]
-    pairs, one, wait = a * a, slice(a * a, a * a + a), a * a + a
-    power = _powers()
-    # A lane's pairs by second and first letter, its single letters, and what a last letter would bring.
-    state = np.zeros((lanes, pairs + 2 * a), np.float32)
-    total = np.zeros(codes.shape, np.float32)
-    for t, column in enumerate(codes):
-        # What is held counts as of the last multiple of 64, so that nothing decays letter by letter.
-        u = t % 64
-        if t and not u:
-            state *= power[128]
-        anew = np.flatnonzero(begins[t])
-        if len(anew):
-            state[anew] = 0
-        order = np.argsort(column, kind="stable")
-        ends = np.cumsum(np.bincount(column, minlength=a))
-        for c in np.flatnonzero(np.diff(ends)) + 1:
-            at = order[ends[c - 1] : ends[c]]
-            held = state.take(at, axis=0)
-            total[t, at] = held[:, wait + c]
-            held[:, wait:] += held[:, :wait] @ last[c]
-            held[:, c * a : c * a + a] += held[:, one]
-            held[:, pairs + c] += power[64 - u]
-            state[at] = held
-        total[t] *= power[64 + u + 1]
-    return total
-
-
-def latin(tables: list[np.ndarray]) -> list[np.ndarray]:
-    """The part of the tables that texts of Latin letters need."""
-    return [table.reshape([LETTERS] * size)[(slice(LATIN),) * size].ravel() for size, table in zip(SIZES, tables, strict=True)]
-
-
-def by_middle(tables: list[np.ndarray]) -> np.ndarray:
-    """The tables of sizes 4 and 3, for each next to last letter: what comes before it (two letters, or one) by the last letter."""
+        yield from combinations(range(1, SPAN), size - 1)
+
+
+def _keys(codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, float]]:
+    """For each pattern, the key of the subsequence at each of the starts (-1 where a letter is missing), and its weight."""
+    for pattern in _patterns():
+        picked = [codes[starts], *(codes[starts + p] for p in pattern)]
+        key = np.zeros(starts.shape, np.int64)
+        for c in picked:
+            key = key * LETTERS + c
+        yield np.where(np.logical_and.reduce([c > 0 for c in picked]), key + (LETTERS**4 if len(picked) == 3 else 0), -1), DECAY ** (pattern[-1] + 1)
+
+
+def fold(marks: np.ndarray, alpha: np.ndarray, letters: int = LETTERS) -> list[np.ndarray]:
+    """A table of weights for each size: the sum over landmarks (rows of codes) of alpha times the landmark's weights."""
+    padded = np.pad(marks.astype(np.int64), ((0, 0), (0, SPAN)))
+    starts = np.arange(marks.shape[1])
+    tables = {size: np.zeros(letters**size) for size in SIZES}
+    for pattern in _patterns():
+        picked = [padded[:, starts], *(padded[:, starts + p] for p in pattern)]
+        ok = np.logical_and.reduce([(c > 0) & (c < letters) for c in picked])
+        key = np.zeros(ok.shape, np.int64)
+        for c in picked:
+            key = key * letters + c
+        np.add.at(tables[len(picked)], key[ok], np.broadcast_to(alpha[:, None], ok.shape)[ok] * DECAY ** (pattern[-1] + 1))
+    return [tables[size].astype(np.float32) for size in SIZES]
+
+
+def start_sums(codes: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+    """At each place, the sum of weights of the subsequences that start there."""
     three, four = tables
     a = round(len(three) ** (1 / 3))
-    return np.concatenate([four.reshape(a, a, a * a).transpose(1, 2, 0), three.reshape(a, a, a).transpose(1, 2, 0)], axis=1)
-
-
-def text_sums(rows: list[np.ndarray], last: np.ndarray) -> np.ndarray:
-    """The sum of table weights over all subsequences of each row of letter codes, whatever its length."""
-    if last.shape[2] > LATIN and any(plain := [not len(row) or row.max() < LATIN for row in rows]):
-        pairs = last.shape[2] ** 2
-        keep = (np.arange(LATIN)[:, None] * last.shape[2] + np.arange(LATIN)).ravel()
-        small = last[:LATIN, np.concatenate([keep, pairs + np.arange(LATIN)]), :LATIN]
-        out = np.zeros(len(rows), np.float32)
-        out[np.array(plain)] = text_sums([row for row, p in zip(rows, plain, strict=True) if p], small)
-        if not all(plain):
-            out[~np.array(plain)] = _text_sums([row for row, p in zip(rows, plain, strict=True) if not p], last)
-        return out
-    return _text_sums(rows, last)
-
-
-def _text_sums(rows: list[np.ndarray], last: np.ndarray) -> np.ndarray:
-    pieces = [(i, max(0, at - RUN_UP), at, min(len(row), at + PIECE)) for i, row in enumerate(rows) for at in range(0, len(row), PIECE)]
-    out = np.zeros(len(rows), np.float32)
-    for at in range(0, len(pieces), 8 * SIDE_BY_SIDE):
-        part = sorted(pieces[at : at + 8 * SIDE_BY_SIDE], key=lambda p: p[1] - p[3])
-        lanes = [(0, lane) for lane in range(min(SIDE_BY_SIDE, len(part)))]
-        placed = []
-        for i, start, own, end in part:
-            used, lane = lanes[0]
-            placed.append((i, start, own, end, used, lane))
-            heapreplace(lanes, (used + end - start, lane))
-        codes = np.zeros((max(used for used, _ in lanes), len(lanes)), np.int8)
-        begins = np.zeros(codes.shape, bool)
-        for i, start, _, end, used, lane in placed:
-            codes[used : used + end - start, lane] = rows[i][start:end]
-            begins[used, lane] = True
-        total = _lane_sums(codes, begins, last).T.copy()
-        for i, start, own, end, used, lane in placed:
-            out[i] += total[lane, used + own - start : used + end - start].sum()
+    out = np.zeros(len(codes), np.float32)
+    padded = np.concatenate([codes, np.zeros(SPAN, codes.dtype)])
+    for at in range(0, len(codes), PLACES):
+        own = padded[at : at + PLACES + SPAN].astype(np.int64)
+        n = min(PLACES, len(codes) - at)
+        c = [own[p : p + n] for p in range(SPAN)]
+        found, key, held = np.empty(n, np.float32), np.empty(n, np.int64), [np.zeros(n, np.float32) for _ in range(SPAN)]
+        for p in range(1, SPAN - 1):
+            pair = (c[0] * a + c[p]) * a
+            for q in range(p + 1, SPAN):
+                triple = pair + c[q]
+                np.take(three, triple, out=found, mode="clip")
+                held[q] += found
+                triple *= a
+                for r in range(q + 1, SPAN):
+                    np.add(triple, c[r], out=key)
+                    np.take(four, key, out=found, mode="clip")
+                    held[r] += found
+        for last in range(1, SPAN):
+            out[at : at + n] += held[last] * np.float32(DECAY ** (last + 1))
     return out
 
 
-def _root(row: np.ndarray) -> float:
-    return max(1, np.count_nonzero(row)) ** 0.5
-
-
-def sentence_scores(sentences: list[str], last: np.ndarray, bias: float) -> np.ndarray:
-    """The sentence machine's value for each sentence."""
-    rows = [_text_codes(s) for s in sentences]
-    return bias + text_sums(rows, last) / np.array([_root(r) for r in rows], np.float32) if rows else np.zeros(0, np.float32)
+def start_norms(codes: np.ndarray) -> np.ndarray:
+    """At each place, the sum of squared weights of the subsequences that start there."""
+    is_letter = np.concatenate([codes > 0, np.zeros(SPAN, bool)])
+    n, between = len(codes), np.zeros(len(codes), np.float32)
+    out = np.zeros(n, np.float32)
+    for last in range(1, SPAN):
+        ends = is_letter[last : last + n].astype(np.float32)
+        out += ends * (between + between * (between - 1) / 2) * np.float32(DECAY ** (2 * last + 2))
+        between += ends
+    return out * is_letter[:n]
+
+
+def stretch_values(codes: np.ndarray, tables: list[np.ndarray], bias: float, norms: np.ndarray | None = None) -> np.ndarray:
+    """The machine's value of the stretch from each place on, for each of the WINDOWS."""
+    sums = np.concatenate([[0], np.cumsum(start_sums(codes, tables), dtype=np.float64)])
+    squares = np.concatenate([[0], np.cumsum(start_norms(codes) if norms is None else norms, dtype=np.float64)])
+    out = np.empty((len(WINDOWS), len(codes)), np.float32)
+    for k, width in enumerate(WINDOWS):
+        end = np.minimum(np.arange(len(codes)) + width, len(codes))
+        out[k] = bias + (sums[end] - sums[:-1]) / np.sqrt(squares[end] - squares[:-1] + LEAST_NORM)
+    return out
 
 
-SENTENCE = re.compile(r"[.!?]\s+|\n")
-SPACED = re.compile(r"(?<!\S)\w(?: \w){2,}(?!\S)")
+def sentence_values(texts: list[str], machine: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the texts' sentences, and the text that each belongs to."""
+    codes, begins, text = sentence_codes(texts)
+    if not len(begins):
+        return np.zeros(0, np.float32), text
+    letters = LATIN if codes.max() < LATIN else LETTERS
+    if letters not in machine["tables"]:
+        machine["tables"][letters] = fold(machine["marks"], machine["alpha"], letters)
+    values = stretch_values(codes, machine["tables"][letters], machine["bias"]).max(axis=0)
+    return np.maximum.reduceat(values, begins), text
 
 
-def sentences_of(text: str) -> set[str]:
-    """The distinct sentences of a text that hold more than blanks."""
-    return {s for part in SENTENCE.split(text) if (s := part.strip().lower())}
+def _features(values: np.ndarray) -> list[float]:
+    """Of a document's sentences."""
+    if not len(values):
+        return [1.0, -1.0, -3.0, 0.0, 0.0]
+    top = np.sort(values)[-3:]
+    beyond = int((values > 0).sum())
+    return [1.0, float(top[-1]), float(np.pad(top, (3 - len(top), 0), constant_values=-1).clip(-1).sum()), float(np.log1p(beyond)), beyond / len(values) ** 0.5]
 
 
-def words_of(text: str) -> set[str]:
-    """The distinct words of a sentence or text; single letters with blanks between are joined to one word."""
-    text = text.lower()
-    words = set(text.split())
-    if SPACED.search(text):
-        words |= {m[0].replace(" ", "") for m in SPACED.finditer(text)}
-    return words
+def document_scores(texts: list[str], model: dict) -> np.ndarray:
+    """The probability that each text is toxic."""
+    values, text = sentence_values(texts, model)
+    edges = np.searchsorted(text, np.arange(len(texts) + 1))
+    x = np.array([_features(values[a:b]) for a, b in zip(edges, edges[1:], strict=False)]).reshape(len(texts), -1)
+    return np.where(edges[1:] > edges[:-1], 1 / (1 + np.exp(-np.clip(x @ model["logistic"], -30, 30))), 0.0)
 
 
-def _machine(features: np.ndarray, sign: np.ndarray, weight: np.ndarray, steps: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss, by gradient descent with momentum."""
-    w, b = np.zeros(features.shape[1]), 0.0
-    vw, vb = np.zeros_like(w), 0.0
+def _machine(features: np.ndarray, sign: np.ndarray, weight: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """A linear machine with squared hinge loss, by Newton's method on the rows within the margin."""
+    x = np.column_stack([features, np.ones(len(features))])
     share = weight / weight.sum()
-    rate = 0.5 / max(1e-9, (share[:, None] * features**2).sum() + 1)
-    for _ in range(steps):
-        slack = np.maximum(0, 1 - sign * (features @ w + b)) * share * sign
-        vw, vb = 0.9 * vw + features.T @ slack - ridge * w, 0.9 * vb + slack.sum()
-        w, b = w + rate * vw * 2, b + rate * vb * 2
-    return w, b
-
-
-def _document_features(values: np.ndarray) -> list[float]:
-    """Of the scores of a document's distinct words."""
-    if not len(values):
-        return [-1.0, 0.0, 0.0, 0.0]
-    beyond = int((values > 0).sum())
-    top = np.sort(values)[-3:]
-    return [float(top[-1]), float(np.clip(top, -1, None).sum()), float(np.log1p(beyond)), beyond / len(values) ** 0.5]
-
-
-def _features(words: np.ndarray, sentences: np.ndarray) -> list[float]:
-    """Of the scores of a document's distinct words and sentences."""
-    return [1.0, *_document_features(words), *_document_features(sentences)]
+    penalty = ridge * np.eye(x.shape[1])
+    penalty[-1, -1] = 0
+    w, within = np.zeros(x.shape[1]), None
+    for _ in range(50):
+        now = sign * (x @ w) < 1
+        if within is not None and (now == within).all():
+            break
+        within = now
+        part = x[within] * share[within, None]
+        w = 0.5 * w + 0.5 * np.linalg.lstsq(part.T @ x[within] + penalty, part.T @ sign[within], rcond=None)[0]
+    return w[:-1], float(w[-1])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 3000) -> np.ndarray:
@@ -376,199 +247,190 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 3000) -> np.ndarray:
     return w
 
 
-def _whitener(gram: np.ndarray) -> np.ndarray:
-    value, vector = np.linalg.eigh(gram.astype(float) + 1e-4 * np.eye(len(gram)))
-    return vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-
+def _runs(text: str) -> set[str]:
+    """Runs of one or two words of a text, as landmarks: of a longer one the start."""
+    words = text.lower().split()
+    return {" ".join(words[i : i + n])[:MARK] for n in (1, 2) for i in range(len(words) - n + 1)}
 
-def _runs(sentence: str) -> set[str]:
-    """Runs of one to three words, as landmarks: of a longer one the start."""
-    words = sentence.split()
-    return {" ".join(words[i : i + n])[:MARK] for n in (1, 2, 3) for i in range(len(words) - n + 1)}
 
-
-def _repeated(bags: list[list[str]]) -> Counter:
-    """In how many bags each run stands; of many bags only runs of two and more, so that runs seen once take no memory."""
-    at_least = 1 if len(bags) < 10 else 2
-    seen = np.zeros(1 << 25, np.uint8)
-    counts = Counter()
-    for count in (False, True):
-        for bag in bags:
-            runs = set().union(*map(_runs, bag))
-            if count:
-                counts.update(r for r in runs if seen[hash(r) % len(seen)] >= at_least)
+def _landmarks(texts: list[str], y: np.ndarray, count: int, rng: np.random.Generator) -> tuple[list[str], list[float], list[int]]:
+    """Runs of words, by how much likelier each is in toxic documents, and in how many it is: the likeliest, and usual words of the others."""
+    toxic, clean = [t for t, label in zip(texts, y, strict=True) if label], [t for t, label in zip(texts, y, strict=True) if not label]
+    seen = np.zeros(1 << 22, np.uint8)  # so that runs that occur in one document take no memory
+    hot: Counter = Counter()
+    for count_them in (False, True):
+        for text in toxic:
+            runs = _runs(text)
+            if count_them:
+                hot.update(r for r in runs if len(r) > 2 and seen[hash(r) % len(seen)] >= min(2, len(toxic) // 5))
             else:
-                places = np.array([hash(r) % len(seen) for r in runs], np.int64)
+                places = np.unique(np.array([hash(r) % len(seen) for r in runs], np.int64))
                 seen[places] = np.minimum(seen[places], 254) + 1
-    return Counter({r: n for r, n in counts.items() if n >= at_least})
+    cold, words = Counter(), Counter()
+    for text in clean:
+        own = _runs(text)
+        cold.update(r for r in own if r in hot)
+        words.update(r for r in own if " " not in r and len(r) > 2)
+        if len(words) > 200_000:
+            words = Counter(dict(words.most_common(50_000)))
+    lift = {r: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((cold[r] + 0.5) / (len(clean) + 1)) + 0.5 * min(0, np.log(n / 5)) for r, n in hot.items()}
+    best = sorted(lift, key=lambda r: (-lift[r] * np.log1p(hot[r]), len(r), r))[: count // 2]
+    common = sorted(words, key=lambda w: (-words[w], w))
+    head, rest = common[: count // 4], common[count // 4 :]
+    picked = [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), count - len(best) - len(head)), replace=False))]
+    chosen = [r for r in dict.fromkeys([*best, *head, *picked]) if len(sentence_codes([r])[1])]
+    telling = set(best)
+    return chosen, [float(lift[r]) if r in telling else -9.0 for r in chosen], [hot[r] if r in telling else 0 for r in chosen]
+
+
+def _marks(runs: list[str]) -> np.ndarray:
+    """Codes of the landmarks, a row each."""
+    out = np.zeros((len(runs), MARK + 2), np.int8)
+    for row, run in zip(out, runs, strict=True):
+        codes, begins, _ = sentence_codes([run])
+        codes = codes[begins[0] : np.flatnonzero(codes)[-1] + 1]
+        row[: len(codes)] = codes[: len(row)]
+    return out
 
 
-def _train_sentences(bags: list[list[str]], labels: list[int], landmarks: int, seed: int) -> tuple[np.ndarray, float, list[np.ndarray]] | None:
-    """The folded sentence machine, and each document's sentence scores; None where no toxic or no clean document holds a sentence."""
-    rng = np.random.default_rng(seed)
-    sentences = sorted(set().union(*bags))
-    place = {s: i for i, s in enumerate(sentences)}
-    at = [np.array([place[s] for s in bag], np.int64) for bag in bags]
-    toxic = [a for a, label in zip(at, labels, strict=True) if label and len(a)]
-    clean = np.unique(np.concatenate([np.zeros(0, np.int64), *(a for a, label in zip(at, labels, strict=True) if not label)]))
-    if not toxic or not len(clean):
-        return None
-    codes = [_text_codes(s) for s in sentences]
-    roots = np.array([_root(c) for c in codes], np.float32)
-    # Runs of words by how much likelier they are in toxic documents; short ones only, as landmarks can be any points.
-    hot, cold = _repeated([bag for bag, label in zip(bags, labels, strict=True) if label and bag]), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        if not label:
-            cold.update(r for r in set().union(*map(_runs, bag)) if r in hot)
-    n_hot, n_cold = len(toxic) + 1, len(labels) - sum(labels) + 1
-    lift = {r: np.log((n + 0.1) / n_hot) - np.log((cold[r] + 0.5) / n_cold) + 0.5 * min(0, np.log(n / 5)) for r, n in hot.items() if len(r) > 2}
-    best = sorted(lift, key=lambda r: (-lift[r] * np.log1p(hot[r]), -len(r), r))[: landmarks // 2]
-    usual = [s.split() for s in (sentences[i] for i in rng.permutation(clean)[:landmarks])]
-    chosen = list(dict.fromkeys([*best, *(" ".join(w[:3])[:MARK] for w in usual)]))[:landmarks]
-    marks = [_text_codes(r) for r in chosen]
-    norm = np.array([_root(m) for m in marks], np.float32)
-    padded = _padded(marks)
-    whiten = _whitener(kernels(marks, padded) / norm[:, None] / norm[None, :])
-    found: dict[int, np.ndarray] = {}
-
-    def features(picked: list[int]) -> np.ndarray:
-        new = [i for i in picked if i not in found]
-        found.update(zip(new, (kernels([codes[i] for i in new], padded) / roots[new, None] / norm[None, :]) @ whiten, strict=True))
-        return np.stack([found[i] for i in picked])
-
-    scored = np.full(len(sentences), -9.0)
-    for i in np.unique(np.concatenate(toxic)):
-        scored[i] = max((lift.get(r, -9.0) for r in _runs(sentences[i])), default=-9.0)
-    pool = rng.permutation(clean)[: 5 * SENTENCES]
-    negatives = set(pool[:SENTENCES].tolist())
-    for round_ in range(ROUNDS):
-        witness = {int(a[np.argmax(scored[a])]) for a in toxic}
-        positive, negative = sorted(witness), sorted(negatives - witness)
-        if not negative:
-            return None
-        sign = np.repeat([1.0, -1.0], [len(positive), len(negative)])
-        weight = np.repeat([1 / len(positive), 2 / len(negative)], [len(positive), len(negative)])
-        w, bias = _machine(features(positive + negative), sign, weight)
-        last = by_middle(fold(padded, whiten @ w / norm))
-        seen = np.arange(len(codes)) if round_ + 1 == ROUNDS else np.unique(np.concatenate([*toxic, pool]))
-        scored[seen] = bias + text_sums([codes[i] for i in seen], last) / roots[seen]
-        if round_ + 1 < ROUNDS:
-            hard = pool[np.argsort(-scored[pool], kind="stable")[: SENTENCES // 4]]
-            negatives |= set(hard.tolist())
-    return last, float(bias), [scored[a] for a in at]
-
-
-def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, seed: int = 7) -> dict | None:
-    """The folded machines and the logistic fit; None without rows of both classes."""
+class _Kernel:
+    """Kernel values of stretches with the landmarks."""
+
+    def __init__(self, marks: np.ndarray):
+        codes = np.pad(marks, ((0, 0), (0, SPAN))).ravel()
+        starts = np.arange(len(marks))[:, None] * (marks.shape[1] + SPAN) + np.arange(marks.shape[1])
+        found = [(key, weight) for key, weight in _keys(codes, starts)]
+        self.keys = np.unique(np.concatenate([k[k >= 0] for k, _ in found]))
+        self.weights = np.zeros((len(marks), len(self.keys)))
+        for key, weight in found:
+            row, _ = np.nonzero(key >= 0)
+            np.add.at(self.weights, (row, np.searchsorted(self.keys, key[key >= 0])), weight)
+        self.norm = np.sqrt((self.weights**2).sum(axis=1))
+        self.norm[self.norm == 0] = 1
+        self.weights /= self.norm[:, None]
+        self.by_key = self.weights.T.copy()
+
+    def gram(self) -> np.ndarray:
+        return self.weights @ self.weights.T
+
+    def __call__(self, codes: np.ndarray, norms: np.ndarray, begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(begins), len(self.weights)))
+        for at in range(0, len(begins), 64):
+            starts = begins[at : at + 64, None] + np.arange(REST)
+            inside = np.arange(REST) < widths[at : at + 64, None]
+            starts = np.minimum(starts, len(codes) - SPAN - 1)
+            rows = np.broadcast_to(np.arange(len(starts))[:, None], starts.shape)
+            flat, places, weights = [], [], []
+            for key, weight in _keys(codes, starts):
+                place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+                ok = inside & (self.keys[place] == key)
+                flat.append(rows[ok])
+                places.append(place[ok])
+                weights.append(np.full(len(flat[-1]), weight))
+            row = np.concatenate(flat)
+            order = np.argsort(row, kind="stable")
+            edges = np.flatnonzero(np.diff(row[order], prepend=-1))
+            if not len(edges):
+                continue
+            held = self.by_key[np.concatenate(places)[order]] * np.concatenate(weights)[order, None]
+            out[at + row[order[edges]]] = np.add.reduceat(held, edges)
+            own = np.where(inside, norms[starts], 0).sum(axis=1)
+            out[at : at + 64] /= np.sqrt(own + LEAST_NORM)[:, None]
+        return out
+
+
+def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, odds: float = 1.0, seed: int = 7) -> dict | None:
+    """Landmarks with their weights, the bias and the logistic fit; None without rows of both classes that hold letters.
+
+    odds: how much likelier a toxic row is among all rows than in the sample, which may hold all rows of one class only.
+    """
     y = np.asarray(labels)
-    if len(set(labels)) < 2:
+    codes, begins, text = sentence_codes(texts)
+    if len(set(y[np.unique(text)].tolist())) < 2:
         return None
-    bags = [sorted(words_of(t)) for t in texts]
-    words = _train_words(bags, labels, landmarks, seed)
-    sentences = _train_sentences([sorted(sentences_of(t)) for t in texts], labels, landmarks, seed)
-    none = [np.zeros(0)] * len(texts)
-    x = np.array([_features(np.asarray(a), b) for a, b in zip(words[2] if words else none, sentences[2] if sentences else none, strict=True)])
+    rng = np.random.default_rng(seed)
+    runs, lift, often = _landmarks(texts, y, landmarks, rng)
+    marks = _marks(runs)
+    kernel = _Kernel(marks)
+    value, vector = np.linalg.eigh(kernel.gram() + 1e-3 * np.eye(len(marks)))
+    whiten = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
+    norms = start_norms(codes)
+    codes = np.pad(codes, (0, REST + SPAN))
+    norms = np.pad(norms, (0, REST + SPAN))
+    is_toxic = y[text] == 1
+    ends = np.append(begins[1:], len(codes) - REST - SPAN)
+    letters = LATIN if codes.max() < LATIN else LETTERS
+
+    def stretches(values: np.ndarray, sentences: np.ndarray) -> np.ndarray:
+        """Kernel features of the highest stretch of each of the sentences."""
+        best = values.argmax(axis=0)
+        top = values.max(axis=0)
+        places = np.array([begins[i] + int(np.argmax(top[begins[i] : ends[i]])) for i in sentences], np.int64)
+        return kernel(codes, norms, places, np.array(WINDOWS)[best[places]]) @ whiten
+
+    clean = np.concatenate([np.arange(a, b) for a, b in zip(begins[~is_toxic], ends[~is_toxic], strict=True)])
+    clean = clean[codes[clean] > 0]
+    negative = rng.choice(clean, min(RANDOM_STRETCHES, len(clean)), replace=False)
+    against = kernel(codes, norms, negative, rng.choice(WINDOWS, len(negative))) @ whiten
+    # The first machine learns from the landmarks that are likelier in toxic documents.
+    lift = np.array(lift)
+    telling = lift > 1 if (lift > 1).any() else lift > 0 if (lift > 0).any() else lift == lift.max()
+    witnesses, times = kernel.gram()[telling] @ whiten, np.log1p(np.array(often))[telling]
+    for round_ in range(ROUNDS):
+        sign = np.repeat([1.0, -1.0], [len(witnesses), len(against)])
+        weight = np.concatenate([times / times.sum(), np.full(len(against), 2 / len(against))])
+        w, bias = _machine(np.concatenate([witnesses, against]), sign, weight)
+        alpha = whiten @ w / kernel.norm
+        if round_ + 1 == ROUNDS:
+            break
+        values = stretch_values(codes, fold(marks, alpha, letters), bias, norms)
+        top = np.maximum.reduceat(values.max(axis=0), begins)
+        # The highest sentences of each document. Labels can be wrong: a toxic document without a sentence above 0 gives no witness.
+        order = np.lexsort((-top, text))
+        rank = np.arange(len(order)) - np.searchsorted(text, text[order])
+        ours = order[is_toxic[order] & (rank < WITNESSES) & (top[order] > 0)]
+        hard = order[~is_toxic[order] & (rank == 0)]
+        hard = hard[np.argsort(-top[hard], kind="stable")[:HARD_STRETCHES]]
+        witnesses, times = np.concatenate([witnesses, stretches(values, ours)]), np.append(times, np.ones(len(ours)))
+        against = np.concatenate([against, stretches(values, hard)])
+    values = np.maximum.reduceat(stretch_values(codes, fold(marks, alpha, letters), bias, norms).max(axis=0), begins)
+    edges = np.searchsorted(text, np.arange(len(texts) + 1))
+    x = np.array([_features(values[a:b]) for a, b in zip(edges, edges[1:], strict=False)])
     scale = np.maximum(x.std(axis=0), 1e-6)
     scale[0] = 1
-    return {"words": words[:2] if words else None, "sentences": sentences[:2] if sentences else None, "logistic": _logistic(x / scale, y) / scale}
+    logistic = _logistic(x / scale, y) / scale
+    logistic[0] += np.log(MISSED * odds)
+    return {"marks": marks, "alpha": alpha, "bias": float(bias), "logistic": logistic}
 
 
-def _train_words(bags: list[list[str]], labels: list[int], landmarks: int, seed: int) -> tuple[list[np.ndarray], float, list[list[float]]] | None:
-    """The folded word machine, and each document's word scores; None where no word tells the classes apart."""
-    rng = np.random.default_rng(seed)
-    y = np.asarray(labels)
-    hot, cold = Counter(), Counter()
-    for bag, label in zip(bags, labels, strict=True):
-        (hot if label else cold).update(bag)
-    n_hot, n_cold = y.sum() + 1, len(y) - y.sum() + 1
-    lift = {w: np.log((n + 0.1) / n_hot) - np.log((cold[w] + 0.5) / n_cold) + 0.5 * min(0, np.log(n / 5)) for w, n in hot.items()}
-    toxic = sorted((w for w in lift if len(w) <= WIDTHS[-1]), key=lambda w: (-lift[w] * np.log1p(hot[w]), w))[: landmarks // 2]
-    plain = sorted((w for w in cold if len(w) <= WIDTHS[-1]), key=lambda w: (-cold[w], w))
-    usual = plain[: landmarks // 8]
-    rest = plain[landmarks // 8 :]
-    chosen = [*toxic, *usual, *(rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), landmarks - len(toxic) - len(usual)), replace=False)))]
-    marks = _codes(chosen, WIDTHS[1])[0]  # all rows of each
-    norm = np.sqrt(np.maximum(self_kernel(marks), 1e-9))
-    whiten = _whitener(kernels(list(marks), marks) / norm[:, None] / norm[None, :])
-
-    known: dict[str, np.ndarray] = {}
-
-    def features(words: list[str]) -> list[np.ndarray]:
-        """Of each word, one row if it is no longer than the last width, else one for each of its windows."""
-        for width in WIDTHS:
-            fits = [w for w in words if w not in known and (len(w) <= width or width == WIDTHS[-1])]
-            for at in range(0, len(fits), 256):
-                part = fits[at : at + 256]
-                c, word_of = _codes(part, width)
-                own = np.concatenate([self_kernel(c[i : i + 256]) for i in range(0, len(c), 256)])
-                values = (kernels([row[:n] for row, n in zip(c, _width(c), strict=True)], marks) / np.sqrt(np.maximum(own, 1e-9))[:, None] / norm[None, :]) @ whiten
-                known.update((w, values[word_of == i]) for i, w in enumerate(part))
-        return [known[w] for w in words]
-
-    negatives = {w: float(np.log1p(n)) for w, n in cold.items() if n > 2}
-    negatives = dict(sorted(negatives.items(), key=lambda x: -x[1])[:3000])
-    scored = lift
-    tables = bias = None
-    for round_ in range(ROUNDS):
-        witness = Counter()
-        for bag, label in zip(bags, labels, strict=True):
-            if label and bag:
-                best = sorted(bag, key=lambda w: -scored.get(w, -9.0))[:2]
-                witness.update(w for i, w in enumerate(best) if scored.get(w, -9.0) > (0.5 if not round_ else 0) and lift.get(w, -9) > 1 and (i == 0 or scored[w] > 0) and hot[w] > 1)
-        if not witness:
-            return None
-        words = [*witness, *(w for w in negatives if w not in witness)]
-        sign = np.where([w in witness for w in words], 1.0, -1.0)
-        weight = np.array([float(np.log1p(witness[w])) if w in witness else negatives[w] for w in words])
-        weight[sign > 0] *= weight[sign < 0].sum() / weight[sign > 0].sum() / 4
-        rows = features(words)
-        count = [len(r) for r in rows]
-        w, bias = _machine(np.concatenate(rows), np.repeat(sign, count), np.repeat(weight / count, count))
-        tables = fold(marks, whiten @ w / norm)
-        every = sorted(set().union(*bags))
-        scored = dict(zip(every, word_scores(every, tables, bias).tolist(), strict=True))
-        hard = sorted((w for w in cold if scored[w] > -0.3 and not (lift.get(w, -9) > 1.5)), key=lambda w: -scored[w])[:1500]
-        negatives |= {w: float(np.log1p(cold[w])) * 2 for w in hard}
-    return tables, float(bias), [[scored[w] for w in bag] for bag in bags]
-
-
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows, id_col: str, text_col: str, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
-    """A bounded sample for fitting: of each class the rows with the smallest hashes of their ids."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fit_rows(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).alias("label"))
-    text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull() & (F.char_length("text") <= max_chars))
-    parts = [known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for value in (0, 1)]
-    picked = F.broadcast(parts[0].unionByName(parts[1]))  # 2 x max_rows rows at most
-    rows = text.join(picked, "doc_id").orderBy("doc_id", "text").limit(2 * max_rows).collect()
-    return [r["text"] for r in rows], [int(r["label"]) for r in rows]
-
-
-def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", **sample) -> DataFrame:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, fit_rows=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> dict | None:
+    """The model. Labels are learned only from rows where fit_rows(doc_id) holds."""
+    sample, rows = labelled(docs, labels, "toxic", fit_rows, id_col, text_col, max_rows)
+    taken = {label: min(n, max_rows) for label, n in rows.items()}
+    odds = (rows[1] / taken[1]) / (rows[0] / taken[0]) if len(rows) == 2 else 1.0
+    return fitted(sample, partial(train, odds=odds))
+
+
+def toxicity(model: dict | None, text: Column) -> Column:
+    """The score of each text, 0 to 1."""
+
+    @F.pandas_udf("double")
+    def score(series: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker = model and model | {"tables": {}}
+        for texts in series:
+            parts = [document_scores(part.tolist(), worker) if worker else np.zeros(len(part)) for part in text_slices(texts)]
+            yield pd.Series(np.concatenate([np.zeros(0), *parts]))
+
+    return score(F.coalesce(text, F.lit("")))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, fit_rows=lambda doc_id: F.lit(True), id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """One row per input row: doc_id, score (0 to 1). Labels are learned only from rows where fit_rows(doc_id) holds."""
-    model = train(*labelled(docs, labels, "toxic", fit_rows, id_col, text_col, **sample))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, known = shared.value, {}
-        for f in batches(frames):
-            if model is None:
-                yield pd.DataFrame({"doc_id": f["doc_id"], "score": 0.0}).astype({"doc_id": "Int64"})
-                continue
-            words = sentences = [np.zeros(0, np.float32)] * len(f)
-            if model["words"]:
-                bags = [words_of(t) for t in f["text"]]
-                if len(known) > REMEMBERED:
-                    known = {}
-                new = list(set().union(*bags).difference(known))
-                known.update(zip(new, word_scores(new, *model["words"]).tolist(), strict=True))
-                words = [np.array([known[w] for w in bag], np.float32) for bag in bags]
-            if model["sentences"]:
-                bags = [sentences_of(t) for t in f["text"]]
-                every = list(set().union(*bags))
-                scored = dict(zip(every, sentence_scores(every, *model["sentences"]).tolist(), strict=True))
-                sentences = [np.array([scored[s] for s in bag], np.float32) for bag in bags]
-            x = np.array([_features(a, b) for a, b in zip(words, sentences, strict=True)])
-            score = 1 / (1 + np.exp(-np.clip(x @ model["logistic"], -30, 30)))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "score": score}).astype({"doc_id": "Int64"})
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, score double")
+    model = fit_toxicity(docs, labels, fit_rows, id_col, text_col, max_rows)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), toxicity(model, F.col(text_col)).alias("score"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, fit_rows=lambda doc_id: F.lit(True), least: float = 0.3, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
+    """The rows that score less; columns as before. Each row is judged by its own text."""
+    model = fit_toxicity(docs, labels, fit_rows, id_col, text_col, max_rows)
+    return docs.where(toxicity(model, F.col(text_col)) < least)

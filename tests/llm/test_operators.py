@@ -113,101 +113,118 @@ def test_bloom_flags_every_repeated_hash(spark):
 # 3 and 5
 
 
-def test_kernel_equals_brute_force():
-    def weights(word):
-        out = Counter()
-        for size in toxicity.SIZES:
-            for at in itertools.combinations(range(len(word)), size):
-                out["".join(word[i] for i in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
-        return out
-
-    for a, b in (("idiot", "idioot"), ("trash", "crash"), ("banana", "bandana"), ("abc", "xyz")):
-        (x,), (y,) = toxicity._codes([a])[0], toxicity._codes([b])[0]
-        assert float(toxicity.kernel(x, y)) == pytest.approx(sum(v * weights(b)[k] for k, v in weights(a).items()), rel=1e-4)
-
-
-def test_folded_machine_equals_the_sum_over_landmarks():
-    marks = toxicity._codes(["idiot", "moron", "garden"])[0]
-    alpha = np.array([1.0, -0.5, 0.25])
-    tables = toxicity.fold(marks, alpha)
-    for word in ("idi-ot", "roman", "ardent", "gardenidiotmoronisms"[:16]):
-        (code,) = toxicity._codes([word])[0]
-        want = sum(a * float(toxicity.kernel(code, m)) for a, m in zip(alpha, marks, strict=True)) / math.sqrt(float(toxicity.kernel(code, code)))
-        assert toxicity.word_scores([word], tables, 0.0)[0] == pytest.approx(want, rel=1e-3)
-
-
-def test_long_words_are_scored_wherever_the_insult_stands():
-    marks = toxicity._codes(["idiot"])[0]
-    tables = toxicity.fold(marks, np.array([1.0]))
-    plain, hidden = toxicity.word_scores(["xyz" * 40, "xyz" * 20 + "idiot" + "xyz" * 20], tables, 0.0)
-    assert hidden > plain
-
-
-def test_gapped_insults_in_long_words_are_seen_whole():
-    marks = toxicity._codes(["worthless"])[0]
-    tables = toxicity.fold(marks, 1 / np.sqrt(toxicity.self_kernel(marks)))
-    score = lambda w: float(toxicity.word_scores([w], tables, 0.0)[0])
-    for gap in ("_", "--"):
-        insult = gap.join("worthless")
-        row = toxicity._padded([toxicity._text_codes(insult)])
-        whole = toxicity.kernels(list(row), marks) @ (1 / np.sqrt(toxicity.self_kernel(marks))) / np.sqrt(toxicity.self_kernel(row))
-        assert score(insult) >= 0.999 * float(whole[0])
-        assert min(score("/" * n + insult + "/" * 40) for n in range(0, 40, 3)) >= 0.999 * float(whole[0])
-
-
-def test_the_fit_sees_long_words_whole():
-    start = "kbqmzvydjqfuxbmckvjp"
-    texts = [f"{start}{('worthless', 'gardening')[i % 2]} here we are" for i in range(40)]
-    model = toxicity.train(texts, [1 - i % 2 for i in range(40)])
-    bad, good = toxicity.word_scores([start + "worthless", start + "gardening"], *model["words"])
-    assert bad > good + 0.5
-
-
-def test_other_scripts_have_letters_of_their_own():
-    one, two, latin, signs = (toxicity._text_codes(w) for w in ("дурак", "домик", "zzzzz", "\u201c\u2014\u200b\U0001f600"))
-    assert not (one == two).all() and not set(one) & set(latin) and not signs.any()
-    assert (toxicity._text_codes("Straße Ærø") == toxicity._text_codes("strase aro")).all()
-    marks = toxicity._codes(["дурак"])[0]
-    tables = toxicity.fold(marks, 1 / np.sqrt(toxicity.self_kernel(marks)))
-    hit, miss, plain = toxicity.word_scores(["дурак", "домик", "zzzzz"], tables, 0.0)
-    assert hit == pytest.approx(1, rel=1e-3) and miss < 0.2 and plain == 0
-    rows = [toxicity._text_codes(x) for x in ("ты ду рак", "a garden", "дом garden")]
-    both = toxicity._padded([toxicity._text_codes(x) for x in ("дурак", "дом gar", "garden")])
-    want = toxicity.kernels(rows, both).sum(axis=1)
-    assert toxicity.text_sums(rows, toxicity.by_middle(toxicity.fold(both, np.ones(3)))) == pytest.approx(want, rel=1e-3)
-
-
-def test_sums_over_texts_of_any_length():
-    rng = np.random.default_rng(3)
-    marks = toxicity._padded([toxicity._text_codes(x) for x in ("go jump off", "idiot", "a garden")])
-    alpha = np.array([1.0, -0.5, 2.0])
-    last = toxicity.by_middle(toxicity.fold(marks, alpha))
-    texts = ["go jump off a bridge", "an id iot", "", "go", *("".join(rng.choice(list("abcdgioptu "), n)) for n in (70, 300, 1500))]
-    rows = [toxicity._text_codes(x) for x in texts]
-    want = toxicity.kernels(rows, marks) @ alpha
-    assert toxicity.text_sums(rows, last) == pytest.approx(want, rel=1e-3, abs=1e-4)
-    for row, values in zip(rows[:2], toxicity.kernels(rows[:2], marks), strict=True):
-        n = max(len(row), marks.shape[1])
-        pad = lambda x: np.pad(x, (0, n - len(x)))  # noqa: E731, B023
-        assert [float(toxicity.kernel(pad(row), pad(m))) for m in marks] == pytest.approx(values, rel=1e-3)
+def _weights(codes, starts):
+    """Weights of the subsequences that start at the places, by enumeration: letters, and the sum of squared weights place by place."""
+    out, squares = Counter(), 0.0
+    for start in starts:
+        for size in (3, 4):
+            for rest in itertools.combinations(range(start + 1, start + 9), size - 1):
+                at = (start, *rest)
+                if at[-1] < len(codes) and all(codes[i] for i in at):
+                    out[tuple(int(codes[i]) for i in at)] += 0.7 ** (at[-1] - start + 1)
+                    squares += 0.49 ** (at[-1] - start + 1)
+    return out, squares
+
+
+def _value(codes, begin, width, marks, alpha, bias):
+    """A stretch's value, straight from the definition: the weighted sum of its kernels with the landmarks."""
+    own, squares = _weights(codes, range(begin, min(begin + width, len(codes))))
+    total = sum(a * sum(v * m[k] for k, v in own.items() if k in m) for m, a in zip(marks, alpha, strict=True))
+    return bias + total / math.sqrt(squares + toxicity.LEAST_NORM)
+
+
+def test_stretches_equal_the_sum_over_landmarks():
+    marks = toxicity._marks(["idiot", "worthless scum", "garden"])
+    alpha = np.array([1.0, 2.0, -0.5])
+    codes, begins, _ = toxicity.sentence_codes(["an i*d--i o t wor\u0442hless. scumm\ngardens of idiots"])
+    found, rows = toxicity.stretch_values(codes, toxicity.fold(marks, alpha), 0.25), [_weights(m, range(len(m)))[0] for m in marks]
+    norms = toxicity.start_norms(codes)
+    for k, width in enumerate(toxicity.WINDOWS):
+        for begin in range(0, len(codes), 3):
+            assert found[k, begin] == pytest.approx(_value(codes, begin, width, rows, alpha, 0.25), rel=1e-3, abs=1e-4)
+            assert norms[begin] == pytest.approx(_weights(codes, [begin])[1], rel=1e-3, abs=1e-6)
+    kernel = toxicity._Kernel(marks)
+    padded, places = np.pad(codes, (0, 40)), np.arange(0, len(codes), 5)
+    got = kernel(padded, np.pad(norms, (0, 40)), places, np.full(len(places), 6)) @ (alpha * kernel.norm) + 0.25
+    assert got == pytest.approx([_value(codes, i, 6, rows, alpha, 0.25) for i in places], rel=1e-3, abs=1e-4)
+
+
+def _toy_model():
+    rng = np.random.default_rng(5)
+    words = ["garden", "window", "yellow", "tiger", "morning", "paper", "stone", "river", "table", "candle"]
+    say = lambda n: " ".join(rng.choice(words, n))
+    texts = [f"{say(8)}. {say(3)} {rng.choice(['idiot', 'worthless', 'stupid'])} {say(4)}. {say(6)}" if i % 2 else f"{say(8)}. {say(9)}" for i in range(120)]
+    return toxicity.train(texts, [i % 2 for i in range(120)]) | {"tables": {}}
+
+
+def test_scores_equal_brute_force():
+    model = _toy_model()
+    rows = [_weights(m, range(len(m)))[0] for m in model["marks"]]
+    texts = ["Yellow paper. An i-d-i-o-t of stone.\nRiver", "stone table", "", "..."]
+    scores = toxicity.document_scores(texts, model)
+    for text, score in zip(texts, scores, strict=True):
+        values = []
+        for sentence in re.split(r"[.!?](?:\s|$)|\n", text):
+            codes, begins, _ = toxicity.sentence_codes([sentence])
+            if len(begins):
+                places = range(begins[0], len(codes))
+                values.append(max(_value(codes, i, w, rows, model["alpha"], model["bias"]) for i in places for w in toxicity.WINDOWS))
+        if not values:
+            assert score == 0
+            continue
+        x = np.array(toxicity._features(np.array(values)))
+        assert score == pytest.approx(1 / (1 + math.exp(-x @ model["logistic"])), rel=1e-2)
+
+
+def test_gapped_and_inserted_spellings():
+    model = _toy_model()
+    score = lambda w: float(toxicity.document_scores([f"yellow stone. river {w} table candle. morning"], model)[0])
+    assert all(score(w) > 0.5 for w in ("idiot", "IDIOT", "id iot", "i*d*i*o*t", "\u00ed.d.i.o.t", "idxiot", "st-upid", "stuupid", "worth  less"))
+    assert score("i*d*i*o*t") == score("i****d****i****o****t")
+    assert score("garden") < 0.5 and score("tiger") < 0.5
+    long = "garden window " * 3000
+    assert toxicity.document_scores([long + "an idiot. " + long, long + "paper. " + long], model) == pytest.approx([1, 0], abs=0.4)
+
+
+def test_letters_of_all_scripts():
+    one, two, latin, signs = (toxicity.sentence_codes([w])[0] for w in ("\u0434\u0443\u0440\u0430\u043a", "\u0434\u043e\u043c\u0438\u043a", "zzzzz", "\u201c\u2014\u200b\U0001f600"))
+    assert (one != two).any() and one.max() >= toxicity.LATIN > latin.max() and not signs.any()
+    plain, other = toxicity.sentence_codes(["Stra\u00dfe \u00c6r\u00f8"])[0], toxicity.sentence_codes(["strase aro"])[0]
+    assert (plain == other).all()
+
+
+def test_sentences_and_whose_they_are():
+    texts = ["", "One. Two\nthree", "?!", "a.b", "x"]
+    codes, begins, text = toxicity.sentence_codes(texts)
+    assert text.tolist() == [1, 1, 1, 3, 4] and (codes[begins] == toxicity.EDGE).all()
+
+
+def test_training_without_a_class():
+    assert toxicity.train(["a b c", "d e f"], [1, 1]) is None
+    assert toxicity.train(["", ""], [1, 0]) is None
 
 
 def test_toxic_sentences_of_harmless_words():
-    rng = np.random.default_rng(5)
-    words = ["go", "jump", "off", "a", "bridge", *("".join(rng.choice(list("abdeghinorstu"), 5)) for _ in range(60))]
-    texts = [". ".join(" ".join(rng.choice(words, 6)) for _ in range(6)) for _ in range(240)]
-    labels = [int(i % 4 == 0) for i in range(240)]
-    texts = [t + ". go jump off a bridge" * y for t, y in zip(texts, labels, strict=True)]
-    model = toxicity.train(texts[:160], labels[:160])
-    best = np.array([toxicity.sentence_scores(sorted(toxicity.sentences_of(t)), *model["sentences"]).max() for t in texts[160:]])
-    y = np.array(labels[160:], bool)
-    assert best[y].min() > np.quantile(best[~y], 0.9)
-
-
-def test_without_telling_words_the_sentences_are_fitted():
-    texts = ["you are all wrong. leave us now", "we are all here. come to us", "they are well", "come now"]
-    model = toxicity.train(texts, [1, 0, 0, 0])
-    assert model["words"] is None and model["sentences"] is not None
+    rng = np.random.default_rng(3)
+    words = ["garden", "bridge", "jump", "go", "off", "yellow", "tiger", "morning", "paper", "stone", "river", "table"]
+    say = lambda n: " ".join(rng.choice(words, n))
+    texts = [f"{say(8)}. {say(7)}." if i % 2 else f"{say(8)}. go jump off a bridge. {say(5)}." for i in range(240)]
+    labels = [1 - i % 2 for i in range(240)]
+    model = toxicity.train(texts[:160], labels[:160]) | {"tables": {}}
+    scores = toxicity.document_scores(texts[160:], model)
+    assert ((scores >= 0.3) == np.array(labels[160:])).mean() > 0.8
+
+
+def test_dropping_judges_each_row_by_its_text(spark):
+    words = ["garden", "window", "yellow", "tiger", "morning"]
+    rows = [(i, f"{words[i % 5]} and {words[i % 3]} " + ("you idiot" if i % 2 else "you see")) for i in range(40)]
+    docs = docs_of(spark, [t for _, t in rows])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    same = docs.union(docs_of(spark, ["garden and tiger you idiot", "garden and tiger you see", None, ""], [3, 3, 3, 3]))
+    kept = toxicity.drop_toxic(same, labels)
+    assert kept.columns == docs.columns
+    assert sorted(str(r["text"]) for r in kept.where("doc_id = 3").collect()) == sorted(["garden and tiger you see", "None", ""])
+    assert not [r for r in kept.collect() if "idiot" in (r["text"] or "")]
 
 
 def _accuracy(spark, query, label, folds, held):
