@@ -10,10 +10,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from terraloom.llm import best_fit_packing, decontamination, exact_dedup, ngram_join, toxicity
-from terraloom.llm.common import crc32_fold, cut, shared_folder, small_side, table
+from terraloom.llm.common import crc32_fold, shared_folder, table
 
 #: Documents that score this or more are rejected, as op3 predicts.
 TOXIC = 0.3
@@ -21,10 +20,7 @@ TOXIC = 0.3
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Trained as op3 is, on the labels of the input folder."""
-    scored = toxicity.score_toxicity(docs, table(spark, sf_dir, "labels"), lambda i: crc32_fold(i, 4) != 2)
-    rejected = cut(scored.where(F.col("score") >= TOXIC).select(F.col("doc_id").alias("__id")).distinct())
-    side = small_side(rejected, rejected.count(), 2_000_000)
-    return docs.join(side, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), lambda i: crc32_fold(i, 4) != 2, TOXIC)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
