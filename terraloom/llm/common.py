@@ -59,6 +59,25 @@ def small_side(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if rows <= bound else df
 
 
+def text_key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def keep_rows(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs without the rows that named (doc_id, text_hash, gone) calls gone; of the other rows that it names, one of each stays. Columns as before.
+
+    Rows are told apart by their id, null included, and their text, and pass straight through if they aren't named.
+    """
+    named = cut(named)
+    private = {c: f"__{c}_{uuid.uuid4().hex}" for c in ("doc_id", "text_hash", "gone")}
+    named = named.select(*(F.col(c).alias(p) for c, p in private.items()))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(private["doc_id"])) & (text_key(F.col(text_col)) == F.col(private["text_hash"]))
+    rest = docs.join(small_side(named, named.count()), same, "left_anti")
+    twice = named.where(~F.col(private["gone"]))
+    again = docs.join(small_side(twice, twice.count()), same, "left_semi").dropDuplicates([id_col, text_col])
+    return rest.unionByName(again)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all else unchanged. Texts of ASCII only take the faster built-in function."""
     plain = F.octet_length(text) == F.char_length(text)

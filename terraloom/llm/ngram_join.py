@@ -2,16 +2,24 @@
 
 A document's set holds the hashes of its distinct word 4-grams. Equal sets are one from the start. Sets are
 ordered by how often their members' hash buckets occur in the corpus, rare first, and each set is listed under the
-members of its prefix only: two sets that are similar enough share a prefix member.
+members of its prefix only: two sets that are similar enough share a prefix member. Lists of one set are left out.
 
-1. *Derived answers.* In crowded lists the sets are compared with the list's leaders, where sizes and places allow a link.
-   Sets that link with a leader are connected, so the pairs among them need no comparison: their answers follow from the leader's.
-2. *Block skipping.* Lists whose sets are all connected are skipped whole. In the others the entries are grouped in
+1. *Computed answers.* Each list has a leader, the set that meets most others. Each set is compared with the leaders of its
+   largest lists, where sizes and places allow a link; how many members they share is kept.
+2. *Block skipping.* Lists whose sets are all connected by then are skipped whole. In the others the entries are grouped in
    blocks by set size and by the member's position; pairs of blocks are skipped when the sizes or the positions
-   leave too few members to share. Entries of the remaining block pairs that aren't connected yet are compared.
+   leave too few members to share, or when all their sets are connected.
+3. *Derived answers.* Of two sets whose leader is the same, what each shares with the leader bounds what they share with each
+   other from both sides, as a set differs from a highly similar one in few members. Where the bounds settle whether the pair
+   links, that is the answer; only the other pairs that aren't connected yet are compared.
 
-Comparisons are exact on whole sets (64-bit hashes). No list, candidate or partner is capped. Links go to
-connected components, computed by joins. Order matters for speed only; the counts behind it come from all rows.
+These steps are the same at all sizes. Comparisons are exact on whole sets of 64-bit hashes of the n-grams (within a pair of sets of
+1000 members two n-grams fall together with a chance of 1e-13); sets are equal if their 128-bit digests are. No list, candidate or
+partner is capped. Links go to connected components, computed by joins. The order of members, leaders and parts of
+lists matter for speed only.
+
+A member that occurs far more often than its bucket's share is dealt out in parts while lists are counted, so no task gets a list of
+unbounded length; joins on members are left to Spark's splitting of skewed partitions.
 
 Words are separated by blanks, tabs and line ends; A-Z count as a-z. Null and blank texts have an empty set and no
 links; with fewer words than n the sequence is one member. Rows of equal id are judged each by its own text. An empty table gives an empty result. Other columns are carried or ignored.
@@ -27,20 +35,21 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import batches, cut, cut_table, small_side
+from terraloom.llm.common import batches, cut, cut_table, keep_rows, small_side
 from terraloom.llm.components import components
 
 NGRAM, PERCENT = 4, 85
-#: Counts of members by hash bucket; they order the members. 1 Mi buckets, in 16 parts.
-SKETCH_BITS, SKETCH_PARTS = 20, 16
+#: Counts of members by hash bucket; they order the members. 4 Mi buckets, in 256 parts. What stands out of a bucket's share is a
+#: member that occurs more often than a few times the root of that share, so the number of buckets needn't grow as the input does.
+SKETCH_BITS, SKETCH_PARTS = 22, 256
 REMEMBERED = 200_000
-#: How many leaders a list has at most.
-LEADERS = 64
-#: Leaders are used where comparing lists in full would take more than so many comparisons an entry.
-FEW = 4
+#: Of how many lists each set meets the leaders.
+LEADERS = 3
+#: Lists are counted in parts of about so many entries.
+LIST_PART = 10_000
 #: Sets that a worker keeps while it compares pairs.
 KEPT_SETS = 4096
 
@@ -87,8 +96,8 @@ def _mixed(state: np.ndarray, words: np.ndarray) -> np.ndarray:
     return state ^ (state >> np.uint64(29))
 
 
-def set_id(members: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(members.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_id(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -100,20 +109,33 @@ def similar(shared: int, a: int, b: int, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (a + b - shared)
 
 
+def _buckets(members: np.ndarray) -> np.ndarray:
+    return (members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def _scan(n: int):
     """Rows of the sets (part null), and this task's counts by hash bucket (part set)."""
+    names = ["doc_id", "text_hash", "n", "set_id", "part", "counts"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, counts, any_row = Hasher(n), np.zeros(1 << SKETCH_BITS, np.int64), False
+        sets, counts, waiting, any_row = Hasher(n), np.zeros(1 << SKETCH_BITS, np.uint32), [], False
+
+        def count() -> None:
+            counts[:] += np.bincount(_buckets(np.concatenate([np.zeros(0, np.uint64), *waiting])), minlength=len(counts)).astype(np.uint32)
+            waiting.clear()
+
         for f in batches(frames):
             found = sets(f["text"].tolist())
-            counts += np.bincount((np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
+            waiting += found
+            if sum(map(len, waiting)) > 1 << 21:
+                count()
             rows = [(i, h, len(m), set_id(m) if len(m) else None, None, None) for i, h, m in zip(f["doc_id"], f["text_hash"], found, strict=True)]
             any_row = True
-            yield pd.DataFrame(rows, columns=["doc_id", "text_hash", "n", "set_id", "part", "counts"]).astype({"doc_id": "Int64", "set_id": "Int64", "part": "Int64"})
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "part": "Int64"})
         if any_row:
+            count()
             parts = [(None, None, None, None, i, zlib.compress(c.astype("<u4").tobytes(), 1)) for i, c in enumerate(np.split(counts, SKETCH_PARTS))]
-            yield pd.DataFrame(parts, columns=["doc_id", "text_hash", "n", "set_id", "part", "counts"]).astype({c: "Int64" for c in ("doc_id", "text_hash", "n", "set_id", "part")})
+            yield pd.DataFrame(parts, columns=names).astype({c: "Int64" for c in ("doc_id", "text_hash", "n", "part")})
 
     return run
 
@@ -125,21 +147,30 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.tobytes()]})
 
 
-def _listed(n: int, percent: int, order):
-    """An entry for each prefix member of each set."""
+def _list_parts(often: np.ndarray, part: int) -> np.ndarray:
+    """In how many parts the lists of each bucket's members are counted: as its count stands out of the buckets' mean."""
+    mean = often.mean()
+    return 1 + np.maximum(0, often - mean - 6 * mean**0.5).astype(np.int64) // part
+
+
+def _listed(n: int, percent: int, order, part: int):
+    """An entry for each prefix member of each distinct set of a task."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, often = Hasher(n), order.value
+        sets, often, seen = Hasher(n), order.value, set()
+        parts = _list_parts(often, part)
         for f in batches(frames):
             out = []
             for members in sets(f["text"].tolist()):
-                if len(members):
-                    p = prefix_size(len(members), percent)
-                    key = often[(members >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
-                    first = members[np.lexsort((members, key))[:p]].view(np.int64)
-                    out.append((first, np.full(p, set_id(members)), np.full(p, len(members)), np.arange(p)))
+                if len(members) and (key := set_id(members)) not in seen:
+                    seen.add(key)
+                    p, bucket = prefix_size(len(members), percent), _buckets(members)
+                    first = np.lexsort((members, often[bucket]))[:p]
+                    of = parts[bucket[first]]
+                    out.append((members[first].view(np.int64), of, key[0] * 256 % of, [key] * p, np.full(p, len(members)), np.arange(p)))
             if out:
-                yield pd.DataFrame(dict(zip(("member", "set_id", "n", "place"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                columns = dict(zip(("member", "parts", "part", "set_id", "n", "place"), zip(*out, strict=True), strict=True))
+                yield pd.DataFrame({c: list(chain.from_iterable(v)) if c == "set_id" else np.concatenate(v) for c, v in columns.items()})
 
     return run
 
@@ -152,35 +183,30 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
-def _linked(n: int, percent: int):
-    """Which of the pairs are similar enough. Sets are kept up to a bound, as many pairs share one."""
+def _compared(n: int):
+    """How many members the sets of each pair share. Sets are kept up to a bound, as many pairs share one."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sets, kept = Hasher(n), {}
-
-        def members(key: int, text: str) -> np.ndarray:
-            if key not in kept:
-                if len(kept) >= KEPT_SETS or sum_of[0] > KEPT_SETS << 10:
-                    kept.clear()
-                    sum_of[0] = 0
-                (kept[key],) = sets([text])
-                sum_of[0] += len(kept[key])
-            return kept[key]
-
-        sum_of = [0]
+        sets, kept, size = Hasher(n), {}, 0
         for f in batches(frames, 64):
-            keep = []
-            for a, b, text_a, text_b in zip(f["a"], f["b"], f["text_a"], f["text_b"], strict=True):
-                ours, theirs = members(a, text_a), members(b, text_b)
-                shared = _shared(ours, theirs)
-                keep.append(similar(shared, len(ours), len(theirs), percent))
-            yield f.loc[keep, ["a", "b"]]
+            out = []
+            for row in f.itertuples(index=False):
+                both = []
+                for key, text in ((row.a, row.text_a), (row.b, row.text_b)):
+                    if key not in kept:
+                        if len(kept) >= KEPT_SETS or size > KEPT_SETS << 10:
+                            kept, size = {}, 0
+                        (kept[key],) = sets([text])
+                        size += len(kept[key])
+                    both.append(kept[key])
+                out.append((row.a, row.b, len(both[0]), len(both[1]), _shared(*both)))
+            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "shared"])
 
     return run
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar enough; nodes tells which document stands for a set, and each pair brings two texts together."""
+def _answers(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """a, b, n_a, n_b, shared of the pairs; nodes tells which document stands for a set, and each pair brings two texts together."""
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     wanted = cut(nodes.join(wanted, "set_id", "left_semi").withColumnsRenamed({"doc_id": "want_id", "text_hash": "want_hash"}))
     found = docs.join(small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")))
@@ -188,7 +214,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, perce
     ours = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     theirs = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "text_a", "text_b")
-    return cut(joined.mapInPandas(_linked(n, percent), "a long, b long"))
+    return cut(joined.mapInPandas(_compared(n), "a binary, b binary, n_a long, n_b long, shared long"))
+
+
+def _links(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    return 100 * shared >= percent * (n_a + n_b - shared)
 
 
 def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column, percent: int) -> Column:
@@ -197,90 +227,120 @@ def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column, perce
     return sizes & ((100 + percent) * F.least(n_a - place_a, n_b - place_b) >= percent * (n_a + n_b))
 
 
-def _star_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """Each set of a crowded list with that list's leaders, where sizes and places allow a link.
-
-    A list has a leader for each slot that its sets' hashes fall in, so LEADERS at most. A set takes part in the most crowded of its lists.
-    """
-    crowded = held.groupBy("member").agg(F.count("*").alias("c")).where(F.col("c") > LEADERS)
-    inside = held.join(crowded, "member")
-    mine = inside.groupBy("set_id").agg(F.max_by(F.struct("member", "n", "place"), F.struct("c", "member")).alias("e")).select("set_id", "e.*")
-    order = F.xxhash64("set_id")
-    leaders = inside.groupBy("member", F.pmod(order, F.lit(LEADERS)).alias("slot")).agg(F.min_by(F.struct("set_id", "n", "place"), order).alias("leader"))
-    met = mine.join(leaders, "member").where((F.col("set_id") != F.col("leader.set_id")) & _reachable(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"), percent))
-    return met.select(F.least("set_id", "leader.set_id").alias("a"), F.greatest("set_id", "leader.set_id").alias("b")).distinct()
-
-
-def _open_lists(held: DataFrame, roots: DataFrame) -> DataFrame:
-    """The entries of the lists that hold more than one root; all others are skipped as a whole."""
-    named = held.drop("root").join(roots.withColumnsRenamed({"node": "set_id"}), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = cut_table(named)  # read twice below
-    still = named.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
-    return named.join(still, "member", "left_semi").select("member", "set_id", "n", "place", "root")
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _leader_pairs(held: DataFrame, percent: int) -> DataFrame:
+    """Each set with the leaders of its LEADERS largest lists, where sizes and places allow a link."""
+    meets = held.groupBy("set_id").agg(F.sum("c").alias("meets"))
+    scored = held.join(meets, "set_id")
+    leaders = scored.groupBy("member").agg(F.max_by(F.struct("set_id", "n", "place"), F.struct("meets", "set_id")).alias("leader"))
+    near = (F.col("set_id") != F.col("leader.set_id")) & _reachable(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"), percent)
+    met = held.join(leaders, "member").where(near).groupBy("set_id", F.col("leader.set_id").alias("leader")).agg(F.max("c").alias("c"))
+    nth = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("c"), "leader"))
+    return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select(*_pair("set_id", "leader")).distinct()
+
+
+def _nearest(answers: DataFrame) -> DataFrame:
+    """Of each set that was compared, the set that it shares most with (itself, for a leader of others): set_id, near, near_n, near_shared."""
+    sides = [answers.select(F.col(x).alias("set_id"), F.col(y).alias("near"), F.col(f"n_{x}").alias("own_n"), F.col(f"n_{y}").alias("near_n"), "shared") for x, y in ("ab", "ba")]
+    both = sides[0].unionByName(sides[1])
+    # A set that several others were compared with answers for itself.
+    best = both.groupBy("set_id").agg(F.max_by(F.struct("near", "near_n", "shared"), F.struct("shared", "near")).alias("best"), F.count("*").alias("times"), F.max("own_n").alias("own_n"))
+    own = F.col("times") > LEADERS
+    return best.select(
+        "set_id",
+        F.when(own, F.col("set_id")).otherwise(F.col("best.near")).alias("near"),
+        F.when(own, F.col("own_n")).otherwise(F.col("best.near_n")).alias("near_n"),
+        F.when(own, F.col("own_n")).otherwise(F.col("best.shared")).alias("near_shared"),
+    )
 
 
-def _crowded(held: DataFrame) -> bool:
-    """Whether comparing all entries of each list would be much more than a few comparisons an entry."""
-    entries, pairs = held.groupBy("member").agg(F.count("*").alias("c")).agg(F.sum("c"), F.sum(F.col("c") * (F.col("c") - 1) / 2)).first()
-    return bool(entries) and pairs > FEW * entries
+def _open_pairs(held: DataFrame, known: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that aren't connected yet and share a prefix member, after skipping lists and blocks; with what their leaders tell."""
+    # One row a set brings its root and its leader's answer to all its entries.
+    per_set = held.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_list(F.struct("member", "place")).alias("entries"))
+    named = per_set.join(known, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = cut_table(named.select("set_id", "n", "root", "near", "near_n", "near_shared", F.inline("entries")))
+    still = named.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
+    open_ = cut_table(named.join(still, "member", "left_semi"))
+    blocks = open_.groupBy("member", "n", "place").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
+    side = lambda s: blocks.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "lo", "hi")))
+    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("place_a") <= F.col("place_b")))
+    can_link = (
+        ordered
+        & _reachable(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent)
+        & ~((F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b")))
+    )
+    pairs_of_blocks = side("a").join(side("b"), "member").where(can_link).select("member", "n_a", "place_a", "n_b", "place_b")
+    entry = lambda s: open_.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "set_id", "root", "near", "near_n", "near_shared")))
+    met = pairs_of_blocks.join(entry("a"), ["member", "n_a", "place_a"]).join(entry("b"), ["member", "n_b", "place_b"]).where(F.col("root_a") != F.col("root_b"))
+    same = F.coalesce(F.col("near_a") == F.col("near_b"), F.lit(False))
+    more = F.least(
+        F.col("near_shared_a") + F.col("n_b") - F.col("near_shared_b"),
+        F.col("near_shared_b") + F.col("n_a") - F.col("near_shared_a"),
+    )
+    less = F.col("near_shared_a") + F.col("near_shared_b") - F.col("near_n_a")
+    return met.select(
+        *_pair("set_id_a", "set_id_b"),
+        F.when(same & _links(less, F.col("n_a"), F.col("n_b"), percent), True).when(same & ~_links(more, F.col("n_a"), F.col("n_b"), percent), False).alias("derived"),
+    ).distinct()
 
 
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT, list_part: int = LIST_PART) -> DataFrame:
     """One row per input row: doc_id, text_hash (xxhash64 of the text), n_shingles, set_id, root (of linked sets), component_id."""
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    scanned = cut_table(rows.mapInPandas(_scan(n), "doc_id long, text_hash long, n long, set_id long, part long, counts binary"))
+    scanned = cut_table(rows.mapInPandas(_scan(n), "doc_id long, text_hash long, n long, set_id binary, part long, counts binary"))
     sums = scanned.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInPandas(_summed, "part long, counts binary")
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
     often = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in sums.toLocalIterator():  # 16 rows of 512 kB, whatever the input
+    for row in sums.toLocalIterator():  # 256 rows of 128 kB, whatever the input
         often[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
     members = scanned.where(F.col("part").isNull()).select("doc_id", "text_hash", "n", "set_id")
     # One row per distinct set: the row with the least id stands for it.
     nodes = members.where(F.col("n") > 0).groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("set_id", "one.doc_id", "one.text_hash")
-
-    entries = cut_table(rows.select("text").mapInPandas(_listed(n, percent, spark.sparkContext.broadcast(often)), "member long, set_id long, n long, place long"))
-    shared_lists = entries.groupBy("member").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
-    held = cut_table(entries.join(shared_lists, "member").distinct().withColumn("root", F.col("set_id")))
-
-    links = done = spark.createDataFrame([], "a long, b long")
-    roots = spark.createDataFrame([], "node long, root long")
-    if _crowded(held):
-        done = cut(_star_pairs(held, percent))
-        links = _verified(done, nodes, rows, n, percent)
-        roots = cut(components(links))
-        held = cut_table(_open_lists(held, roots))
-
-    blocks = held.groupBy("member", "n", "place").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-    side = lambda s: blocks.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "lo", "hi")))
-    ordered = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("place_a") <= F.col("place_b")))
-    can_link = (
-        ordered
-        & _reachable(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b"), percent)
-        & ~((F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b")))
-    )
-    pairs_of_blocks = side("a").join(side("b"), "member").where(can_link).select("member", "n_a", "place_a", "n_b", "place_b")
-    entry = lambda s: held.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "set_id", "root")))
-    met = pairs_of_blocks.join(entry("a"), ["member", "n_a", "place_a"]).join(entry("b"), ["member", "n_b", "place_b"])
-    met = met.where(F.col("root_a") != F.col("root_b")).select(F.least("set_id_a", "set_id_b").alias("a"), F.greatest("set_id_a", "set_id_b").alias("b")).distinct()
-    more = _verified(cut(met.join(done, ["a", "b"], "left_anti")), nodes, rows, n, percent)
-    roots = cut(components(links.unionByName(more)))
-
-    placed = members.join(roots.withColumnsRenamed({"node": "set_id"}), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    return _by_id(cut(placed))
-
-
-def _by_id(placed: DataFrame) -> DataFrame:
-    """placed plus component_id: the least id among all rows of the root's component; a row with an empty set has its own id."""
-    least = placed.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    out = placed.join(least, "root", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_id", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nodes = cut(nodes)
+
+    entry = "member long, parts long, part long, set_id binary, n long, place long"
+    entries = rows.select("text").mapInPandas(_listed(n, percent, spark.sparkContext.broadcast(often), list_part), entry)
+    part_of_list = Window.partitionBy("member", "part")
+    counted = entries.withColumns({"lo": F.min("set_id").over(part_of_list), "hi": F.max("set_id").over(part_of_list), "c": F.count("*").over(part_of_list) * F.col("parts")})
+    # A list in several parts is kept as it is; most lists have one part and one set.
+    repeated = counted.where((F.col("parts") > 1) | (F.col("lo") != F.col("hi")))
+    held = cut_table(repeated.groupBy("member", "set_id", "n", "place").agg(F.max("c").alias("c")))
+
+    answers = _answers(cut(_leader_pairs(held, percent)), nodes, rows, n)
+    found = answers.where(_links(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    roots = cut(components(found)).withColumnsRenamed({"node": "set_id"})
+    known = roots.join(_nearest(answers), "set_id", "full_outer")
+
+    open_pairs = cut(_open_pairs(held, known, percent).join(answers.select("a", "b"), ["a", "b"], "left_anti"))
+    more = _answers(open_pairs.where(F.col("derived").isNull()).select("a", "b"), nodes, rows, n)
+    more = more.where(_links(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
+    links = found.unionByName(more).unionByName(open_pairs.where("derived").select("a", "b"))
+    roots = cut(components(links)).withColumnsRenamed({"node": "set_id"})
+    return _by_id(members, nodes, roots)
+
+
+def _by_id(members: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """members plus root and component_id: the least id among all rows of the root's component; a row with an empty set has its own id."""
+    placed = nodes.select("set_id", F.col("doc_id").alias("least")).join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    least = placed.join(roots, "set_id", "left_semi").groupBy("root").agg(F.min("least").alias("component_id"))
+    placed = placed.join(least, "root", "left").select("set_id", "root", F.coalesce("component_id", "least").alias("component_id"))
+    out = members.join(placed, "set_id", "left")
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "set_id", "root", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
-    """One document of each component: the one with the least id. Columns as before; documents with an empty set stay."""
-    found = ngram_components(docs, id_col, text_col, n, percent)
-    gone = cut(found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct())
-    side = small_side(gone, gone.count(), 2_000_000)
-    return docs.join(side, F.col(id_col) == F.col("__id"), "left_anti")
+    """One row of each component: that with the least id, and of equal ids with the least hash of its text. Columns as before.
+
+    A null id counts as less than all others. Rows with an empty set all stay; of rows repeated in id and text one stays.
+    """
+    found = cut(ngram_components(docs, id_col, text_col, n, percent).where(F.col("root").isNotNull()).select("root", "doc_id", "text_hash"))
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"))
+    times = found.groupBy("root", "doc_id", "text_hash").agg(F.count("*").alias("times"))
+    named = times.join(first, "root").select("doc_id", "text_hash", "times", (~F.struct("doc_id", "text_hash").eqNullSafe(F.col("first"))).alias("gone"))
+    return keep_rows(docs, named.where(F.col("gone") | (F.col("times") > 1)), id_col, text_col)
