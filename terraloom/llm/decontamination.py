@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import ascii_lower, cut, small_side
+from terraloom.llm.common import ascii_lower, cut, keep_rows, small_side, text_key
 
 SPAN, RUN = 10, 5
 WINDOW = SPAN - RUN + 1
@@ -121,14 +121,14 @@ def item_anchors(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     return cut(out.drop("at")), short
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text_hash: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     anchors, short = item_anchors(benchmark)
     lengths = [*dict.fromkeys([RUN, *short])]
     wanted = anchors.select("hash").distinct()
     n_wanted = wanted.count()
     text = F.col(text_col)
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), words(text).alias("words"))
+    keyed = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_hash"), words(text).alias("words"))
     prints = keyed.select("doc_id", "text_hash", F.explode(_fingerprints(F.col("words"), short)).alias("hash"))
     hits = prints.join(small_side(wanted, n_wanted), "hash").groupBy("doc_id", "text_hash").agg(F.collect_set("hash").alias("wanted"))
     hits = cut(hits)
@@ -155,6 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     hit = F.coalesce("n_hit", F.lit(0))
     return out.select(
         "doc_id",
+        *(["text_hash"] if with_text_hash else []),
         F.col("n_words").cast("long").alias("n_words"),
         hit.cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
@@ -164,8 +165,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that share a window with the benchmark; columns as before."""
-    bad = contaminated(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    bad = cut(bad)
-    side = small_side(bad, bad.count())
-    return docs.join(side, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
+    """docs without the rows that share a window with the benchmark; columns as before. Each row is judged by its own text."""
+    bad = contaminated(docs, benchmark, id_col, text_col, with_text_hash=True).where("contaminated").select("doc_id", "text_hash", F.lit(True).alias("gone")).distinct()
+    return keep_rows(docs, bad, id_col, text_col)

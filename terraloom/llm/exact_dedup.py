@@ -18,14 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import cut
+from terraloom.llm.common import cut, keep_rows, text_key
 
 #: Bits that each row gets in the array, and how many of them its hash sets.
 BITS_PER_ROW, HASHES = 16, 3
 #: The array is cut into segments of this many bits; offsets in a segment fit two bytes.
 SEGMENT_BITS = 1 << 16
-#: At most so many segments (32 MB of bits). Beyond 134 million rows there are more false alarms, and more rows shuffle.
-MAX_SEGMENTS = 1 << 12
+#: An array is for at most so many rows (32 MB of bits); more rows take several arrays, one after another.
+SLICE_ROWS = 1 << 24
 
 
 def text_digest(text: Column) -> Column:
@@ -78,59 +78,65 @@ def _flag(segments: int, bits):
     return run
 
 
-def possibly_repeated(hashed: DataFrame) -> DataFrame:
-    """hashed (with a long h) plus the boolean repeated: false only for hashes that occur once."""
+def possibly_repeated(hashed: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """hashed (with a long h) plus the boolean repeated: false only for hashes that occur once.
+
+    The hashes are taken in slices of about slice_rows, one array after another, so that no array outgrows its bound and
+    none fills up, however many rows there are.
+    """
     spark = hashed.sparkSession
     rows = hashed.count()
-    segments = int(min(MAX_SEGMENTS, max(1, -(-rows * BITS_PER_ROW // SEGMENT_BITS))))
-    seen = hashed.select("h").mapInPandas(_seen(segments), "segment long, once binary, twice binary")
-    merged = seen.groupBy("segment").applyInPandas(_merged, "segment long, bits binary")
-    array = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
-    for row in merged.toLocalIterator():
-        at = row["segment"] * SEGMENT_BITS // 8
-        array[at : at + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+    slices = max(1, -(-rows // slice_rows))
+    segments = int(max(1, -(-rows * BITS_PER_ROW // (slices * SEGMENT_BITS))))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hashed.schema) + ", repeated boolean"
-    return hashed.mapInPandas(_flag(segments, spark.sparkContext.broadcast(array)), schema)
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    out = None
+    for i in range(slices):
+        own = hashed if slices == 1 else hashed.where(F.pmod(F.xxhash64("h"), F.lit(slices)) == i)
+        seen = own.select("h").mapInPandas(_seen(segments), "segment long, once binary, twice binary")
+        merged = seen.groupBy("segment").applyInPandas(_merged, "segment long, bits binary")
+        array = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
+        for row in merged.toLocalIterator():
+            at = row["segment"] * SEGMENT_BITS // 8
+            array[at : at + SEGMENT_BITS // 8] = np.frombuffer(row["bits"], np.uint8)
+        bits = spark.sparkContext.broadcast(array)
+        flagged = own.mapInPandas(_flag(segments, bits), schema)
+        if slices > 1:
+            flagged = cut(flagged)
+            bits.destroy()
+        out = flagged if out is None else out.unionByName(flagged)
+    return out
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     The text is read once; what goes on is the id, the digest and a row number that is fixed by being
     written. Of equal texts the row with the largest id stays; of equal ids, one row.
     """
-    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"))
+    return _groups(docs, id_col, text_col, slice_rows).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), text_key(F.col(text_col)).alias("text_hash"))
     hashed = cut(hashed.withColumns({"h": F.xxhash64("digest"), "row": F.monotonically_increasing_id()}))
-    flagged = possibly_repeated(hashed)
+    flagged = possibly_repeated(hashed, slice_rows)
     alone = flagged.where(~F.col("repeated")).select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "text_hash"
     )
-    again = flagged.where("repeated").select("doc_id", "digest", "row")
+    again = flagged.where("repeated").select("doc_id", "digest", "row", "text_hash")
     best = again.groupBy("digest").agg(
         F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "row", "doc_id")).alias("best"), F.count("*").alias("group_size")
     )
     joined = again.join(best, "digest").select(
-        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest"
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest", "text_hash"
     )
-    return alone.unionByName(joined).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return alone.unionByName(joined)
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the repeated texts; columns as before. Rows that can't be repeated are not shuffled."""
-    hashes = cut(docs.select(F.xxhash64(text_digest(F.col(text_col))).alias("h")))
-    repeated = possibly_repeated(hashes).where("repeated").select("h").distinct()
-    # A hash that the Bloom pass flags is looked up by a join; its side holds flagged hashes only.
-    repeated = cut(repeated)
-    n = repeated.count()
-    names = docs.columns
-    keyed = docs.withColumns({"__digest": text_digest(F.col(text_col))}).withColumn("__h", F.xxhash64("__digest"))
-    if n == 0:
-        return docs
-    side = repeated.select(F.col("h").alias("__h"))
-    side = F.broadcast(side) if n <= 2_000_000 else side
-    alone = keyed.join(side, "__h", "left_anti").select(*names)
-    again = keyed.join(side, "__h", "left_semi")
-    best = again.groupBy("__digest").agg(F.max(F.coalesce(F.col(id_col), F.lit(-(2**63)))).alias("__best"))
-    kept = again.join(best, "__digest").where(F.coalesce(F.col(id_col), F.lit(-(2**63))) == F.col("__best"))
-    kept = kept.dropDuplicates(["__digest"]).select(*names)
-    return alone.unionByName(kept)
+    """docs without the repeated texts; columns as before. Only rows that go, or stand for rows that are equal in id as well, are named and looked up."""
+    again = _groups(docs, id_col, text_col).where(F.col("group_size") > 1)
+    # A row is gone if its id isn't the one that stays; rows of equal id and text are told apart by none of them.
+    gone = ~F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    named = again.groupBy("doc_id", "text_hash", gone.alias("gone")).agg(F.count("*").alias("times")).where(F.col("gone") | (F.col("times") > 1))
+    return keep_rows(docs, named.select("doc_id", "text_hash", "gone"), id_col, text_col)

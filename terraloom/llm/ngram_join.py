@@ -2,7 +2,8 @@
 
 A document's set holds the hashes of its distinct word 4-grams. Equal sets are one from the start. Sets are
 ordered by how often their members' hash buckets occur in the corpus, rare first, and each set is listed under the
-members of its prefix only: two sets that are similar enough share a prefix member. Lists of one set are left out.
+members of its prefix only: two sets that are similar enough share a prefix member. Entries whose list holds no other
+set near enough in size and place are left out, in the shuffle that brings the lists together.
 
 1. *Computed answers.* Each list has a leader, the set that meets most others. Each set is compared with the leaders of its
    largest lists, where sizes and places allow a link; how many members they share is kept.
@@ -227,6 +228,30 @@ def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column, perce
     return sizes & ((100 + percent) * F.least(n_a - place_a, n_b - place_b) >= percent * (n_a + n_b))
 
 
+def _with_partners(entries: DataFrame, percent: int) -> DataFrame:
+    """The entries that another set of their list can link with, by sizes and places; c is the list's length.
+
+    In a list ordered by size the three entries on each side tell: two by size and place, and whether sizes beyond the
+    third are still near enough. A list that is counted in several parts is kept as it is.
+    """
+    order = Window.partitionBy("member", "part").orderBy("n", "set_id")
+    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    other = F.struct("set_id", "n", "place")
+    beside = {f"at{k}": F.lag(other, k).over(order) if k > 0 else F.lead(other, -k).over(order) for k in (1, 2, 3, -1, -2, -3)}
+    seen = entries.withColumns({**beside, "c": F.count("*").over(whole) * F.col("parts"), "lo": F.min("set_id").over(whole), "hi": F.max("set_id").over(whole)})
+
+    def can_link(k: int) -> Column:
+        at = F.col(f"at{k}")
+        near = 100 * F.least("n", at["n"]) >= percent * F.greatest("n", at["n"])
+        return F.coalesce(near if abs(k) == 3 else _reachable(F.col("n"), F.col("place"), at["n"], at["place"], percent) & (at["set_id"] != F.col("set_id")), F.lit(False))
+
+    some = can_link(1)
+    for k in (2, 3, -1, -2, -3):
+        some = some | can_link(k)
+    kept = seen.where((F.col("parts") > 1) | ((F.col("lo") != F.col("hi")) & some))
+    return kept.groupBy("member", "set_id", "n", "place").agg(F.max("c").alias("c"))
+
+
 def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -257,12 +282,12 @@ def _nearest(answers: DataFrame) -> DataFrame:
     )
 
 
-def _open_pairs(held: DataFrame, known: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets that aren't connected yet and share a prefix member, after skipping lists and blocks; with what their leaders tell."""
-    # One row a set brings its root and its leader's answer to all its entries.
+def _open_pairs(held: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets (a, b, with sizes n_a, n_b) that aren't connected yet and share a prefix member, after skipping lists and blocks."""
+    # One row a set brings its root to all its entries.
     per_set = held.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_list(F.struct("member", "place")).alias("entries"))
-    named = per_set.join(known, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = cut_table(named.select("set_id", "n", "root", "near", "near_n", "near_shared", F.inline("entries")))
+    named = per_set.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = cut_table(named.select("set_id", "n", "root", F.inline("entries")))
     still = named.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
     open_ = cut_table(named.join(still, "member", "left_semi"))
     blocks = open_.groupBy("member", "n", "place").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -274,18 +299,23 @@ def _open_pairs(held: DataFrame, known: DataFrame, percent: int) -> DataFrame:
         & ~((F.col("lo_a") == F.col("hi_b")) & (F.col("hi_a") == F.col("lo_b")))
     )
     pairs_of_blocks = side("a").join(side("b"), "member").where(can_link).select("member", "n_a", "place_a", "n_b", "place_b")
-    entry = lambda s: open_.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "set_id", "root", "near", "near_n", "near_shared")))
+    entry = lambda s: open_.select("member", *(F.col(c).alias(f"{c}_{s}") for c in ("n", "place", "set_id", "root")))
     met = pairs_of_blocks.join(entry("a"), ["member", "n_a", "place_a"]).join(entry("b"), ["member", "n_b", "place_b"]).where(F.col("root_a") != F.col("root_b"))
+    is_less = F.col("set_id_a") < F.col("set_id_b")
+    sized = [F.when(is_less, F.col(f"n_{x}")).otherwise(F.col(f"n_{y}")).alias(f"n_{x}") for x, y in ("ab", "ba")]
+    return met.select(*_pair("set_id_a", "set_id_b"), *sized).distinct()
+
+
+def _derived(pairs: DataFrame, nearest: DataFrame, percent: int) -> DataFrame:
+    """pairs plus the boolean derived: whether they link where the answers of the set that is nearest to both tell it, else null."""
+    side = lambda s: nearest.select(F.col("set_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("near", "near_n", "near_shared")))
+    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
     same = F.coalesce(F.col("near_a") == F.col("near_b"), F.lit(False))
-    more = F.least(
-        F.col("near_shared_a") + F.col("n_b") - F.col("near_shared_b"),
-        F.col("near_shared_b") + F.col("n_a") - F.col("near_shared_a"),
-    )
+    # Of what both share with the nearest set at least the overlap is common; beyond it, at most what each has besides.
     less = F.col("near_shared_a") + F.col("near_shared_b") - F.col("near_n_a")
-    return met.select(
-        *_pair("set_id_a", "set_id_b"),
-        F.when(same & _links(less, F.col("n_a"), F.col("n_b"), percent), True).when(same & ~_links(more, F.col("n_a"), F.col("n_b"), percent), False).alias("derived"),
-    ).distinct()
+    more = F.least("near_shared_a", "near_shared_b") + F.least(F.col("n_a") - F.col("near_shared_a"), F.col("n_b") - F.col("near_shared_b"))
+    links = same & _links(less, F.col("n_a"), F.col("n_b"), percent)
+    return both.withColumn("derived", F.when(links, True).when(same & ~_links(more, F.col("n_a"), F.col("n_b"), percent), False)).select("a", "b", "derived")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT, list_part: int = LIST_PART) -> DataFrame:
@@ -306,18 +336,14 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     entry = "member long, parts long, part long, set_id binary, n long, place long"
     entries = rows.select("text").mapInPandas(_listed(n, percent, spark.sparkContext.broadcast(often), list_part), entry)
-    part_of_list = Window.partitionBy("member", "part")
-    counted = entries.withColumns({"lo": F.min("set_id").over(part_of_list), "hi": F.max("set_id").over(part_of_list), "c": F.count("*").over(part_of_list) * F.col("parts")})
-    # A list in several parts is kept as it is; most lists have one part and one set.
-    repeated = counted.where((F.col("parts") > 1) | (F.col("lo") != F.col("hi")))
-    held = cut_table(repeated.groupBy("member", "set_id", "n", "place").agg(F.max("c").alias("c")))
+    held = cut_table(_with_partners(entries, percent))
 
     answers = _answers(cut(_leader_pairs(held, percent)), nodes, rows, n)
     found = answers.where(_links(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     roots = cut(components(found)).withColumnsRenamed({"node": "set_id"})
-    known = roots.join(_nearest(answers), "set_id", "full_outer")
 
-    open_pairs = cut(_open_pairs(held, known, percent).join(answers.select("a", "b"), ["a", "b"], "left_anti"))
+    open_pairs = cut(_open_pairs(held, roots, percent).join(answers.select("a", "b"), ["a", "b"], "left_anti"))
+    open_pairs = cut(_derived(open_pairs, _nearest(answers), percent))
     more = _answers(open_pairs.where(F.col("derived").isNull()).select("a", "b"), nodes, rows, n)
     more = more.where(_links(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     links = found.unionByName(more).unionByName(open_pairs.where("derived").select("a", "b"))
