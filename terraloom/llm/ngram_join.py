@@ -128,7 +128,7 @@ def _scan(n: int):
         for f in batches(frames):
             found = sets(f["text"].tolist())
             waiting += found
-            if sum(map(len, waiting)) > 1 << 21:
+            if sum(map(len, waiting)) > 1 << 20:
                 count()
             rows = [(i, h, len(m), set_id(m) if len(m) else None, None, None) for i, h, m in zip(f["doc_id"], f["text_hash"], found, strict=True)]
             any_row = True
@@ -145,13 +145,15 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_PARTS, np.int64)
     for c in rows["counts"]:
         total += np.frombuffer(zlib.decompress(c), "<u4")
-    return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.tobytes()]})
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def _list_parts(often: np.ndarray, part: int) -> np.ndarray:
-    """In how many parts the lists of each bucket's members are counted: as its count stands out of the buckets' mean."""
+def _crowded_buckets(often: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarray]:
+    """The buckets whose members' lists are counted in more than one part, and in how many: as their counts stand out of the mean."""
     mean = often.mean()
-    return 1 + np.maximum(0, often - mean - 6 * mean**0.5).astype(np.int64) // part
+    most = int(mean + 6 * mean**0.5) + part
+    buckets = np.flatnonzero(often >= most)
+    return buckets, 1 + (often[buckets].astype(np.int64) - most + part) // part
 
 
 def _listed(n: int, percent: int, order, part: int):
@@ -159,7 +161,7 @@ def _listed(n: int, percent: int, order, part: int):
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, often, seen = Hasher(n), order.value, set()
-        parts = _list_parts(often, part)
+        crowded, times = _crowded_buckets(often, part)
         for f in batches(frames):
             out = []
             for members in sets(f["text"].tolist()):
@@ -167,7 +169,10 @@ def _listed(n: int, percent: int, order, part: int):
                     seen.add(key)
                     p, bucket = prefix_size(len(members), percent), _buckets(members)
                     first = np.lexsort((members, often[bucket]))[:p]
-                    of = parts[bucket[first]]
+                    of = np.ones(p, np.int64)
+                    if len(crowded):
+                        at = np.minimum(np.searchsorted(crowded, bucket[first]), len(crowded) - 1)
+                        of = np.where(crowded[at] == bucket[first], times[at], 1)
                     out.append((members[first].view(np.int64), of, key[0] * 256 % of, [key] * p, np.full(p, len(members)), np.arange(p)))
             if out:
                 columns = dict(zip(("member", "parts", "part", "set_id", "n", "place"), zip(*out, strict=True), strict=True))
@@ -326,9 +331,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     scanned = cut_table(rows.mapInPandas(_scan(n), "doc_id long, text_hash long, n long, set_id binary, part long, counts binary"))
     sums = scanned.where(F.col("part").isNotNull()).select("part", "counts").groupBy("part").applyInPandas(_summed, "part long, counts binary")
     width = (1 << SKETCH_BITS) // SKETCH_PARTS
-    often = np.zeros(1 << SKETCH_BITS, np.int64)
-    for row in sums.toLocalIterator():  # 256 rows of 128 kB, whatever the input
-        often[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.int64)
+    often = np.zeros(1 << SKETCH_BITS, np.uint32)
+    for row in sums.toLocalIterator():  # 256 rows of 64 kB, whatever the input
+        often[row["part"] * width : (row["part"] + 1) * width] = np.frombuffer(row["counts"], np.uint32)
     members = scanned.where(F.col("part").isNull()).select("doc_id", "text_hash", "n", "set_id")
     # One row per distinct set: the row with the least id stands for it.
     nodes = members.where(F.col("n") > 0).groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("set_id", "one.doc_id", "one.text_hash")

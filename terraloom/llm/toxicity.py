@@ -61,6 +61,8 @@ MISSED = 1.5
 RANDOM_STRETCHES, HARD_STRETCHES = 3000, 1000
 #: Places looked up at a time, so that what is in use stays in a core's cache.
 PLACES = 1 << 15
+#: Characters and places worked on at a time, so that little memory is in use.
+BLOCK = 1 << 18
 
 
 def _letter(char: str) -> int:
@@ -181,10 +183,10 @@ def start_norms(codes: np.ndarray) -> np.ndarray:
     return out * is_letter[:n]
 
 
-def stretch_values(codes: np.ndarray, tables: list[np.ndarray], bias: float, norms: np.ndarray | None = None) -> np.ndarray:
+def stretch_values(codes: np.ndarray, tables: list[np.ndarray], bias: float) -> np.ndarray:
     """The machine's value of the stretch from each place on, for each of the WINDOWS."""
     sums = np.concatenate([[0], np.cumsum(start_sums(codes, tables), dtype=np.float64)])
-    squares = np.concatenate([[0], np.cumsum(start_norms(codes) if norms is None else norms, dtype=np.float64)])
+    squares = np.concatenate([[0], np.cumsum(start_norms(codes), dtype=np.float64)])
     out = np.empty((len(WINDOWS), len(codes)), np.float32)
     for k, width in enumerate(WINDOWS):
         end = np.minimum(np.arange(len(codes)) + width, len(codes))
@@ -192,6 +194,17 @@ def stretch_values(codes: np.ndarray, tables: list[np.ndarray], bias: float, nor
     return out
 
 
+def highest_stretches(codes: np.ndarray, tables: list[np.ndarray], bias: float) -> tuple[np.ndarray, np.ndarray]:
+    """At each place, the higher value of its stretches, and which of the WINDOWS it is; in blocks, so that little memory is in use."""
+    values, which = np.empty(len(codes), np.float32), np.empty(len(codes), np.int8)
+    for at in range(0, len(codes), BLOCK):
+        n = min(BLOCK, len(codes) - at)
+        both = stretch_values(codes[at : at + n + REST + SPAN], tables, bias)[:, :n]
+        which[at : at + n] = both.argmax(axis=0)
+        values[at : at + n] = both.max(axis=0)
+    return values, which
+
+
 def sentence_values(texts: list[str], machine: dict) -> tuple[np.ndarray, np.ndarray]:
     """The values of the texts' sentences, and the text that each belongs to."""
     codes, begins, text = sentence_codes(texts)
@@ -200,7 +213,7 @@ def sentence_values(texts: list[str], machine: dict) -> tuple[np.ndarray, np.nda
     letters = LATIN if codes.max() < LATIN else LETTERS
     if letters not in machine["tables"]:
         machine["tables"][letters] = fold(machine["marks"], machine["alpha"], letters)
-    values = stretch_values(codes, machine["tables"][letters], machine["bias"]).max(axis=0)
+    values, _ = highest_stretches(codes, machine["tables"][letters], machine["bias"])
     return np.maximum.reduceat(values, begins), text
 
 
@@ -313,7 +326,7 @@ class _Kernel:
     def gram(self) -> np.ndarray:
         return self.weights @ self.weights.T
 
-    def __call__(self, codes: np.ndarray, norms: np.ndarray, begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    def __call__(self, codes: np.ndarray, begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
         out = np.zeros((len(begins), len(self.weights)))
         for at in range(0, len(begins), 64):
             starts = begins[at : at + 64, None] + np.arange(REST)
@@ -330,22 +343,35 @@ class _Kernel:
             row = np.concatenate(flat)
             order = np.argsort(row, kind="stable")
             edges = np.flatnonzero(np.diff(row[order], prepend=-1))
-            if not len(edges):
+            if not len(edges):  # no subsequence of a landmark: all values are 0
                 continue
             held = self.by_key[np.concatenate(places)[order]] * np.concatenate(weights)[order, None]
             out[at + row[order[edges]]] = np.add.reduceat(held, edges)
-            own = np.where(inside, norms[starts], 0).sum(axis=1)
+            own = np.array([start_norms(codes[a : a + w + SPAN])[:w].sum() for a, w in zip(begins[at : at + 64], widths[at : at + 64], strict=True)])
             out[at : at + 64] /= np.sqrt(own + LEAST_NORM)[:, None]
         return out
 
 
+def _all_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As sentence_codes, made a slice of the texts at a time."""
+    codes, begins, text, places, first = [], [], [], 0, 0
+    for part in text_slices(pd.Series(texts, dtype=object), BLOCK):
+        c, b, t = sentence_codes(part.tolist())
+        codes.append(c)
+        begins.append(b + places)
+        text.append(t + first)
+        places, first = places + len(c), first + len(part)
+    none = np.zeros(0, np.int64)
+    return np.concatenate([np.zeros(0, np.int8), *codes]), np.concatenate([none, *begins]), np.concatenate([none, *text])
+
+
 def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, odds: float = 1.0, seed: int = 7) -> dict | None:
     """Landmarks with their weights, the bias and the logistic fit; None without rows of both classes that hold letters.
 
     odds: how much likelier a toxic row is among all rows than in the sample, which may hold all rows of one class only.
     """
     y = np.asarray(labels)
-    codes, begins, text = sentence_codes(texts)
+    codes, begins, text = _all_codes(texts)
     if len(set(y[np.unique(text)].tolist())) < 2:
         return None
     rng = np.random.default_rng(seed)
@@ -354,24 +380,23 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, odds:
     kernel = _Kernel(marks)
     value, vector = np.linalg.eigh(kernel.gram() + 1e-3 * np.eye(len(marks)))
     whiten = vector / np.sqrt(np.maximum(value, 1e-6)) @ vector.T
-    norms = start_norms(codes)
     codes = np.pad(codes, (0, REST + SPAN))
-    norms = np.pad(norms, (0, REST + SPAN))
     is_toxic = y[text] == 1
     ends = np.append(begins[1:], len(codes) - REST - SPAN)
     letters = LATIN if codes.max() < LATIN else LETTERS
 
-    def stretches(values: np.ndarray, sentences: np.ndarray) -> np.ndarray:
+    def stretches(values: np.ndarray, which: np.ndarray, sentences: np.ndarray) -> np.ndarray:
         """Kernel features of the highest stretch of each of the sentences."""
-        best = values.argmax(axis=0)
-        top = values.max(axis=0)
-        places = np.array([begins[i] + int(np.argmax(top[begins[i] : ends[i]])) for i in sentences], np.int64)
-        return kernel(codes, norms, places, np.array(WINDOWS)[best[places]]) @ whiten
-
-    clean = np.concatenate([np.arange(a, b) for a, b in zip(begins[~is_toxic], ends[~is_toxic], strict=True)])
-    clean = clean[codes[clean] > 0]
-    negative = rng.choice(clean, min(RANDOM_STRETCHES, len(clean)), replace=False)
-    against = kernel(codes, norms, negative, rng.choice(WINDOWS, len(negative))) @ whiten
+        places = np.array([begins[i] + int(np.argmax(values[begins[i] : ends[i]])) for i in sentences], np.int64)
+        return kernel(codes, places, np.array(WINDOWS)[which[places]]) @ whiten
+
+    # Random places of clean sentences: a sentence by its length, then a letter of it.
+    clean = np.flatnonzero(~is_toxic)
+    length = (ends - begins)[clean]
+    picked = clean[rng.choice(len(clean), RANDOM_STRETCHES, p=length / length.sum())]
+    negative = begins[picked] + (rng.random(RANDOM_STRETCHES) * (ends - begins)[picked]).astype(np.int64)
+    negative = negative[codes[negative] > 0]
+    against = kernel(codes, negative, rng.choice(WINDOWS, len(negative))) @ whiten
     # The first machine learns from the landmarks that are likelier in toxic documents.
     lift = np.array(lift)
     telling = lift > 1 if (lift > 1).any() else lift > 0 if (lift > 0).any() else lift == lift.max()
@@ -383,17 +408,17 @@ def train(texts: list[str], labels: list[int], landmarks: int = LANDMARKS, odds:
         alpha = whiten @ w / kernel.norm
         if round_ + 1 == ROUNDS:
             break
-        values = stretch_values(codes, fold(marks, alpha, letters), bias, norms)
-        top = np.maximum.reduceat(values.max(axis=0), begins)
+        values, which = highest_stretches(codes, fold(marks, alpha, letters), bias)
+        top = np.maximum.reduceat(values, begins)
         # The highest sentences of each document. Labels can be wrong: a toxic document without a sentence above 0 gives no witness.
         order = np.lexsort((-top, text))
         rank = np.arange(len(order)) - np.searchsorted(text, text[order])
         ours = order[is_toxic[order] & (rank < WITNESSES) & (top[order] > 0)]
         hard = order[~is_toxic[order] & (rank == 0)]
         hard = hard[np.argsort(-top[hard], kind="stable")[:HARD_STRETCHES]]
-        witnesses, times = np.concatenate([witnesses, stretches(values, ours)]), np.append(times, np.ones(len(ours)))
-        against = np.concatenate([against, stretches(values, hard)])
-    values = np.maximum.reduceat(stretch_values(codes, fold(marks, alpha, letters), bias, norms).max(axis=0), begins)
+        witnesses, times = np.concatenate([witnesses, stretches(values, which, ours)]), np.append(times, np.ones(len(ours)))
+        against = np.concatenate([against, stretches(values, which, hard)])
+    values = np.maximum.reduceat(highest_stretches(codes, fold(marks, alpha, letters), bias)[0], begins)
     edges = np.searchsorted(text, np.arange(len(texts) + 1))
     x = np.array([_features(values[a:b]) for a, b in zip(edges, edges[1:], strict=False)])
     scale = np.maximum(x.std(axis=0), 1e-6)

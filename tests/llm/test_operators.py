@@ -137,15 +137,18 @@ def test_stretches_equal_the_sum_over_landmarks():
     marks = toxicity._marks(["idiot", "worthless scum", "garden"])
     alpha = np.array([1.0, 2.0, -0.5])
     codes, begins, _ = toxicity.sentence_codes(["an i*d--i o t wor\u0442hless. scumm\ngardens of idiots"])
-    found, rows = toxicity.stretch_values(codes, toxicity.fold(marks, alpha), 0.25), [_weights(m, range(len(m)))[0] for m in marks]
+    tables = toxicity.fold(marks, alpha)
+    found, rows = toxicity.stretch_values(codes, tables, 0.25), [_weights(m, range(len(m)))[0] for m in marks]
     norms = toxicity.start_norms(codes)
     for k, width in enumerate(toxicity.WINDOWS):
         for begin in range(0, len(codes), 3):
             assert found[k, begin] == pytest.approx(_value(codes, begin, width, rows, alpha, 0.25), rel=1e-3, abs=1e-4)
             assert norms[begin] == pytest.approx(_weights(codes, [begin])[1], rel=1e-3, abs=1e-6)
+    values, which = toxicity.highest_stretches(codes, tables, 0.25)
+    assert (values == found.max(axis=0)).all() and (which == found.argmax(axis=0)).all()
     kernel = toxicity._Kernel(marks)
     padded, places = np.pad(codes, (0, 40)), np.arange(0, len(codes), 5)
-    got = kernel(padded, np.pad(norms, (0, 40)), places, np.full(len(places), 6)) @ (alpha * kernel.norm) + 0.25
+    got = kernel(padded, places, np.full(len(places), 6)) @ (alpha * kernel.norm) + 0.25
     assert got == pytest.approx([_value(codes, i, 6, rows, alpha, 0.25) for i in places], rel=1e-3, abs=1e-4)
 
 
