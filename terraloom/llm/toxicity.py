@@ -314,20 +314,20 @@ class _Kernel:
         starts = np.arange(len(marks))[:, None] * (marks.shape[1] + SPAN) + np.arange(marks.shape[1])
         found = [(key, weight) for key, weight in _keys(codes, starts)]
         self.keys = np.unique(np.concatenate([k[k >= 0] for k, _ in found]))
-        self.weights = np.zeros((len(marks), len(self.keys)))
+        weights = np.zeros((len(self.keys), len(marks)), np.float32)
         for key, weight in found:
             row, _ = np.nonzero(key >= 0)
-            np.add.at(self.weights, (row, np.searchsorted(self.keys, key[key >= 0])), weight)
-        self.norm = np.sqrt((self.weights**2).sum(axis=1))
+            np.add.at(weights, (np.searchsorted(self.keys, key[key >= 0]), row), weight)
+        self.norm = np.sqrt(np.einsum("km,km->m", weights, weights, dtype=np.float64))
         self.norm[self.norm == 0] = 1
-        self.weights /= self.norm[:, None]
-        self.by_key = self.weights.T.copy()
+        weights /= self.norm
+        self.by_key = weights
 
     def gram(self) -> np.ndarray:
-        return self.weights @ self.weights.T
+        return (self.by_key.T @ self.by_key).astype(np.float64)
 
     def __call__(self, codes: np.ndarray, begins: np.ndarray, widths: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(begins), len(self.weights)))
+        out = np.zeros((len(begins), self.by_key.shape[1]))
         for at in range(0, len(begins), 64):
             starts = begins[at : at + 64, None] + np.arange(REST)
             inside = np.arange(REST) < widths[at : at + 64, None]
@@ -345,7 +345,7 @@ class _Kernel:
             edges = np.flatnonzero(np.diff(row[order], prepend=-1))
             if not len(edges):  # no subsequence of a landmark: all values are 0
                 continue
-            held = self.by_key[np.concatenate(places)[order]] * np.concatenate(weights)[order, None]
+            held = self.by_key[np.concatenate(places)[order]] * np.concatenate(weights)[order, None].astype(np.float32)
             out[at + row[order[edges]]] = np.add.reduceat(held, edges)
             own = np.array([start_norms(codes[a : a + w + SPAN])[:w].sum() for a, w in zip(begins[at : at + 64], widths[at : at + 64], strict=True)])
             out[at : at + 64] /= np.sqrt(own + LEAST_NORM)[:, None]
