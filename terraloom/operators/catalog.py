@@ -39,8 +39,10 @@ def covering(aois: DataFrame, scenes: DataFrame, cell: float = CELL) -> DataFram
 
 def search_scenes(aois: DataFrame, scenes: DataFrame, collection: str, as_of: str, days: int = 90, max_cloud: float = 30.0) -> DataFrame:
     """Scenes of a collection over each area, of the days up to as_of (both ends included), with less cloud than max_cloud."""
-    day, last = F.to_date("dt"), F.lit(as_of).cast("date")
-    wanted = scenes.where((F.col("collection") == collection) & (day >= F.date_sub(last, days)) & (day <= last) & (F.col("cloud_cover") < max_cloud))
+    last = F.lit(as_of).cast("date")
+    # The column is compared as it is stored, so that the scan can skip files and row groups by it.
+    in_days = (F.col("dt") >= F.date_sub(last, days)) & (F.col("dt") < F.date_add(last, 1))
+    wanted = scenes.where((F.col("collection") == collection) & in_days & (F.col("cloud_cover") < max_cloud))
     return covering(aois, wanted)
 
 

@@ -82,8 +82,11 @@ def fallback_pixels(coarse: DataFrame) -> DataFrame:
 
 
 def _coarse_record() -> list:
-    v = F.col("ndvi")
-    return [F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std")]
+    """Sums are of the stored integers and scaled once, so that no order of rows or partitions shows in the digits."""
+    v = F.when(F.col("raw") > FILL, F.col("raw").cast("long"))
+    mean = F.sum(v) / F.count(v)
+    spread = F.sqrt(F.greatest(F.sum(v * v) / F.count(v) - mean * mean, F.lit(0.0)))
+    return [(stat * F.lit(SCALE)).alias(name) for stat, name in ((mean, "mean"), (F.min(v), "min"), (F.max(v), "max"), (spread, "std"))]
 
 
 def _completed(stats: DataFrame, *keys: str) -> DataFrame:

@@ -8,6 +8,10 @@ from terraloom.sources.fixtures import AS_OF, with_views
 _CLASS_ROWS = ", ".join(f"({k}, '{v}')" for k, v in CLASSES.items())
 
 #: Named parts that several queries share; each may use those before it.
+#: Statistics of the coarse index from the stored integers, scaled once.
+_COARSE = """sum(raw) / count(raw) * 0.0001e0 as mean, min(raw) * 0.0001e0 as min, max(raw) * 0.0001e0 as max,
+    sqrt(greatest(sum(raw::bigint * raw) / count(raw) - (sum(raw) / count(raw)) * (sum(raw) / count(raw)), 0)) * 0.0001e0 as std"""
+
 PARTS = {
     "box": """select aoi_id, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from fx_aoi_vertex where ring = 0 group by aoi_id""",
     "area": """select *, ((maxx - minx) * 111.32e0) * ((maxy - miny) * 111.32e0) as km2 from box""",
@@ -38,9 +42,9 @@ PARTS = {
           any_value(n_scenes) as scene_count from touched t join area using (aoi_id) join composite using (r, c)
           join (select aoi_id, count(distinct scene_id) as n_scenes from search group by aoi_id) f using (aoi_id)
           where ndvi > -1 and ndvi < 1 and n_scenes >= 2 and km2 <= {limit} group by t.aoi_id""",
-    "quarter": """select m.r, m.c, case when raw > -2000 then raw * 0.0001e0 end as ndvi from fx_modis m
+    "quarter": """select m.r, m.c, case when raw > -2000 then raw end as raw from fx_modis m
           join (select month, min(half) as half from fx_modis where month in (1, 4, 7, 10) group by month) f using (month, half)""",
-    "coarse": """select avg(ndvi) as mean, min(ndvi) as min, max(ndvi) as max, stddev_pop(ndvi) as std from quarter""",
+    "coarse": f"select {_COARSE} from quarter",
     "terrain": """select *, round(max - min, 1) as elevation_range_m, case when max - min < 50 then 'relatively flat' when max - min < 300 then 'moderately undulating'
           when max - min is not null then 'highly variable or mountainous' end as terrain_type from elevation""",
     "flat": """select a.aoi_id, round(t.mean, 6) as dem_mean, round(t.std, 6) as dem_std, elevation_range_m, terrain_type,
@@ -103,7 +107,7 @@ QUERIES = {
     "ndvi_median": "select r, c, round(ndvi, 9) as ndvi from composite",
     "ndvi_stats": f"select aoi_id, {_ELEVATION}, round(p25, 6) as p25, round(p75, 6) as p75, scene_count, 20 as resolution_m, 'median_composite_optimized' as method from veg",
     "ndvi_fallback": f"select {_ELEVATION}, 500 as resolution_m, 'modis_fallback' as method from coarse",
-    "ndvi_fallback_clipped": "select aoi_id, round(avg(ndvi), 6) as mean, round(min(ndvi), 6) as min, round(max(ndvi), 6) as max, round(stddev_pop(ndvi), 6) as std from center join quarter using (r, c) group by aoi_id having avg(ndvi) is not null",
+    "ndvi_fallback_clipped": f"select aoi_id, {_ELEVATION} from (select aoi_id, {_COARSE} from center join quarter using (r, c) group by aoi_id) t where mean is not null",
     "ndvi_resolved": """select a.aoi_id, round(coalesce(v.mean, k.mean), 6) as mean, round(p25, 6) as p25, coalesce(scene_count, 0) as scene_count, case when v.mean is null then 500 else 20 end as resolution_m,
         case when v.mean is null then 'modis_fallback' else 'median_composite_optimized' end as method,
         case when v.mean is null then 'Coarse resolution (500m) - use smaller areas for better accuracy' end as warning from fx_aoi a left join veg v using (aoi_id), coarse k""",

@@ -32,14 +32,16 @@ def regrid(pixels: DataFrame, x0: float, y0: float, resolution: float, value: st
 def search_places(places: DataFrame, queries: DataFrame, k: int = 5, least: int = 3) -> DataFrame:
     """Up to k places for each query of at least so many characters: those whose name has a word that begins with the query.
 
-    Names are cut into the prefixes of their words, so that the match is an equi-join on a prefix as long as the shortest query.
+    Each distinct string is answered once. Names are cut into the prefixes of their words, so that the match is an
+    equi-join on a prefix as long as the shortest query; only the k best of a string meet the queries that ask for it.
     """
     asked = queries.where(F.length(F.trim("q")) >= least).select("query_id", F.lower(F.trim("q")).alias("q"))
-    asked = asked.withColumn("start", F.substring("q", 1, least))
-    named = places.withColumn("word", F.explode(F.array_distinct(F.split(F.lower("display_name"), " "))))
-    named = named.withColumn("start", F.substring("word", 1, least))
-    found = asked.join(named, "start").where(F.col("word").startswith(F.col("q"))).dropDuplicates(["query_id", "place_id"])
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("display_name", "place_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select(
+    strings = asked.select("q", F.substring("q", 1, least).alias("start")).distinct()
+    words = F.filter(F.array_distinct(F.split(F.lower("display_name"), " ")), lambda w: F.length(w) >= least)
+    named = places.withColumn("word", F.explode(words)).withColumn("start", F.substring("word", 1, least))
+    found = strings.join(named, "start").where(F.col("word").startswith(F.col("q"))).dropDuplicates(["q", "place_id"])
+    rank = F.row_number().over(Window.partitionBy("q").orderBy("display_name", "place_id"))
+    best = found.withColumn("rank", rank).where(F.col("rank") <= k).drop("start", "word")
+    return asked.join(best, "q").select(
         "query_id", "rank", "place_id", "display_name", F.col("lat").try_cast("double").alias("lat"), F.col("lon").try_cast("double").alias("lon")
     )

@@ -183,3 +183,65 @@ def test_edit_keeps_the_box_and_delete_empties_it(spark):
     )
     out = {r["session_id"]: (r["north"], r["is_empty"]) for r in streams.latest_shape(events).collect()}
     assert out == {1: (5.0, False), 2: (0.0, True)}
+
+
+def test_broken_files_are_skipped_if_asked(spark, tmp_path):
+    path = str(tmp_path / "pixels")
+    spark.createDataFrame([(1, 0.5), (2, 0.7)], "r int, v double").coalesce(1).write.parquet(path)
+    (tmp_path / "pixels" / "part-broken.parquet").write_bytes(b"PAR1 this is no file of pixels PAR1")
+    schema = "r int, v double"
+    assert rasters.read_pixels(spark.newSession(), path, skip_broken=True).count() == 2
+    with pytest.raises(Exception, match="(?i)parquet|footer|corrupt|FAILED_READ"):
+        spark.read.schema(schema).parquet(path).count()
+
+
+def _run(stream, name, mode):
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    query.processAllAvailable()
+    query.stop()
+
+
+def test_a_stream_of_requests_is_enriched_once_each(spark, tmp_path):
+    path = str(tmp_path / "requests")
+    rows = [("a", "2024-01-01 00:00:00", 1), ("b", "2024-01-01 00:01:00", 2), ("a", "2024-01-01 00:02:00", 1), ("c", "2024-01-01 00:03:00", 9)]
+    requests = spark.createDataFrame(rows, "request_id string, ts string, aoi_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    requests.coalesce(1).write.parquet(path)
+    contexts = spark.createDataFrame([(1, "hills"), (2, "plain")], "aoi_id long, terrain string")
+    _run(streams.enrich_requests(spark.readStream.schema(requests.schema).parquet(path), contexts), "enriched", "append")
+    found = sorted(((r["request_id"], r["terrain"]) for r in spark.table("enriched").collect()), key=str)
+    assert found == [("a", "hills"), ("b", "plain"), ("c", None)]
+    assert found == sorted(((r["request_id"], r["terrain"]) for r in streams.enrich_requests(requests, contexts).collect()), key=str)
+
+
+def test_a_stream_of_shapes_updates_each_session(spark, tmp_path):
+    path = str(tmp_path / "shapes")
+    schema = "session_id long, action string, ts timestamp, event_id long, north double, south double, east double, west double"
+    make = lambda *rows: spark.createDataFrame(rows, schema.replace("timestamp", "string")).withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1)
+    first = make((1, "created", "2024-01-01 00:00:00", 1, 2.0, 1.0, 4.0, 3.0), (2, "created", "2024-01-01 00:00:00", 2, 8.0, 7.0, 6.0, 5.0))
+    second = make((1, "edited", "2024-01-01 00:01:00", 3, 9.0, 9.0, 9.0, 9.0), (2, "deleted", "2024-01-01 00:02:00", 4, 0.0, 0.0, 0.0, 0.0))
+    first.write.parquet(path)
+    stream = streams.latest_shape(spark.readStream.schema(first.schema).option("maxFilesPerTrigger", 1).parquet(path))
+    query = stream.writeStream.format("memory").queryName("shapes").outputMode("update").start()
+    query.processAllAvailable()
+    second.write.mode("append").parquet(path)
+    query.processAllAvailable()
+    query.stop()
+    rows = spark.table("shapes").collect()
+    last = {r["session_id"]: tuple(r) for r in rows}  # later updates come later
+    want = {r["session_id"]: tuple(r) for r in streams.latest_shape(first.unionByName(second)).collect()}
+    assert last == want and last[2][-1] and last[1][1:5] == (2.0, 1.0, 4.0, 3.0)
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 8, 32])
+def test_the_clipped_fallback_is_the_same_in_any_partitioning(spark, partitions):
+    cells = grid(spark, 20)
+    coarse = cells.withColumns({"month": F.lit(1), "half": F.lit(1), "raw": ((F.col("r") * 61 + F.col("c") * 37) % 11000 - 2500).cast("int")})
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        found = ndvi.fallback_by_area(coarse.repartition(partitions), areas(spark, [feature(SQUARE)])).first()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    raw = np.array([v for r in range(20) for c in range(20) if (v := (r * 61 + c * 37) % 11000 - 2500) > -2000])
+    assert (found["mean"], found["std"]) == (raw.sum() / len(raw) * 0.0001, pytest.approx(raw.std() * 0.0001, rel=1e-9))
+
