@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import batches, cut
+from terraloom.llm.common import batches, cut, small_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -86,6 +86,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out += [(doc_id, i, start, n, zlib.crc32(codes[start : start + n].tobytes())) for i, (start, n) in enumerate(piece_starts(len(codes), capacity))]
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -33,6 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Rows go to Python in Arrow batches of few rows, as texts can be long; a setting other than Spark's default is kept."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the checkpoint folder that all executors share, and go on from there."""
     shared_folder(df.sparkSession)
@@ -109,6 +116,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: Callable[
 
     Also how many labelled rows each class has in all.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & fit_rows(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     text = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
     parts = [known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for value in (0, 1)]

@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import batches, cut, cut_table, keep_rows, small_side
+from terraloom.llm.common import batches, cut, cut_table, keep_rows, small_batches, small_side
 from terraloom.llm.components import components
 
 NGRAM, PERCENT = 4, 85
@@ -47,8 +47,8 @@ NGRAM, PERCENT = 4, 85
 #: member that occurs more often than a few times the root of that share, so the number of buckets needn't grow as the input does.
 SKETCH_BITS, SKETCH_PARTS = 22, 256
 REMEMBERED = 200_000
-#: Of how many lists each set meets the leaders.
-LEADERS = 3
+#: Of how many lists each set meets the leaders, and among how many of its first lists these are chosen.
+LEADERS, FIRST_LISTS = 3, 12
 #: Lists are counted in parts of about so many entries.
 LIST_PART = 10_000
 #: Sets that a worker keeps while it compares pairs.
@@ -216,7 +216,7 @@ def _answers(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> Dat
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     wanted = cut(nodes.join(wanted, "set_id", "left_semi").withColumnsRenamed({"doc_id": "want_id", "text_hash": "want_hash"}))
     found = docs.join(small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")))
-    texts = cut_table(found.select("set_id", "text").dropDuplicates(["set_id"]))
+    texts = found.select("set_id", "text").dropDuplicates(["set_id"])  # both joins read this one shuffle
     ours = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     theirs = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "text_a", "text_b")
@@ -234,7 +234,7 @@ def _reachable(n_a: Column, place_a: Column, n_b: Column, place_b: Column, perce
 
 
 def _with_partners(entries: DataFrame, percent: int) -> DataFrame:
-    """The entries that another set of their list can link with, by sizes and places; c is the list's length.
+    """Of each set its entries (place, member, c) that another set of their list can link with, by sizes and places; c is the list's length.
 
     In a list ordered by size the three entries on each side tell: two by size and place, and whether sizes beyond the
     third are still near enough. A list that is counted in several parts is kept as it is.
@@ -254,7 +254,7 @@ def _with_partners(entries: DataFrame, percent: int) -> DataFrame:
     for k in (2, 3, -1, -2, -3):
         some = some | can_link(k)
     kept = seen.where((F.col("parts") > 1) | ((F.col("lo") != F.col("hi")) & some))
-    return kept.groupBy("member", "set_id", "n", "place").agg(F.max("c").alias("c"))
+    return kept.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_set(F.struct("place", "member", "c")).alias("entries"))
 
 
 def _pair(a: str, b: str) -> list[Column]:
@@ -262,12 +262,12 @@ def _pair(a: str, b: str) -> list[Column]:
 
 
 def _leader_pairs(held: DataFrame, percent: int) -> DataFrame:
-    """Each set with the leaders of its LEADERS largest lists, where sizes and places allow a link."""
-    meets = held.groupBy("set_id").agg(F.sum("c").alias("meets"))
-    scored = held.join(meets, "set_id")
+    """Each set with the leaders of its LEADERS largest lists, of the first few that it has, where sizes and places allow a link."""
+    meets = F.aggregate("entries", F.lit(0).cast("long"), lambda total, e: total + e["c"])
+    scored = held.select("set_id", "n", meets.alias("meets"), F.inline(F.slice(F.array_sort("entries"), 1, FIRST_LISTS)))
     leaders = scored.groupBy("member").agg(F.max_by(F.struct("set_id", "n", "place"), F.struct("meets", "set_id")).alias("leader"))
     near = (F.col("set_id") != F.col("leader.set_id")) & _reachable(F.col("n"), F.col("place"), F.col("leader.n"), F.col("leader.place"), percent)
-    met = held.join(leaders, "member").where(near).groupBy("set_id", F.col("leader.set_id").alias("leader")).agg(F.max("c").alias("c"))
+    met = scored.join(leaders, "member").where(near).groupBy("set_id", F.col("leader.set_id").alias("leader")).agg(F.max("c").alias("c"))
     nth = F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("c"), "leader"))
     return met.withColumn("nth", nth).where(F.col("nth") <= LEADERS).select(*_pair("set_id", "leader")).distinct()
 
@@ -290,9 +290,8 @@ def _nearest(answers: DataFrame) -> DataFrame:
 def _open_pairs(held: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     """Pairs of sets (a, b, with sizes n_a, n_b) that aren't connected yet and share a prefix member, after skipping lists and blocks."""
     # One row a set brings its root to all its entries.
-    per_set = held.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_list(F.struct("member", "place")).alias("entries"))
-    named = per_set.join(roots, "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
-    named = cut_table(named.select("set_id", "n", "root", F.inline("entries")))
+    named = held.join(small_side(roots, roots.count()), "set_id", "left").withColumn("root", F.coalesce("root", "set_id"))
+    named = named.select("set_id", "n", "root", F.inline("entries")).drop("c")
     still = named.groupBy("member").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where(F.col("lo") != F.col("hi")).select("member")
     open_ = cut_table(named.join(still, "member", "left_semi"))
     blocks = open_.groupBy("member", "n", "place").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
@@ -326,6 +325,7 @@ def _derived(pairs: DataFrame, nearest: DataFrame, percent: int) -> DataFrame:
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT, list_part: int = LIST_PART) -> DataFrame:
     """One row per input row: doc_id, text_hash (xxhash64 of the text), n_shingles, set_id, root (of linked sets), component_id."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     scanned = cut_table(rows.mapInPandas(_scan(n), "doc_id long, text_hash long, n long, set_id binary, part long, counts binary"))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import batches
+from terraloom.llm.common import batches, small_batches
 
 # What the patterns must match.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -150,5 +150,6 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 out.append((doc_id, *n, len(more), hashlib.sha256(written(base).encode()).hexdigest(), written(sorted(base + more) if more else base)))
             yield pd.DataFrame(out, columns=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans"]).astype({"doc_id": "Int64"})
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
