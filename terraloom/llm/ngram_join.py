@@ -241,14 +241,15 @@ def _with_partners(entries: DataFrame, percent: int) -> DataFrame:
     """
     order = Window.partitionBy("member", "part").orderBy("n", "set_id")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    other = F.struct("set_id", "n", "place")
-    beside = {f"at{k}": F.lag(other, k).over(order) if k > 0 else F.lead(other, -k).over(order) for k in (1, 2, 3, -1, -2, -3)}
+    # Column by column: a struct of them would be made before the shuffle and go through it.
+    at = lambda c, k: F.lag(c, k).over(order) if k > 0 else F.lead(c, -k).over(order)
+    beside = {f"{c}_at{k}": at(c, k) for k in (1, 2, 3, -1, -2, -3) for c in ("set_id", "n", "place")}
     seen = entries.withColumns({**beside, "c": F.count("*").over(whole) * F.col("parts"), "lo": F.min("set_id").over(whole), "hi": F.max("set_id").over(whole)})
 
     def can_link(k: int) -> Column:
-        at = F.col(f"at{k}")
-        near = 100 * F.least("n", at["n"]) >= percent * F.greatest("n", at["n"])
-        return F.coalesce(near if abs(k) == 3 else _reachable(F.col("n"), F.col("place"), at["n"], at["place"], percent) & (at["set_id"] != F.col("set_id")), F.lit(False))
+        set_id, n, place = (F.col(f"{c}_at{k}") for c in ("set_id", "n", "place"))
+        near = 100 * F.least(F.col("n"), n) >= percent * F.greatest(F.col("n"), n)
+        return n.isNotNull() & (near if abs(k) == 3 else _reachable(F.col("n"), F.col("place"), n, place, percent) & (set_id != F.col("set_id")))
 
     some = can_link(1)
     for k in (2, 3, -1, -2, -3):
