@@ -42,24 +42,39 @@ def _runs(hashes: Column, length: int) -> Column:
     return F.when(F.size(hashes) >= length, hashed).otherwise(F.array().cast("array<long>"))
 
 
+def _places(runs: Column) -> Column:
+    """Each run as (hash, at)."""
+    return F.transform(runs, lambda h, i: F.struct(h.alias("hash"), i.alias("at")))
+
+
 def _winnowed(hashes: Column) -> Column:
-    """The least hash of each window."""
+    """The runs (hash, at) that hold the least hash of a window that they lie in."""
 
     def least(runs: Column) -> Column:
         at = F.sequence(F.lit(0), F.size(runs) - WINDOW)
         mins = F.transform(at, lambda i: F.least(*(F.get(runs, i + j) for j in range(WINDOW))))
-        return F.when(F.size(runs) >= WINDOW, F.array_distinct(mins)).otherwise(F.array().cast("array<long>"))
+
+        def kept(mins: Column) -> Column:
+            def is_least(p: Column) -> Column:
+                some = F.get(mins, p["at"]) == p["hash"]
+                for j in range(1, WINDOW):  # windows that start before it; outside the text they are null
+                    some = some | (F.get(mins, p["at"] - j) == p["hash"])
+                return some
+
+            return F.filter(_places(runs), is_least)
+
+        return F.when(F.size(runs) >= WINDOW, _let(mins, kept)).otherwise(F.filter(_places(runs), lambda _: F.lit(False)))
 
     return _let(_runs(hashes, RUN), least)
 
 
-def _fingerprints(words_: Column, short: list[int]) -> Column:
-    """All that a document can be hit by: winnowed hashes, and the runs of the short items' lengths."""
+def _hashes(words_: Column) -> Column:
+    return F.transform(words_, lambda w: F.xxhash64(w))
 
-    def both(hashes: Column) -> Column:
-        return F.array_distinct(F.concat(_winnowed(hashes), *(_runs(hashes, n) for n in short)))
 
-    return _let(F.transform(words_, lambda w: F.xxhash64(w)), both)
+def _fingerprints(words_: Column, short: list[int]) -> Column:
+    """All that a document can be hit by, as (hash, at): winnowed hashes, and the runs of the short items' lengths."""
+    return _let(_hashes(words_), lambda hashes: F.concat(_winnowed(hashes), *(_places(_runs(hashes, n)) for n in short)))
 
 
 def _anchor(words_: Column, at: Column, hash_: Column) -> Column:
@@ -73,21 +88,9 @@ def _anchor(words_: Column, at: Column, hash_: Column) -> Column:
     )
 
 
-def _anchors(words_: Column, wanted: Column, lengths: list[int]) -> Column:
-    """Anchors of all places whose run, of any of the lengths, is wanted."""
-
-    def of(length: int):
-        def found(runs: Column) -> Column:
-            places = F.filter(F.sequence(F.lit(0), F.size(runs) - 1), lambda i: F.array_contains(wanted, F.get(runs, i)))
-            return F.when(F.size(runs) > 0, F.transform(places, lambda i: _anchor(words_, i, F.get(runs, i))))
-
-        return found
-
-    def all_lengths(hashes: Column) -> Column:
-        none = F.filter(F.array(_anchor(words_, F.lit(0), F.lit(0).cast("long"))), lambda _: F.lit(False))
-        return F.concat(*(F.coalesce(_let(_runs(hashes, n), of(n)), none) for n in lengths))
-
-    return _let(F.transform(words_, lambda w: F.xxhash64(w)), all_lengths)
+def _anchors(words_: Column, places: Column) -> Column:
+    """The anchors of places (hash, at)."""
+    return F.transform(places, lambda p: _anchor(words_, p["at"], p["hash"]))
 
 
 def _equal_start(a: Column, b: Column) -> Column:
@@ -102,10 +105,10 @@ def item_anchors(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     size = F.size("words")
     short = sorted(r["n"] for r in items.where(size < SPAN).select(size.alias("n")).distinct().collect())  # 9 at most
     full = items.where(size >= SPAN)
-    kept = full.select("item_id", F.lit(SPAN).alias("need"), F.inline(_anchors(F.col("words"), _winnowed(F.transform("words", lambda w: F.xxhash64(w))), [RUN])))
+    kept = full.select("item_id", F.lit(SPAN).alias("need"), F.inline(_anchors(F.col("words"), _winnowed(_hashes(F.col("words"))))))
     parts = [kept]
     for n in short:
-        whole = _runs(F.transform("words", lambda w: F.xxhash64(w)), n)
+        whole = _runs(_hashes(F.col("words")), n)
         one = items.where(size == n).select(
             "item_id",
             F.lit(n).alias("need"),
@@ -124,22 +127,21 @@ def item_anchors(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text_hash: bool = False) -> DataFrame:
     """One row per input row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     anchors, short = item_anchors(benchmark)
-    lengths = [*dict.fromkeys([RUN, *short])]
     wanted = anchors.select("hash").distinct()
     n_wanted = wanted.count()
     text = F.col(text_col)
     keyed = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("text_hash"), words(text).alias("words"))
-    prints = keyed.select("doc_id", "text_hash", F.explode(_fingerprints(F.col("words"), short)).alias("hash"))
-    hits = prints.join(small_side(wanted, n_wanted), "hash").groupBy("doc_id", "text_hash").agg(F.collect_set("hash").alias("wanted"))
+    prints = keyed.select("doc_id", "text_hash", F.inline(_fingerprints(F.col("words"), short)))
+    hits = prints.join(small_side(wanted, n_wanted), "hash").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("hash", "at")).alias("places"))
     hits = cut(hits)
     side = small_side(hits, hits.count()).withColumnsRenamed({"doc_id": "hit_id", "text_hash": "hit_hash"})
     joined = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
     rows = cut(
-        joined.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.when(F.col("wanted").isNotNull(), _anchors(F.col("words"), F.col("wanted"), lengths)).alias("anchors"))
+        joined.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.when(F.col("places").isNotNull(), _anchors(F.col("words"), F.col("places"))).alias("anchors"))
     )
-    places = rows.where(F.col("anchors").isNotNull()).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("anchors"))
+    anchored = rows.where(F.col("anchors").isNotNull()).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("anchors"))
     theirs = small_side(anchors, n_wanted if n_wanted == 0 else anchors.count()).withColumnsRenamed({"before": "item_before", "after": "item_after"})
-    extended = places.join(theirs, "hash").select(
+    extended = anchored.join(theirs, "hash").select(
         "doc_id", "text_hash", "item_id", "need", "at", _equal_start(F.col("before"), F.col("item_before")).alias("left"), _equal_start(F.col("after"), F.col("item_after")).alias("right")
     )
     found = extended.where(F.col("left") + F.col("right") >= F.col("need"))
