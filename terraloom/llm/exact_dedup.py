@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import cut, keep_rows, text_key
+from terraloom.llm.common import BROADCAST_ROWS, cut, keep_rows, text_key
 
 #: Bits that each row gets in the array, and how many of them its hash sets.
 BITS_PER_ROW, HASHES = 16, 3
@@ -116,18 +116,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return _groups(docs, id_col, text_col, slice_rows).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def _groups(docs: DataFrame, id_col: str, text_col: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def _groups(docs: DataFrame, id_col: str, text_col: str, slice_rows: int = SLICE_ROWS, large_groups: int = BROADCAST_ROWS) -> DataFrame:
     hashed = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_digest(F.col(text_col)).alias("digest"), text_key(F.col(text_col)).alias("text_hash"))
     hashed = cut(hashed.withColumns({"h": F.xxhash64("digest"), "row": F.monotonically_increasing_id()}))
     flagged = possibly_repeated(hashed, slice_rows)
     alone = flagged.where(~F.col("repeated")).select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest", "text_hash"
     )
-    again = flagged.where("repeated").select("doc_id", "digest", "row", "text_hash")
+    again = cut(flagged.where("repeated").select("doc_id", "digest", "row", "text_hash"))
     best = again.groupBy("digest").agg(
         F.max(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), "row", "doc_id")).alias("best"), F.count("*").alias("group_size")
     )
-    joined = again.join(best, "digest").select(
+    best = cut(best)
+    # The largest groups are broadcast, so that no group meets in one task; by their share of the rows they are BROADCAST_ROWS at most.
+    is_large = F.col("group_size") * F.lit(large_groups) >= F.lit(again.count())
+    large = F.broadcast(best.where(is_large))
+    rest = again.join(large, "digest", "left_anti").join(best.where(~is_large), "digest")
+    joined = again.join(large, "digest").unionByName(rest).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "digest", "text_hash"
     )
     return alone.unionByName(joined)
