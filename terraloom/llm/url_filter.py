@@ -22,7 +22,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import cut, small_side
+from terraloom.llm.common import BROADCAST_ROWS, cut
 
 ORDER = 4
 SMOOTHING = 4.0
@@ -111,17 +111,31 @@ def _with_rules(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     )
 
 
-def score_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER) -> DataFrame:
-    """One row per distinct page_id and url: page_id, url, copies, score, host, path, rule, decided, counted."""
+def score_urls(pages: DataFrame, rules: tuple[Rule, ...] = RULES, order: int = ORDER, large_grams: int = BROADCAST_ROWS) -> DataFrame:
+    """One row per distinct page_id and url: page_id, url, copies, score, host, path, rule, decided, counted.
+
+    Grams that make up at least 1 / large_grams of all grams (so there are large_grams of them at most) get their ratios by a
+    broadcast. Only the rare others shuffle, and none of those is a hot key.
+    """
+    spark = pages.sparkSession
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url")).groupBy("page_id", "url").agg(F.count("*").alias("copies"))
-    rows = cut(rows)
-    exploded = _with_rules(rows, rules).select("page_id", "url", "copies", "decided", "counted", F.explode(_grams(F.col("url"), order)).alias("gram"))
+    # Each URL becomes dozens of grams: the few bytes of the URLs must not end up in few tasks.
+    spread = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    rows = cut(rows.repartition(spread, "page_id", "url").withColumn("row", F.monotonically_increasing_id()))
+    ruled = _with_rules(rows, rules)
+    exploded = ruled.select("row", "decided", "counted", F.explode(_grams(F.col("url"), order)).alias("gram"))
     counted = lambda action: F.sum(F.when(F.col("counted") & (F.col("decided") == action), 1).otherwise(0))
-    distinct = exploded.groupBy("gram").agg(counted("allow").alias("n_good"), counted("block").alias("n_bad"))
-    ratios = cut(gram_ratios(cut(distinct), order))
-    hits = exploded.join(small_side(ratios, ratios.count()), "gram")
-    scores = hits.groupBy("page_id", "url", "copies").agg(F.avg("ratio").alias("score"))
-    return _with_rules(scores, rules)
+    distinct = cut(exploded.groupBy("gram").agg(counted("allow").alias("n_good"), counted("block").alias("n_bad"), F.count("*").alias("times")))
+    total = distinct.agg(F.sum("times")).first()[0] or 0
+    ratios = cut(gram_ratios(distinct, order).join(distinct.select("gram", "times"), "gram"))
+    is_large = F.col("times") * F.lit(large_grams) >= F.lit(total)
+    large, small = (ratios.where(x).select("gram", "ratio") for x in (is_large, ~is_large))
+    grams = exploded.select("row", "gram")
+    known = grams.join(F.broadcast(large), "gram", "left")
+    found = known.where(F.col("ratio").isNotNull()).select("row", "ratio")
+    rare = known.where(F.col("ratio").isNull()).select("row", "gram").join(small, "gram").select("row", "ratio")
+    scores = found.unionByName(rare).groupBy("row").agg(F.avg("ratio").alias("score"))
+    return ruled.join(scores, "row").drop("row")
 
 
 def threshold(scored: DataFrame) -> float:
