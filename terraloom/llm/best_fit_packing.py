@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import base64
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -65,6 +65,13 @@ def _tokenizer(path: str, ranks_path: str | None):
     return ids
 
 
+def ids_of(tokenizer: str | None = None, ranks: str | None = None) -> Callable[[str], list[int]]:
+    """The function from text to ids; both are paths that all executors can open, by default of the same public vocabulary."""
+    import public_tokenizers
+
+    return _tokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), ranks or (None if tokenizer else public_tokenizers.path("byte_bpe_50k.tiktoken")))
+
+
 def piece_starts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: whole pieces at the end, the first may be shorter."""
     count = -(-n // capacity)
@@ -76,9 +83,7 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id, piece, start, length, ids_crc32 of every document; tokenizer and ranks are paths that all executors can open."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
-
-        ids = _tokenizer(tokenizer or public_tokenizers.path("byte_bpe_50k.json"), ranks or (None if tokenizer else public_tokenizers.path("byte_bpe_50k.tiktoken")))
+        ids = ids_of(tokenizer, ranks)
         for f in batches(frames):
             out = []
             for doc_id, text in zip(f["doc_id"], f["text"], strict=True):

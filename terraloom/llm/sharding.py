@@ -7,7 +7,8 @@ residual capacity is highest. Sizes are shares of the totals; bytes weigh more,
 
 What is packed on the driver is bounded whatever the input: groups above 1/16384 of a total count singly (at
 most 3 x 16384 of them), all others are packed by hash bucket (16384 of them). Both are summed by Spark. A group
-larger than a shard's capacity can't stay whole and is split by a hash of the ids.
+larger than a shard's capacity can't stay whole and is split by a hash of the ids. Moves that even out the bytes afterwards
+are chosen so that tokens and rows come closer as well, or drift least. Tokens are counted with a public vocabulary.
 
 Null texts count as empty. Texts that are empty form a group like any other. An empty table gives an empty result;
 equal ids are put in order by the text's checksum. Other columns are ignored.
@@ -15,12 +16,15 @@ equal ids are put in order by the text's checksum. Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import cut
+from terraloom.llm.best_fit_packing import ids_of
+from terraloom.llm.common import cut, small_batches
 
 #: Groups are counted singly from this share of a total on; all others share so many buckets.
 FINE = 1 << 14
@@ -29,6 +33,16 @@ DIMENSIONS = ("bytes", "tokens", "rows")
 WEIGHTS = (4.0, 1.0, 1.0)
 
 
+def _token_counts(tokenizer: str | None, ranks: str | None):
+    @F.pandas_udf("long")
+    def counts(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = ids_of(tokenizer, ranks)
+        for part in texts:
+            yield pd.Series([len(ids(t)) for t in part], dtype="int64")
+
+    return counts
+
+
 def pack(sizes: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -> np.ndarray:
     """The shard of each item; sizes holds a row of shares of the totals for each item."""
     weighted = sizes * np.asarray(weights)
@@ -41,25 +55,33 @@ def pack(sizes: np.ndarray, shards: int, weights: tuple[float, ...] = WEIGHTS) -
 
 
 def even_bytes(sizes: np.ndarray, where: np.ndarray, shards: int, rounds: int = 20_000) -> np.ndarray:
-    """Move or swap items from the fullest shard to the emptiest while that brings their bytes closer."""
-    held = np.zeros(shards)
-    np.add.at(held, where, sizes[:, 0])
+    """Move or swap items between the fullest shard and the emptiest while that brings their bytes closer.
+
+    Of the moves that halve the gap at least (or else narrow it), that is made which leaves the least gaps in all dimensions.
+    """
+    held = np.zeros((shards, sizes.shape[1]))
+    np.add.at(held, where, sizes)
     members = [list(np.flatnonzero(where == k)) for k in range(shards)]
     for _ in range(rounds):
-        a, b = int(held.argmax()), int(held.argmin())
-        gap = held[a] - held[b]
+        a, b = int(held[:, 0].argmax()), int(held[:, 0].argmin())
+        gaps = held[a] - held[b]
+        gap = gaps[0]
         if gap <= 1e-5 / shards or not members[a]:
             break
-        ours, theirs = np.array(members[a]), np.array(members[b], dtype=np.int64)
-        own, other = sizes[ours, 0], np.sort(np.append(sizes[theirs, 0], 0.0))
-        order = np.append(theirs, -1)[np.argsort(np.append(sizes[theirs, 0], 0.0), kind="stable")]
+        ours, theirs = np.array(members[a]), np.array([*members[b], -1])
+        back_sizes = np.where(theirs[:, None] >= 0, sizes[theirs], 0.0)
+        order = np.argsort(back_sizes[:, 0], kind="stable")
+        own, other = sizes[ours, 0], back_sizes[order, 0]
         at = np.clip(np.searchsorted(other, own - gap / 2), 0, len(other) - 1)
-        near = np.where((at > 0) & (np.abs(own - other[at - 1] - gap / 2) < np.abs(own - other[at] - gap / 2)), at - 1, at)
-        shift = own - other[near]
-        i = int(np.argmin(np.abs(shift - gap / 2)))
-        if not 0 < shift[i] < gap or abs(shift[i] - gap / 2) > gap * 0.4999:
+        near = order[np.where((at > 0) & (np.abs(own - other[at - 1] - gap / 2) < np.abs(own - other[at] - gap / 2)), at - 1, at)]
+        shift = sizes[ours] - back_sizes[near]
+        off = np.abs(shift[:, 0] - gap / 2)
+        fits = next((f for f in (off <= gap / 4, off <= gap * 0.4999) if f.any()), None)
+        if fits is None:
             break
-        out, back = int(ours[i]), int(order[near[i]])
+        left = np.abs(gaps - 2 * shift).sum(axis=1)
+        i = int(np.argmin(np.where(fits, left, np.inf)))
+        out, back = int(ours[i]), int(theirs[near[i]])
         members[a].remove(out)
         members[b].append(out)
         where[out] = b
@@ -88,16 +110,16 @@ def _plan(cells: pd.DataFrame, shards: int) -> pd.DataFrame:
     return out[["unit", "sub", "shard", "first"]].astype("int64")
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", fine: int = FINE) -> DataFrame:
-    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", fine: int = FINE, tokenizer: str | None = None, ranks: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard. tokenizer and ranks are paths that all executors can open."""
     spark = docs.sparkSession
+    small_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = cut(
         docs.select(
             F.col(id_col).cast("long").alias("doc_id"),
             (F.octet_length(text) + ROW_BYTES).cast("long").alias("bytes"),
-            # Blanks between words stand for tokens: enough to balance by, and counted without Python.
-            (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(" "), F.lit(""))) + 1).cast("long").alias("tokens"),
+            _token_counts(tokenizer, ranks)(text).alias("tokens"),
             F.crc32(text).alias("text_crc32"),
             F.xxhash64(text).alias("unit"),
         )
