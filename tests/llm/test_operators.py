@@ -103,6 +103,12 @@ def test_of_repeated_rows_one_stays(spark):
     assert sorted((r["doc_id"] or -1, r["text"]) for r in kept.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) == [(-1, ""), (7, "same")]
 
 
+def test_large_groups_and_others_join_alike(spark):
+    docs = docs_of(spark, ["hot"] * 50 + [f"twice {i // 2}" for i in range(20)] + EDGE, [*range(70), *range(100, 100 + len(EDGE))])
+    rows = lambda n: sorted(map(tuple, exact_dedup._groups(docs, "doc_id", "text", large_groups=n).select("doc_id", "keep_id", "group_size", "kept").collect()))
+    assert rows(0) == rows(3) == rows(200_000)
+
+
 def test_bloom_flags_every_repeated_hash(spark):
     hashed = spark.range(20_000).select(F.xxhash64(F.col("id") % 15_000).alias("h"), "id")
     flagged = exact_dedup.possibly_repeated(hashed.repartition(5))
@@ -300,6 +306,14 @@ def test_url_scores_equal_brute_force(spark):
         assert r["score"] == pytest.approx(want[r["url"]], abs=1e-9)
 
 
+def test_frequent_and_rare_grams_join_alike(spark):
+    pages = columns(spark, SMALL, "pages")
+    pages = pages.unionByName(pages.limit(3).withColumn("url", F.lit(None).cast("string")))
+    scores = lambda n: sorted((r["page_id"], r["url"], round(r["score"], 9)) for r in url_filter.score_urls(pages, large_grams=n).collect())
+    want = scores(200_000)
+    assert len(want) == pages.distinct().count() and scores(50) == want and scores(0) == want
+
+
 def test_rules_and_parts_of_urls(spark):
     urls = {
         "http://a.Example.COM/en/7x?y": ("a.example.com", "/en/7x", "example.com/en/7", "allow"),
@@ -350,9 +364,10 @@ def test_turn_order(spark):
 # 7
 
 
-def test_shards(spark):
+@pytest.mark.parametrize("fine", [200, sharding.FINE])
+def test_shards(spark, fine):
     docs = columns(spark, TEST)
-    out = sharding.assign_shards(docs.withColumn("unit", F.lit(1)), 40).toPandas()
+    out = sharding.assign_shards(docs.withColumn("unit", F.lit(1)), 40, fine=fine).toPandas()
     assert len(out) == docs.count()
     for _, part in out.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
@@ -459,6 +474,13 @@ def test_leaks_equal_brute_force(spark):
     _check_leaks(spark, docs, items)
 
 
+def test_repetitive_and_long_leaked_texts(spark):
+    words_ = [f"w{i % 7}" for i in range(40)]
+    long_ = " ".join(f"u{i}" for i in range(3000))
+    docs = [(1, "a " * 200), (2, " ".join(words_ * 3)), (3, f"x {long_} y {long_}"), (4, "a a a a a a a a a")]
+    _check_leaks(spark, docs, [(1, "a " * 30), (2, " ".join(words_)), (3, long_), (4, "a a a")])
+
+
 def test_long_items_only_and_edges(spark):
     passage = " ".join(f"w{i}" for i in range(30))
     docs = [(1, f"x {passage} y"), (2, "w0 w1 w2 w3 w4 w5 w6 w7 w8"), (3, " ".join(f"w{i}" for i in range(10, 20))), (4, passage.replace("w15", "v")), *((10 + i, t) for i, t in enumerate(EDGE))]
