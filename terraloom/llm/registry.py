@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraloom.llm import best_fit_packing, chat_format, decontamination, exact_dedup, ngram_join, quality, secret_scan, sharding, toxicity, url_filter
+from terraloom.llm import (
+    best_fit_packing, chat_format, decontamination, embedding_whitening, exact_dedup, language_id, ngram_join, quality, secret_scan, sharding, source_divergence, toxicity, url_filter,
+)
 from terraloom.llm.common import crc32_fold, table
 
 
@@ -83,6 +85,20 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents; they are learned only where crc32(doc_id) mod 5 is not 0."""
+    found = language_id.identify(table(spark, sf_dir, "documents"), lambda i: crc32_fold(i, 5) != 0)
+    return found.select("doc_id", (crc32_fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 OP2_SQL = """
 select doc_id, max(doc_id) over (partition by coalesce(text, '')) as keep_id,
        count(*) over (partition by coalesce(text, '')) as group_size,
@@ -193,6 +209,30 @@ select doc_id, coalesce(any_value(n), 0) as n_shingles, min(other) as component_
 """
 
 
+OP12_SQL = r"""
+with docs as (select row_number() over () as k, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
+hits as (select k, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs),
+kept as (select lang, term from hits group by lang, term having count(distinct k) >= 3),
+size as (select lang, count(*) as v from kept group by lang),
+counted as (select lang, source, term, count(*) as n from hits semi join kept using (lang, term) group by lang, source, term),
+whole as (select lang, term, sum(n) as n from counted group by lang, term),
+sums as (select lang, source, coalesce(sum(n), 0) as total from (select distinct lang, source from docs) g left join counted using (lang, source) group by lang, source),
+lang_sums as (select lang, sum(total) as total from sums group by lang),
+p as (select s.lang, s.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (s.total + v)::hugeint as p
+  from sums s join size using (lang) join kept k using (lang) left join counted c on c.lang = s.lang and c.source = s.source and c.term = k.term),
+q as (select w.lang, w.term, 1 + (1000000000::hugeint * (w.n + 1)::hugeint) // (l.total + v)::hugeint as q from whole w join lang_sums l using (lang) join size using (lang)),
+pairs as (select a.lang, a.source, b.source as item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0) as value
+  from sums a join sums b on a.lang = b.lang and a.source <> b.source left join p x on x.lang = a.lang and x.source = a.source
+  left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+terms as (select lang, source, term as item, ((p - q) * (p - q)) // q as value from p join q using (lang, term) where n > 0 and p > q),
+ranked as (
+  select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+  union all
+  select * from (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from terms) t where rank <= 200)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -205,8 +245,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_decontamination": op9_decontamination,
         "op10_ngram_join": op10_ngram_join,
+        "op11_language_id": op11_language_id,
+        "op12_source_divergence": op12_source_divergence,
+        "op13_embedding_whitening": op13_embedding_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": OP2_SQL, "op4_url_filter": _op4_sql(), "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op2_exact_dedup": OP2_SQL, "op4_url_filter": _op4_sql(), "op6_chat_format": OP6_SQL, "op9_decontamination": OP9_SQL, "op10_ngram_join": OP10_SQL, "op12_source_divergence": OP12_SQL}
