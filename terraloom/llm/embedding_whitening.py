@@ -98,7 +98,7 @@ def column_sums(rows: DataFrame, width: int) -> list[int]:
         total = [0] * width
         for x in blocks:
             total = [a + int(b) for a, b in zip(total, x.sum(axis=0), strict=True)]
-        return pd.DataFrame({"i": np.arange(width, dtype=np.int32), "value": [str(v) for v in total]})
+        return pd.DataFrame({"i": np.arange(width, dtype=np.int32), "value": np.array([str(v) for v in total], object)})
 
     found = {r["i"]: int(r["value"]) for r in _added(rows, width, add, ["i"], DECIMAL)}
     return [found.get(i, 0) for i in range(width)]
@@ -118,7 +118,7 @@ def pair_squares(rows: DataFrame, n: int, sums: list[int]) -> dict[tuple[int, in
                 for j, value in enumerate(square_sums(both)):
                     total[i, i + j] = total.get((i, i + j), 0) + value
         keys = list(total)
-        return pd.DataFrame({"i": np.array([k[0] for k in keys], np.int32), "j": np.array([k[1] for k in keys], np.int32), "value": [str(total[k]) for k in keys]})
+        return pd.DataFrame({"i": np.array([k[0] for k in keys], np.int32), "j": np.array([k[1] for k in keys], np.int32), "value": np.array([str(total[k]) for k in keys], object)})
 
     return {(r["i"], r["j"]): int(r["value"]) for r in _added(rows, width, add, ["i", "j"], DECIMAL)}
 

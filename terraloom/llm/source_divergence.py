@@ -293,6 +293,11 @@ def _distance(p: Column, q: Column) -> Column:
     return F.call_function("div", (p - q) * (p - q), q)
 
 
+def _plain(frame: pd.DataFrame) -> pd.DataFrame:
+    """Strings as objects: pandas' own string columns may be chunked, which Spark's Arrow writer doesn't take."""
+    return frame.astype({c: object for c in ("lang", "source", "item", "term") if c in frame})
+
+
 def _pair_sums(frame: pd.DataFrame, chunk_terms: int) -> pd.DataFrame:
     """For every two sources of a group of rows (source, ordinal, p; ordinal -1 gives the p of a count of 0) the summed divergence."""
     s, sources = pd.factorize(frame["source"])
@@ -338,7 +343,7 @@ def pair_values(counts: DataFrame, groups: DataFrame, tile: int = TILE, chunk: i
         a, b = out["source"].map(tile_of), out["item"].map(tile_of)
         # Two sources of one tile are compared where the tile meets itself only.
         out = out[((a != b) | (at["low"] == at["high"])) & (out["source"] != out["item"])]
-        return out.assign(lang=at["lang"])[["lang", "source", "item", "value"]]
+        return _plain(out.assign(lang=at["lang"])[["lang", "source", "item", "value"]])
 
     parts = rows.groupBy("lang", "low", "high", "chunk").applyInPandas(run, "lang string, source string, item string, value long")
     return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
@@ -352,10 +357,10 @@ def terms_of(wanted: DataFrame, based: DataFrame) -> DataFrame:
 
     def run(asked: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if asked.empty or own.empty:
-            return pd.DataFrame({"lang": [], "ordinal": [], "term": []}).astype({"ordinal": "int64"})
+            return _plain(pd.DataFrame({"lang": [], "ordinal": [], "term": []})).astype({"ordinal": "int64"})
         parts = {k: np.frombuffer(own[k].iloc[0], kind) for k, kind in PARTS.items()}
         base = int(own["base"].iloc[0])
-        return pd.DataFrame({"lang": asked["lang"], "ordinal": asked["ordinal"], "term": [term_of(parts, int(o) - base).decode() for o in asked["ordinal"]]})
+        return _plain(pd.DataFrame({"lang": asked["lang"], "ordinal": asked["ordinal"], "term": [term_of(parts, int(o) - base).decode() for o in asked["ordinal"]]}))
 
     named = placed.groupBy("own_run").cogroup(based.select("run", "base", *PARTS).groupBy("run")).applyInPandas(run, "lang string, ordinal long, term string")
     return wanted.join(named, ["lang", "ordinal"])

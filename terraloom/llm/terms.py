@@ -15,7 +15,7 @@ _CODES = np.arange(256)
 _UPPER = (_CODES >= 0x41) & (_CODES <= 0x5A)
 _INSIDE = _UPPER | ((_CODES >= 0x61) & (_CODES <= 0x7A)) | (_CODES >= 0x80)
 _LOWER = np.where(_UPPER, _CODES + 32, _CODES).astype(np.uint8)
-#: Texts are handled in slices of about so many bytes; a longer text is a slice of its own.
+#: Texts are handled in slices of about so many bytes; a longer text stays whole and ends its slice.
 SLICE_BYTES = 8 << 20
 
 
