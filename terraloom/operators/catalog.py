@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from terraloom.functions.geometry import boxes_meet
 
-#: Degrees of the cells on which boxes are brought together.
-CELL = 0.5
+#: Degrees of the finest cells on which boxes are brought together. Each level above is FAN times as wide, up to the whole globe.
+CELL, FAN, LEVELS = 0.5, 4, 5
 QUARTERS = (1, 4, 7, 10)
 
 
@@ -16,10 +16,22 @@ def _box(prefix: str) -> dict[str, Column]:
     return {k: F.col(f"{prefix}{k}") for k in ("minx", "miny", "maxx", "maxy")}
 
 
-def _cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
-    """A row for each cell that the box meets."""
+def _level(b: dict[str, Column], cell: float) -> Column:
+    """The lowest level whose cells are as wide as the box, so that it meets four of them at most; the highest if none is."""
+    span = F.greatest(b["maxx"] - b["minx"], b["maxy"] - b["miny"])
+    out = F.lit(LEVELS)
+    for k in reversed(range(LEVELS)):
+        out = F.when(span <= cell * FAN**k, k).otherwise(out)
+    return out
+
+
+def _keyed(df: DataFrame, prefix: str, cell: float, levels: dict[str, Column]) -> DataFrame:
+    """A row for each cell that the box meets on each of the levels (an array by kind of match): kind, level, cell_x, cell_y."""
     b = _box(prefix)
-    at = lambda c: F.floor(c / F.lit(cell))
+    df = df.withColumn("__own", _level(b, cell))
+    pairs = F.flatten(F.array(*(F.transform(at, lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("level"))) for kind, at in levels.items())))  # noqa: B023
+    df = df.withColumn("__key", F.explode(pairs)).select("*", F.col("__key.kind").alias("kind"), F.col("__key.level").alias("level")).drop("__key", "__own")
+    at = lambda c: F.floor(c / (F.lit(cell) * F.pow(F.lit(float(FAN)), F.col("level"))))
     df = df.withColumn("cell_x", F.explode(F.sequence(at(b["minx"]), at(b["maxx"]))))
     return df.withColumn("cell_y", F.explode(F.sequence(at(b["miny"]), at(b["maxy"]))))
 
@@ -27,13 +39,20 @@ def _cells(df: DataFrame, prefix: str, cell: float) -> DataFrame:
 def covering(aois: DataFrame, scenes: DataFrame, cell: float = CELL) -> DataFrame:
     """Each area with each scene whose box meets its own; aois has aoi_id and box, scenes has minx, miny, maxx, maxy.
 
-    Both sides are dealt to grid cells and joined on the cell. A pair counts only in the cell that holds the
-    south-west corner of the overlap, so that none comes twice and nothing must be made distinct.
+    Every box has the level whose cells are as wide as itself, so it meets few of them, however large it is. Two boxes
+    meet on the level of the larger one, to which the smaller is lifted: an area no larger than a scene by the kind "scene", a
+    larger one by the kind "area". A pair counts only in the cell that holds the south-west corner of the overlap, so that
+    none comes twice and nothing must be made distinct.
     """
     areas = aois.where(F.col("box").isNotNull()).select("aoi_id", *(F.col(f"box.{k}").alias(f"aoi_{k}") for k in ("minx", "miny", "maxx", "maxy")))
-    joined = _cells(areas, "aoi_", cell).join(_cells(scenes, "", cell), ["cell_x", "cell_y"])
+    own = F.col("__own")
+    alone, up = F.array(own), F.sequence(own, F.lit(LEVELS))
+    above = F.filter(up, lambda k: k > own)
+    keys = ["kind", "level", "cell_x", "cell_y"]
+    joined = _keyed(areas, "aoi_", cell, {"scene": up, "area": alone}).join(_keyed(scenes, "", cell, {"scene": alone, "area": above}), keys)
     x, y = F.greatest("aoi_minx", "minx"), F.greatest("aoi_miny", "miny")
-    home = (F.floor(x / F.lit(cell)) == F.col("cell_x")) & (F.floor(y / F.lit(cell)) == F.col("cell_y"))
+    side = F.lit(cell) * F.pow(F.lit(float(FAN)), F.col("level"))
+    home = (F.floor(x / side) == F.col("cell_x")) & (F.floor(y / side) == F.col("cell_y"))
     return joined.where(boxes_meet(_box("aoi_"), _box("")) & home).select("aoi_id", *scenes.columns)
 
 

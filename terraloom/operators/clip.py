@@ -1,7 +1,7 @@
-"""Pixels within areas, as a spatial join.
+"""Pixels within areas, as a spatial join on the cells of the areas' cover.
 
-Pixels and areas are dealt to square cells and joined on the cell; a pixel lies in one cell, so no pair of pixel and area
-comes twice. Cells that lie within an area as a whole are marked beforehand, and their pixels skip the edge test.
+A pixel lies in one cell of each level and the cells of an area don't overlap, so no pair of pixel and area comes twice. Pixels of
+whole cells need no test; those of cells on the outline are tested against the cell's own edges, from its reference point.
 """
 
 from __future__ import annotations
@@ -9,41 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.functions.geometry import edges_meet_box, point_inside
+from terraloom.functions.geometry import edges_meet_box, point_inside_from
+from terraloom.operators.cover import CELL, Cover, cover, keyed, reference
 
-CELL = 0.05
 
-
-def area_cells(aois: DataFrame, cell: float = CELL, margin: float = 0.0) -> DataFrame:
-    """A row for each area and cell that its box, widened by the margin, meets: aoi_id, edges, box, cell_x, cell_y, whole."""
-    at = lambda c: F.floor(c / F.lit(cell))
-    box = F.col("box")
-    cells = (
-        aois.where(box.isNotNull())
-        .select("aoi_id", "edges", "box")
-        .withColumn("cell_x", F.explode(F.sequence(at(box["minx"] - margin), at(box["maxx"] + margin))))
-        .withColumn("cell_y", F.explode(F.sequence(at(box["miny"] - margin), at(box["maxy"] + margin))))
-    )
-    west, south = F.col("cell_x") * F.lit(cell), F.col("cell_y") * F.lit(cell)
-    # The cell is taken a little larger than it is, so that rounding can't make a border cell a whole one.
-    slack = cell * 1e-6
-    touched = edges_meet_box(F.col("edges"), west - slack, south - slack, west + cell + slack, south + cell + slack)
-    whole = ~touched & point_inside(F.col("edges"), west + cell / 2, south + cell / 2)
-    return cells.withColumn("whole", whole)
-
-
-def clip(pixels: DataFrame, aois: DataFrame, rule: str = "center", pixel: float | None = None, cell: float = CELL) -> DataFrame:
+def clip(pixels: DataFrame, aois: DataFrame, rule: str = "center", pixel: float | None = None, cell: float = CELL, cells: Cover | None = None) -> DataFrame:
     """Pixels (lon, lat of their centres) of each area, plus aoi_id.
 
     rule "center" keeps a pixel whose centre lies in the area; "touched" keeps one whose square, of side pixel, meets the area.
+    cells is a cover that was made before, with a margin of half a pixel for "touched"; areas outside it aren't met.
     """
     half = pixel / 2 if rule == "touched" else 0.0
-    at = lambda c: F.floor(c / F.lit(cell))
-    dealt = pixels.withColumns({"cell_x": at(F.col("lon")), "cell_y": at(F.col("lat"))})
-    joined = dealt.join(area_cells(aois, cell, half), ["cell_x", "cell_y"])
-    lon, lat, box, edges = F.col("lon"), F.col("lat"), F.col("box"), F.col("edges")
-    near = (lon >= box["minx"] - half) & (lon <= box["maxx"] + half) & (lat >= box["miny"] - half) & (lat <= box["maxy"] + half)
-    inside = F.col("whole") | point_inside(edges, lon, lat)
+    if cells is None:
+        cells = cover(aois, cell, half)
+    elif cells.margin < half:
+        raise ValueError(f"the cover's margin {cells.margin} is below half a pixel {half}")
+    dealt = keyed(pixels, cells.cell, cells.levels)
+    joined = dealt.join(cells.cells, ["level", "cell_x", "cell_y"])
+    lon, lat, edges = F.col("lon"), F.col("lat"), F.col("edges")
+    inside = point_inside_from(edges, lon, lat, reference(F.col("__x"), cells.cell, 0), reference(F.col("__y"), cells.cell, 1), F.col("from_inside"))
     if rule == "touched":
         inside = inside | edges_meet_box(edges, lon - half, lat - half, lon + half, lat + half)
-    return joined.where(near & inside).select("aoi_id", *pixels.columns)
+    return joined.where(F.col("whole") | inside).select("aoi_id", *pixels.columns)

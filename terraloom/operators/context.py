@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terraloom.operators import catalog, ndvi, zonal
 from terraloom.operators.clip import clip
+from terraloom.operators.cover import cover as cells_of
 
 DATASETS = ("dem", "ndvi", "landcover")
 
@@ -26,20 +27,21 @@ def build_context(
         errors = errors.join(lacking, "aoi_id", "left").select("aoi_id", F.coalesce("error", "uncovered").alias("error"))
         usable = usable.join(lacking, "aoi_id", "left_anti")
     out = errors
+    cells = cells_of(usable, margin=pixel / 2, staged=True)  # one cover for all joins with pixels
     if "dem" in datasets:
-        stats = zonal.classify_terrain(zonal.elevation_stats(usable, clip(dem, usable), dem_nodata))
+        stats = zonal.classify_terrain(zonal.elevation_stats(usable, clip(dem, usable, cells=cells), dem_nodata))
         fields = ("mean", "min", "max", "std", "elevation_range_m", "terrain_type", "error")
         out = out.join(stats.select("aoi_id", F.struct(*fields).alias("dem")), "aoi_id", "left")
     else:
         out = out.withColumn("dem", F.lit(None).cast("struct<mean:double,min:double,max:double,std:double,elevation_range_m:double,terrain_type:string,error:string>"))
     if "ndvi" in datasets:
-        cells = cover.select("r", "c", "lon", "lat")
-        primary = ndvi.ndvi_stats(usable, cells, scenes, scene_pixels, as_of, pixel, **ndvi_options)
+        grid = cover.select("r", "c", "lon", "lat")
+        primary = ndvi.ndvi_stats(usable, grid, scenes, scene_pixels, as_of, pixel, cover=cells, **ndvi_options)
         out = out.join(ndvi.resolve(usable, primary, ndvi.fallback_stats(coarse)), "aoi_id", "left")
     else:
         out = out.withColumn("ndvi", F.lit(None).cast("struct<mean:double,min:double,max:double,std:double,p25:double,p75:double,scene_count:bigint,resolution_m:int,method:string,warning:string>"))
     if "landcover" in datasets:
-        found = zonal.land_cover(usable, zonal.class_percentages(clip(cover, usable), cover_nodata))
+        found = zonal.land_cover(usable, zonal.class_percentages(clip(cover, usable, cells=cells), cover_nodata))
         out = out.join(found.select("aoi_id", F.struct("classes", "dominant_class", "dominant_percentage", "error").alias("landcover")), "aoi_id", "left")
     else:
         out = out.withColumn("landcover", F.lit(None).cast("struct<classes:map<string,double>,dominant_class:string,dominant_percentage:double,error:string>"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraloom.functions.geometry import box_area_km2
 from terraloom.operators import catalog
 from terraloom.operators.clip import clip
+from terraloom.operators.cover import Cover
 from terraloom.sources.staging import stage
 
 # The scene classes that count as clear.
@@ -49,10 +52,12 @@ def median_composite(cube: DataFrame) -> DataFrame:
 def ndvi_stats(
     aois: DataFrame, cells: DataFrame, scenes: DataFrame, pixels: DataFrame, as_of: str, pixel: float,
     max_area_km2: float | None = 100.0, min_scenes: int = 2, max_cloud: float = 30.0, resolution_m: int = 20, collection: str = "sentinel-2-l2a", approx: bool = False,
+    cover: Cover | None = None,
 ) -> DataFrame:
     """Statistics of the median composite per area; areas that are too large, have too few scenes or no valid cell are left out.
 
-    The composite of a cell doesn't depend on the area, so it is made once, for the cells that any area touches.
+    The composite of a cell doesn't depend on the area, so it is made once, for the cells that any area touches. cover is that of
+    all areas, if it was made before.
     """
     usable = aois.where(F.col("box").isNotNull())
     if max_area_km2 is not None:
@@ -60,7 +65,12 @@ def ndvi_stats(
     usable = stage(usable)  # it is read four times below
     found = catalog.search_scenes(usable, scenes, collection, as_of, max_cloud=max_cloud)
     counts = catalog.with_enough_scenes(found, min_scenes)
-    touched = clip(cells, usable.join(counts.select("aoi_id"), "aoi_id", "left_semi"), "touched", pixel).select("aoi_id", "r", "c")
+    chosen = usable.join(counts.select("aoi_id"), "aoi_id", "left_semi")
+    if cover is None:
+        touched = clip(cells, chosen, "touched", pixel)
+    else:
+        touched = clip(cells, chosen, "touched", pixel, cells=replace(cover, cells=cover.cells.join(chosen.select("aoi_id"), "aoi_id", "left_semi")))
+    touched = touched.select("aoi_id", "r", "c")
     needed = pixels.join(found.select("scene_id").distinct(), "scene_id", "left_semi").join(touched.select("r", "c").distinct(), ["r", "c"], "left_semi")
     composite = median_composite(with_ndvi(cloud_mask(solar_day_mosaic(needed, scenes))))
     valid = touched.join(composite, ["r", "c"]).where((F.col("ndvi") > -1) & (F.col("ndvi") < 1))

@@ -70,6 +70,22 @@ PARTS = {
           'Area ' || (o_orderkey % 100) || ' of ' || o_orderpriority || case when o_orderkey % 2 = 0 then repeat(' word', 140) else '' end as narrative from orders""",
 }
 
+PARTS |= {
+    "wide_edge": """select a.aoi_id, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from fx_wide_vertex a join fx_wide_vertex b on a.aoi_id = b.aoi_id and a.ring = b.ring and b.i = a.i + 1""",
+    "wide_inside": """select aoi_id, px from fx_wide_px join wide_edge on (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / nullif(y2 - y1, 0e0) + x1 group by aoi_id, px having count(*) % 2 = 1""",
+    "wide_cell": """select aoi_id, cx, cy, cx * 0.5e0 - 5e-7 as w, cx * 0.5e0 + 0.5000005e0 as e, cy * 0.5e0 - 5e-7 as s, cy * 0.5e0 + 0.5000005e0 as n from (select aoi_id, unnest(range(floor(min(x) / 0.5e0)::bigint, floor(max(x) / 0.5e0)::bigint + 1)) as cx, min(y) as low, max(y) as high from fx_wide_vertex group by aoi_id) t, lateral (select unnest(range(floor(low / 0.5e0)::bigint, floor(high / 0.5e0)::bigint + 1)) as cy) u""",
+    "wide_met": """select distinct aoi_id, cx, cy from (select *,
+          case when dx = 0 then (case when w <= x1 and x1 <= e then 0e0 else 2e0 end) else least((w - x1) / nullif(dx, 0e0), (e - x1) / nullif(dx, 0e0)) end as x_in,
+          case when dx = 0 then (case when w <= x1 and x1 <= e then 1e0 else -1e0 end) else greatest((w - x1) / nullif(dx, 0e0), (e - x1) / nullif(dx, 0e0)) end as x_out,
+          case when dy = 0 then (case when s <= y1 and y1 <= n then 0e0 else 2e0 end) else least((s - y1) / nullif(dy, 0e0), (n - y1) / nullif(dy, 0e0)) end as y_in,
+          case when dy = 0 then (case when s <= y1 and y1 <= n then 1e0 else -1e0 end) else greatest((s - y1) / nullif(dy, 0e0), (n - y1) / nullif(dy, 0e0)) end as y_out
+        from (select *, x2 - x1 as dx, y2 - y1 as dy from wide_cell join wide_edge using (aoi_id)) p) t where greatest(0e0, x_in, y_in) <= least(1e0, x_out, y_out)""",
+    "wide_whole": """select aoi_id, cx, cy from (select * from wide_cell anti join wide_met using (aoi_id, cx, cy)) c join wide_edge using (aoi_id)
+        where (y1 > cy * 0.5e0 + 0.25e0) <> (y2 > cy * 0.5e0 + 0.25e0) and cx * 0.5e0 + 0.25e0 < (x2 - x1) * (cy * 0.5e0 + 0.25e0 - y1) / nullif(y2 - y1, 0e0) + x1
+        group by aoi_id, cx, cy having count(*) % 2 = 1""",
+    "wide_box": """select aoi_id, min(x) as minx, min(y) as miny, max(x) as maxx, max(y) as maxy from fx_wide_vertex where ring = 0 group by aoi_id union all select aoi_id + 100, minx, miny, maxx, maxy from box""",
+}
+
 _ELEVATION = "round(mean, 6) as mean, round(min, 6) as min, round(max, 6) as max, round(std, 6) as std"
 
 QUERIES = {
@@ -94,6 +110,10 @@ QUERIES = {
     "aoi_uncovered": "select aoi_id, coalesce(no_dem, no_cover) as missing, 'No data coverage for this area' as error from lacking where coalesce(no_dem, no_cover) is not null",
     "clip_center": "select aoi_id, r, c from center",
     "clip_touched": "select aoi_id, r, c from touched",
+    "clip_wide": "select aoi_id, px from wide_inside",
+    "cover_outline": """select aoi_id, coalesce(n, 0) as n_inside, coalesce(k, 0) as whole_cells from (select distinct aoi_id from fx_wide_vertex) a
+        left join (select aoi_id, count(*) as n from wide_inside group by aoi_id) i using (aoi_id) left join (select aoi_id, count(*) as k from wide_whole group by aoi_id) w using (aoi_id)""",
+    "scene_search_wide": "select aoi_id, scene_id from wide_box b join fx_footprint s on b.minx <= s.maxx and b.maxx >= s.minx and b.miny <= s.maxy and b.maxy >= s.miny",
     "dem_stats": f"select aoi_id, {_ELEVATION}, case when mean is null then 'No valid elevation pixels' end as error from elevation",
     "terrain_class": "select aoi_id, elevation_range_m, terrain_type from terrain",
     "landcover_pct": "select aoi_id, code, n, pct from cover",

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry
-from terraloom.operators import catalog, clip, context, ndvi, render, zonal
+from terraloom.operators import catalog, clip, context, cover, ndvi, render, zonal
 from terraloom.sources import fixtures, geojson, rasters, staging
 from terraloom.sources.fixtures import AS_OF, PIXEL
 from terraloom.streaming import streams
@@ -26,9 +26,9 @@ def _rounded(names: tuple[str, ...] | list[str], places: int = 6) -> dict[str, C
     return {n: F.round(F.col(n), places) for n in names}
 
 
-def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aoi_id, kind, rings (as arrays)."""
-    vertex = _t(spark, sf_dir, "fx_aoi_vertex")
+def _rings(spark: SparkSession, sf_dir: str, vertices: str = "fx_aoi_vertex") -> DataFrame:
+    """aoi_id, rings (as arrays)."""
+    vertex = _t(spark, sf_dir, vertices)
     ring = vertex.groupBy("aoi_id", "ring").agg(F.sort_array(F.collect_list(F.struct("i", "x", "y"))).alias("p"))
     ring = ring.select("aoi_id", "ring", F.transform("p", lambda p: F.array(p["x"], p["y"])).alias("points"))
     rings = ring.groupBy("aoi_id").agg(F.sort_array(F.collect_list(F.struct("ring", "points"))).alias("r"))
@@ -51,6 +51,12 @@ def aois(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staging.stage(geojson.aois_of(texts))
 
 
+def wide_aois(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of up to thirty degrees, from their texts."""
+    texts = _rings(spark, sf_dir, "fx_wide_vertex").select("aoi_id", geojson.feature_text(F.col("rings")).alias("geojson"))
+    return staging.stage(geojson.aois_of(texts))
+
+
 def aoi_parse(spark, sf_dir):
     out = geojson.parse(_requests(spark, sf_dir))
     return out.select("request_id", F.col("parsed.type").alias("type"), F.coalesce(F.size("parsed.features"), F.lit(0)).cast("long").alias("n_features"), "error")
@@ -134,6 +140,27 @@ def clip_touched(spark, sf_dir):
     return clip.clip(_t(spark, sf_dir, "fx_cell"), aois(spark, sf_dir), "touched", PIXEL).select("aoi_id", "r", "c")
 
 
+def clip_wide(spark, sf_dir):
+    """Areas many times as large as the finest cells, from a scattered set of points."""
+    return clip.clip(_t(spark, sf_dir, "fx_wide_px"), wide_aois(spark, sf_dir)).select("aoi_id", "px")
+
+
+def cover_outline(spark, sf_dir, cell: float = 0.5):
+    """Of each wide area, how many of the points lie in whole cells and how many in cells on the outline; together they are all that lie inside."""
+    areas = wide_aois(spark, sf_dir)
+    cells = cover.cover(areas, cell, staged=True)
+    met = clip.clip(_t(spark, sf_dir, "fx_wide_px"), areas, cells=cells).groupBy("aoi_id").agg(F.count("*").alias("n_inside"))
+    # Whole cells and cells on the outline, counted by the finest cells that they stand for.
+    surface = cells.cells.where("whole").groupBy("aoi_id").agg(F.sum(F.pow(F.lit(float(cover.FAN**2)), F.col("level"))).cast("long").alias("whole_cells"))
+    return areas.select("aoi_id").join(met, "aoi_id", "left").join(surface, "aoi_id", "left").select("aoi_id", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n_inside", "whole_cells")))
+
+
+def scene_search_wide(spark, sf_dir):
+    """Scenes from a hundredth of a degree to the whole globe, over areas of all sizes."""
+    areas = wide_aois(spark, sf_dir).unionByName(aois(spark, sf_dir).withColumn("aoi_id", F.col("aoi_id") + 100))
+    return catalog.covering(areas, _t(spark, sf_dir, "fx_footprint")).select("aoi_id", "scene_id")
+
+
 def _elevation(spark, sf_dir):
     areas = aois(spark, sf_dir)
     return zonal.elevation_stats(areas, clip.clip(_t(spark, sf_dir, "fx_dem"), areas), NODATA)

@@ -28,6 +28,10 @@ VIEWS = {
     "fx_modis": """select month, half, r, c, case when (r + c + month) % 19 = 0 then -3000 when (r + c + month) % 23 = 0 then -2000 else (r * 61 + c * 37 + month * 101 + half * 13) % 11000 - 1000 end as raw from fx_cell cross join (select * from (values (1),(2),(4),(7),(9)) as m(month)) m cross join (select * from (values (1),(2)) as h(half)) h""",
     "fx_draw": """select event_id, ts, user_id as session_id, case event_type when 'view' then 'created' when 'click' then 'edited' when 'error' then 'deleted' end as action, 36.60e0 + floor(value) % 40 * 0.01e0 as west, -1.50e0 + floor(value) % 37 * 0.01e0 as south from events where event_type in ('view', 'click', 'error')""",
     "fx_place": """select p_partkey as place_id, p_name as display_name, cast(-1 - p_partkey % 50 as string) as lat, cast(36 + p_partkey % 3 as string) as lon from part""",
+    "fx_wide_px": """select distinct l_orderkey as px, 20e0 + (l_orderkey * 7919 % 6007) * 0.005e0 as lon, -15e0 + (l_orderkey * 104729 % 5003) * 0.006e0 as lat from lineitem""",
+    "fx_wide_vertex": """select a.aoi_id, ring, i, 35e0 + 0.9e0 * (a.aoi_id % 5 - 2) + 14e0 * h * 25 / (1 + a.aoi_id % 7) * dx as x, 0.3e0 * (a.aoi_id % 3) + 14e0 * h * 25 / (1 + a.aoi_id % 7) * dy as y from fx_aoi a join fx_shape on a.kind = fx_shape.kind""",
+    "fx_footprint": """select o_orderkey as scene_id, x - w as minx, y - w / 3 as miny, x + w as maxx, y + w / 3 as maxy from (select o_orderkey, o_orderkey * 7919 % 360 - 180e0 as x, o_orderkey * 104729 % 170 - 85e0 as y,
+case o_orderkey % 7 when 0 then 0.01e0 when 1 then 0.3e0 when 2 then 0.5e0 when 3 then 4e0 when 4 then 17e0 when 5 then 60e0 else 180e0 end as w from orders) t""",
     "fx_tile": """select * from (values ('T0','nasadem',36.60e0,-1.50e0,36.80e0,-1.10e0),('T1','nasadem',36.80e0,-1.50e0,37.00e0,-1.10e0),('W0','esa-worldcover',36.60e0,-1.50e0,36.75e0,-1.10e0),('W1','esa-worldcover',36.78e0,-1.50e0,36.85e0,-1.10e0)) as t(tile_id, collection, minx, miny, maxx, maxy)""",
 }
 
