@@ -154,6 +154,30 @@ QUERIES = {
     "stream_requests": "select event_id as request_id, (user_id % 25)::int as aoi_id, terrain_type from events left join terrain on terrain.aoi_id = (user_id % 25)",
 }
 
+_NEAR = "round((lon - x) * (lon - x) + (lat - y) * (lat - y), 12)"
+
+
+def _nearest(x0: str, y0: str, step: str, rows: int, cols: int, pixels: str, value: str, reach: str) -> str:
+    grid = f"select r as tr, c as tc, {x0} + (c + 0.5e0) * {step} as x, {y0} - (r + 0.5e0) * {step} as y from (select unnest(range({rows})) as r) a, (select unnest(range({cols})) as c) b"
+    met = f"select tr, tc, arg_min({value}, [{_NEAR}, r, c]) as {value} from ({grid}) g join {pixels} on {_NEAR} <= {reach} * {reach} group by tr, tc"
+    return f"""select tr as "row", tc as col, {value} from ({grid}) g left join ({met}) m using (tr, tc)"""
+
+
+QUERIES |= {
+    "regrid_fine": _nearest("36.61e0", "-1.12e0", "0.0037e0", 70, 80, "(select * from fx_dem where r % 3 <> 1) p", "elevation", "0.02e0"),
+    "cube_aligned": f"""select * from ({_nearest("36.6e0", "-1.1e0", "0.015e0", 20, 20, "fx_dem", "elevation", "0.08e0")}) a
+        join ({_nearest("36.6e0", "-1.1e0", "0.015e0", 20, 20, "(select * from fx_lc where r % 4 = 0 and c % 4 = 0) p", "code", "0.08e0")}) b using ("row", col)""",
+    "terrain_rollup": f"""select coalesce(region, -1) as region, coalesce(aoi_id, -1) as aoi_id, level, n, {_ELEVATION} from (
+        select region, aoi_id, 2 - grouping(region) - grouping(aoi_id) as level, count(*) as n, avg(v) as mean, min(v) as min, max(v) as max, stddev_pop(v) as std from (
+          select aoi_id % 4 as region, aoi_id, elevation as v from center join fx_dem using (r, c) where elevation <> -32768) p group by rollup (region, aoi_id)) t""",
+    "context_store": "select aoi_id, elevation_range_m, terrain_type from terrain",
+    "geojson_files": QUERIES["geojson_export"],
+    "scene_table_search": """select aoi_id, scene_id from wide_box b join fx_footprint s on b.minx <= s.maxx and b.maxx >= s.minx and b.miny <= s.maxy and b.maxy >= s.miny
+        where aoi_id < 100 and scene_id % 5 <> 0 and scene_id % 120 <= 90 and scene_id % 100 < 30""",
+    "live_requests": QUERIES["stream_requests"],
+    "live_shapes": QUERIES["latest_shape"],
+}
+
 #: The limit on the area in square kilometres, where it isn't 50.
 LIMITS = {"ndvi_stats": 100, "ndvi_quartiles_approx": 100}
 

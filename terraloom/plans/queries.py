@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraloom.functions import geometry
-from terraloom.operators import catalog, clip, context, cover, ndvi, quantiles, render, zonal
-from terraloom.sources import fixtures, geojson, rasters, staging
+from terraloom.operators import catalog, clip, context, cover, ndvi, quantiles, render, rollup, zonal
+from terraloom.sources import context_store, fixtures, geojson, geojson_files, rasters, scene_table, staging
 from terraloom.sources.fixtures import AS_OF, PIXEL
-from terraloom.streaming import streams
+from terraloom.streaming import live, streams
 
 NODATA = -32768.0
 ELEVATION = ("mean", "min", "max", "std")
@@ -282,6 +282,39 @@ def regrid(spark, sf_dir):
     return rasters.regrid(_t(spark, sf_dir, "fx_dem"), 36.6, -1.1, 0.025, "elevation")
 
 
+def regrid_fine(spark, sf_dir):
+    """Elevation on a grid finer than the pixels' own, with pixels up to two hundredths of a degree away; every third row of pixels is taken out."""
+    targets = rasters.grid_cells(spark, 36.61, -1.12, 0.0037, 70, 80)
+    out = rasters.nearest(targets, _t(spark, sf_dir, "fx_dem").where("r % 3 <> 1"), "elevation", 0.02, 0.02)
+    return out.select("row", "col", "elevation")
+
+
+def cube_aligned(spark, sf_dir):
+    """Elevation and a coarse index (every fourth pixel) on one grid."""
+    targets = rasters.grid_cells(spark, 36.6, -1.1, 0.015, 20, 20)
+    coarse = _t(spark, sf_dir, "fx_lc").where("r % 4 = 0 and c % 4 = 0").select("r", "c", "lon", "lat", F.col("code").cast("long").alias("code"))
+    return rasters.aligned_cube(targets, {"elevation": (_t(spark, sf_dir, "fx_dem"), 0.01), "code": (coarse, 0.04)}, 0.08)
+
+
+def terrain_rollup(spark, sf_dir):
+    """Elevation by area, region and all together, merged from the areas' states."""
+    px = clip.clip(_t(spark, sf_dir, "fx_dem"), aois(spark, sf_dir)).withColumn("elevation", F.nullif("elevation", F.lit(NODATA)))
+    kept = staging.stage(rollup.states(px, ["aoi_id"], "elevation"))
+    out = rollup.rollup(kept.withColumn("region", F.col("aoi_id") % 4), ["region", "aoi_id"])
+    named = {c: F.coalesce(F.col(c).cast("long"), F.lit(-1)) for c in ("region", "aoi_id")}
+    return out.withColumns(named | _rounded(ELEVATION) | {"level": F.col("level").cast("long")})
+
+
+def context_store_(spark, sf_dir):
+    """Records of terrain, written in turns: all with a wrong class, then even areas, then odd ones. What is read back."""
+    path = f"{staging.shared_folder(spark)}/contexts-{uuid.uuid4().hex}"
+    terrain = staging.stage(zonal.classify_terrain(_elevation(spark, sf_dir)).select("aoi_id", F.struct("elevation_range_m", "terrain_type").alias("dem")))
+    wrong = terrain.withColumn("dem", F.col("dem").withField("terrain_type", F.lit("wrong")))
+    for part in (wrong, terrain.where("aoi_id % 2 = 0"), terrain.where("aoi_id % 2 = 1")):
+        context_store.put(part, path, buckets=8)
+    return context_store.get(spark, path, terrain.schema).select("aoi_id", "dem.*")
+
+
 def build(spark: SparkSession, sf_dir: str, datasets=context.DATASETS, with_tiles: bool = False, limit: float = 50.0) -> DataFrame:
     names = ("fx_dem", "fx_lc", "fx_scene", "fx_scene_px", "fx_modis")
     tiles = _t(spark, sf_dir, "fx_tile") if with_tiles else None
@@ -349,6 +382,30 @@ def geojson_export(spark, sf_dir):
     return out.select("session_id", F.size("parsed.features").cast("long").alias("n_features"), F.round(first[0][0][0], 6).alias("west"), F.round(first[0][0][1], 6).alias("south"))
 
 
+def geojson_files_(spark, sf_dir):
+    """The drawn shapes as files, a folder for each remainder of the session, read back and described by session."""
+    path = f"{staging.shared_folder(spark)}/shapes-{uuid.uuid4().hex}"
+    drawn = _drawn(spark, sf_dir).where("action <> 'deleted' and event_id % 5 <> 0")
+    ring = geometry.box_ring(F.col("north"), F.col("south"), F.col("east"), F.col("west"))
+    shape = F.struct(F.lit("Polygon").alias("type"), ring.alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("session_id", "event_id").alias("properties"), shape.alias("geometry"))
+    geojson_files.write_files(drawn.select((F.col("session_id") % 7).alias("part"), F.to_json(feature).alias("geojson")), path, "part")
+    read = geojson.aois_of(geojson_files.read_files(spark, path).withColumn("p", F.from_json(F.get_json_object("geojson", "$.properties"), "session_id long, event_id long")), "p")
+    first = F.min_by(F.col("box"), F.col("p.event_id"))
+    out = read.where(F.col("error").isNull()).groupBy(F.col("p.session_id").alias("session_id")).agg(F.count("*").alias("n_features"), first.alias("box"))
+    return out.select("session_id", "n_features", F.round("box.minx", 6).alias("west"), F.round("box.miny", 6).alias("south"))
+
+
+def scene_table_search(spark, sf_dir):
+    """Footprints kept as a table by collection and tile, searched from the table."""
+    path = f"{staging.shared_folder(spark)}/scenes-{uuid.uuid4().hex}"
+    cloud, day = (F.col("scene_id") % 100).cast("double"), F.date_add(F.lit(AS_OF).cast("date"), -(F.col("scene_id") % 120).cast("int"))
+    scenes = _t(spark, sf_dir, "fx_footprint").withColumns({"collection": F.when(F.col("scene_id") % 5 == 0, "other").otherwise("s2"), "cloud_cover": cloud, "dt": day.cast("timestamp")})
+    scene_table.write_scenes(scenes, path, tile=45.0)
+    table = scene_table.read_scenes(spark, path, scenes.schema)
+    return scene_table.search_table(wide_aois(spark, sf_dir), table, "s2", AS_OF, 45.0).select("aoi_id", "scene_id")
+
+
 def place_search(spark, sf_dir):
     """Each place's second word, cut to four letters, asks for places; queries that are too short find nothing."""
     places = _t(spark, sf_dir, "fx_place")
@@ -378,6 +435,46 @@ def _requests_of(spark, sf_dir):
     return events.select(F.col("event_id").alias("request_id"), "ts", (F.col("user_id") % 25).cast("int").alias("aoi_id"), twice.alias("n")).drop("n")
 
 
+def live_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as a stream, each with the text of its area; areas that no batch has met are built on the way."""
+    path = f"{sf_dir}/events.parquet"
+    folder = f"{staging.shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    texts = staging.stage(_requests(spark, sf_dir).where(F.col("variant") == F.col("aoi_id") % 2).select(F.col("aoi_id").cast("long").alias("aoi_id"), "geojson"))
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    twice = F.explode(F.array(F.lit(0), F.lit(1)))
+    asked = events.select(F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("ts"), (F.col("user_id") % 25).cast("long").alias("aoi_id"), twice.alias("n")).drop("n").join(texts, "aoi_id", "left")
+    dem = staging.stage(_t(spark, sf_dir, "fx_dem"))
+
+    def terrain(areas: DataFrame) -> DataFrame:
+        return zonal.classify_terrain(zonal.elevation_stats(areas, clip.clip(dem, areas), NODATA)).select("aoi_id", "terrain_type")
+
+    live.start_answers(asked, terrain, f"{folder}/store", f"{folder}/out", f"{folder}/state", "aoi_id long, terrain_type string").awaitTermination()
+    return spark.read.schema("request_id long, aoi_id long, terrain_type string").parquet(f"{folder}/out").select("request_id", F.col("aoi_id").cast("int").alias("aoi_id"), "terrain_type")
+
+
+def live_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last change of each session's box, from a stream whose state is freed after 30 days without a change."""
+    path = f"{sf_dir}/events.parquet"
+    folder = f"{staging.shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")
+    action = F.when(F.col("event_type") == "view", "created").when(F.col("event_type") == "click", "edited").when(F.col("event_type") == "error", "deleted")
+    south, west = -1.50 + F.floor("value") % 37 * 0.01, 36.60 + F.floor("value") % 40 * 0.01
+    drawn = events.select(F.col("user_id").cast("long").alias("session_id"), action.alias("action"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").cast("long").alias("event_id"), south.alias("south"), west.alias("west"))
+    drawn = drawn.withColumns({"north": F.col("south") + 0.03, "east": F.col("west") + 0.03})
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, live.ROCKSDB)
+    try:
+        shapes = live.latest_shape_with_ttl(drawn, 30 * 24 * 3600)
+        put = lambda df, i: df.write.mode("overwrite").parquet(f"{folder}/out/batch={i}")
+        shapes.writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    changes = spark.read.schema(f"{live.SHAPE}, batch int").parquet(f"{folder}/out").where(~F.col("expired"))
+    last = changes.groupBy("session_id").agg(F.max_by(F.struct(*streams.BOX, "is_empty"), F.struct("ts", "event_id")).alias("last"))
+    return last.select("session_id", "last.*").withColumns(_rounded(streams.BOX))
+
+
 def stream_debounce(spark: SparkSession, sf_dir: str) -> DataFrame:
     """debounce by Structured Streaming over the events file; what the stream has fired once it has read everything.
 
