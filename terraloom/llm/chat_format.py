@@ -93,8 +93,10 @@ def _state(roles: Column, template: Template) -> Column:
 def format_chats(turns: DataFrame, template: Template | None = None) -> DataFrame:
     """One row per conv_id: conv_id, valid, segments (array of text and loss), formatted."""
     template = template or Template()
-    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), escape(F.coalesce("text", F.lit("")), template).alias("text"))
-    ordered = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    clean = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    # Equal turns go by their text as it is; it is escaped only then, which could change the order.
+    raw = clean.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    ordered = raw.withColumn("turns", F.transform("turns", lambda t: t.withField("text", escape(t["text"], template))))
     return ordered.select(
         "conv_id",
         _state(F.transform("turns", lambda t: t["role"]), template).isin(*template.accepting).alias("valid"),

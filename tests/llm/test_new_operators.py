@@ -267,3 +267,17 @@ def test_the_sample_is_bounded_and_whole_where_few(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.when(F.col("id") < 5, "aa").otherwise("bb").alias("lang"))
     n = {r["lang"]: r["count"] for r in language_id._sampled(docs, 100).groupBy("lang").count().collect()}
     assert n == {"aa": 5, "bb": 100}
+
+
+# Chat formatting: equal turns
+
+
+def test_equal_turns_go_by_their_text_before_it_is_escaped(spark, tmp_path):
+    """Escaping puts a backslash into `<s>`, which would move it behind `<a`; null turns, roles and texts take part."""
+    rows = [(1, 0, "user", "<s>"), (1, 0, "user", "<a"), (1, 0, "user", "[INST]"), (1, 0, "user", "[A"), (1, 1, "assistant", "<s>"), (1, 1, "assistant", "<"), (2, None, None, None), (2, 0, "user", "\\"), (2, 0, "user", "[")]
+    rows += [(3, 0, "user", "x" * 200_000), (3, 1, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = registry.op6_chat_format(spark, str(tmp_path))
+    want = duckdb.execute(registry.OP6_SQL.replace("from conversations", f"from '{tmp_path}/conversations.parquet/*.parquet'"))
+    columns = [c[0] for c in want.description]
+    assert sorted(tuple(r) for r in found.select(*columns).collect()) == sorted(want.fetchall())
