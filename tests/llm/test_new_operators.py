@@ -274,7 +274,7 @@ def test_the_sample_is_bounded_and_whole_where_few(spark):
 
 def test_equal_turns_go_by_their_text_before_it_is_escaped(spark, tmp_path):
     """Escaping puts a backslash into `<s>`, which would move it behind `<a`; null turns and texts take part."""
-    rows = [(1, 0, "user", "<s>"), (1, 0, "user", "<a"), (1, 0, "user", "[INST]"), (1, 0, "user", "[A"), (1, 1, "assistant", "<s>"), (1, 1, "assistant", "<"), (2, None, None, None), (2, 0, "user", "\\"), (2, 0, "user", "[")]
+    rows = [(1, 0, "user", "<s>"), (1, 0, "user", "<a"), (1, 0, "user", "[INST]"), (1, 0, "user", "[A"), (1, 1, "assistant", "<s>"), (1, 1, "assistant", "<"), (2, None, "user", None), (2, 0, "user", "\\"), (2, 0, "user", "[")]
     rows += [(3, 0, "user", "x" * 200_000), (3, 1, "assistant", "")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     found = registry.op6_chat_format(spark, str(tmp_path))
