@@ -6,7 +6,9 @@ fingerprint that both keep, so no shared span of 10 words can be missed. Fingerp
 extended word by word to both sides and counts if the equal words are 10 or more. Items of fewer words are one
 window each; their hash is looked for among all runs of that length, for the few lengths that occur.
 
-The benchmark side is broadcast only if its counted fingerprints are within a bound, and else joined by a shuffle.
+Equal surroundings of a fingerprint are compared once, however many places, documents and items have them, so texts that repeat a
+few words take no longer than others. The benchmark side is broadcast only if its counted fingerprints are within a bound, and
+else joined by a shuffle.
 
 Null and empty texts have no words. Items without words match nothing. Repeated rows are judged each; rows that are
 equal in id and text get equal results. An empty documents table gives an empty result, an empty benchmark
@@ -100,7 +102,7 @@ def _equal_start(a: Column, b: Column) -> Column:
 
 
 def item_anchors(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> tuple[DataFrame, list[int]]:
-    """item_id, hash, before, after, need of every item's fingerprints; and the lengths of the short items."""
+    """hash, before, after, need of every item's fingerprints, each with the ids (as strings) of the items that have it; and the lengths of the short items."""
     items = cut(benchmark.select(F.col(id_col).alias("item_id"), words(F.col(text_col)).alias("words")).where(F.size("words") > 0))
     size = F.size("words")
     short = sorted(r["n"] for r in items.where(size < SPAN).select(size.alias("n")).distinct().collect())  # 9 at most
@@ -121,7 +123,8 @@ def item_anchors(benchmark: DataFrame, id_col: str = "item_id", text_col: str =
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return cut(out.drop("at")), short
+    same = out.groupBy("hash", "before", "after", "need").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    return cut(same), short
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text_hash: bool = False) -> DataFrame:
@@ -141,15 +144,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     )
     anchored = rows.where(F.col("anchors").isNotNull()).dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", F.inline("anchors"))
     theirs = small_side(anchors, n_wanted if n_wanted == 0 else anchors.count()).withColumnsRenamed({"before": "item_before", "after": "item_after"})
-    extended = anchored.join(theirs, "hash").select(
-        "doc_id", "text_hash", "item_id", "need", "at", _equal_start(F.col("before"), F.col("item_before")).alias("left"), _equal_start(F.col("after"), F.col("item_after")).alias("right")
-    )
-    found = extended.where(F.col("left") + F.col("right") >= F.col("need"))
-    spans = found.select("doc_id", "text_hash", "item_id", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right") - 1).alias("last"))
-    spans = cut(spans.distinct())
+    # All matches of a surrounding hold its place, so together they cover from the farthest left to the farthest right.
+    around = ["hash", "before", "after"]
+    met = anchored.select(*around).distinct().join(theirs, "hash")
+    met = met.withColumns({"left": _equal_start(F.col("before"), F.col("item_before")), "right": _equal_start(F.col("after"), F.col("item_after"))})
+    met = met.where(F.col("left") + F.col("right") >= F.col("need"))
+    met = cut(met.groupBy(*around).agg(F.max("left").alias("left"), F.max("right").alias("right"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items")))
+    spans = anchored.join(small_side(met, met.count()), around)
+    spans = cut(spans.select("doc_id", "text_hash", "items", (F.col("at") - F.col("left")).alias("first"), (F.col("at") + F.col("right") - 1).alias("last")))
     covered = spans.select("doc_id", "text_hash", "first", "last").distinct().select("doc_id", "text_hash", F.explode(F.sequence("first", "last")).alias("place"))
     n_hit = covered.distinct().groupBy("doc_id", "text_hash").agg(F.count("*").alias("n_hit"))
-    items = spans.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    named = spans.select("doc_id", "text_hash", "items").distinct().select("doc_id", "text_hash", F.explode("items").alias("item"))
+    items = named.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
     result = n_hit.join(items, n_hit["doc_id"].eqNullSafe(items["doc_id"]) & (n_hit["text_hash"] == items["text_hash"])).select(
         n_hit["doc_id"].alias("hit_id"), n_hit["text_hash"].alias("hit_hash"), "n_hit", "items"
     )
