@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terraloom.llm.common import BROADCAST_ROWS, cut, keep_rows, text_key
+from terraloom.llm.common import BROADCAST_ROWS, cut, cut_table, keep_rows, text_key
 
 #: Bits that each row gets in the array, and how many of them its hash sets.
 BITS_PER_ROW, HASHES = 16, 3
@@ -26,6 +26,8 @@ BITS_PER_ROW, HASHES = 16, 3
 SEGMENT_BITS = 1 << 16
 #: An array is for at most so many rows (32 MB of bits); more rows take several arrays, one after another.
 SLICE_ROWS = 1 << 24
+#: Tasks for each slice that write the hashes into the slices' folders.
+WRITERS = 8
 
 
 def text_digest(text: Column) -> Column:
@@ -82,16 +84,20 @@ def possibly_repeated(hashed: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFr
     """hashed (with a long h) plus the boolean repeated: false only for hashes that occur once.
 
     The hashes are taken in slices of about slice_rows, one array after another, so that no array outgrows its bound and
-    none fills up, however many rows there are.
+    none fills up, however many rows there are. With several slices the hashes are written once, a folder a slice, and
+    each slice reads its own folder only.
     """
     spark = hashed.sparkSession
     rows = hashed.count()
     slices = max(1, -(-rows // slice_rows))
     segments = int(max(1, -(-rows * BITS_PER_ROW // (slices * SEGMENT_BITS))))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in hashed.schema) + ", repeated boolean"
+    if slices > 1:
+        writers = max(spark.sparkContext.defaultParallelism, WRITERS * slices)  # so that folders don't fill up with small files
+        sliced = cut_table(hashed.withColumn("slice", F.pmod(F.xxhash64("h"), F.lit(slices)).cast("int")).coalesce(writers), "slice")
     out = None
     for i in range(slices):
-        own = hashed if slices == 1 else hashed.where(F.pmod(F.xxhash64("h"), F.lit(slices)) == i)
+        own = hashed if slices == 1 else sliced.where(F.col("slice") == i).drop("slice")
         seen = own.select("h").mapInPandas(_seen(segments), "segment long, once binary, twice binary")
         merged = seen.groupBy("segment").applyInPandas(_merged, "segment long, bits binary")
         array = np.zeros(segments * SEGMENT_BITS // 8, np.uint8)
