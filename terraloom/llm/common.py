@@ -112,7 +112,7 @@ def text_slices(texts: pd.Series, chars: int = 1 << 19) -> Iterator[pd.Series]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: Callable[[Column], Column], id_col: str, text_col: str, max_rows: int) -> tuple[DataFrame, dict[int, int]]:
-    """A bounded sample for fitting (text, label) in one partition: of each class the rows with the smallest hashes of their ids. Texts are whole.
+    """A bounded sample for fitting (text, label) in one partition: of each class the ids with the smallest hashes, and of rows of equal id the least text. Texts are whole.
 
     Also how many labelled rows each class has in all.
     """
@@ -122,7 +122,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: Callable[
     parts = [known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows) for value in (0, 1)]
     picked = F.broadcast(parts[0].unionByName(parts[1]))  # 2 x max_rows rows at most
     rows = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).where(F.col("label").isin(0, 1)).collect()}
-    return text.join(picked, "doc_id").orderBy("doc_id", "text").limit(2 * max_rows), rows
+    one = text.join(picked, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    return one.orderBy("doc_id").limit(2 * max_rows), rows  # the limit holds for all ids and brings them into one partition
 
 
 def fitted(sample: DataFrame, fit: Callable[[list[str], list[int]], dict | None]) -> dict | None:

@@ -8,7 +8,7 @@ sum over their common subsequences of the product of the weights. An instance is
 that start in WINDOWS places in a row, divided by the root of the sum of their squared weights, so that gapped spellings
 weigh as plain ones do. A sentence's value is the highest of its stretches.
 
-Landmarks are runs of one or two words of the training sentences, those that are likelier in toxic documents and usual ones
+Landmarks are runs of one or two words of the training sentences (of longer runs the first MARK characters), those that are likelier in toxic documents and usual ones
 of the others. A stretch's features are its kernel values with them, whitened by the landmarks' own kernel matrix. The
 machine is trained on labelled sentences: a toxic document holds at least one toxic sentence and a clean one holds none;
 the witness of a toxic document is chosen anew in each round as its highest stretch, and the highest stretches of clean
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import partial
@@ -54,9 +55,6 @@ LANDMARKS, MARK, ROUNDS, WITNESSES = 192, 24, 3, 3
 RIDGE = 1e-3
 #: How much more a missed toxic document counts than a false alarm, in the logistic fit.
 MISSED = 1.5
-RIDGE = 1e-3
-#: How much more a missed toxic document counts than a false alarm, in the logistic fit.
-MISSED = 1.5
 #: Stretches of clean documents in the fit: chosen at random, and added in each round.
 RANDOM_STRETCHES, HARD_STRETCHES = 3000, 1000
 #: Places looked up at a time, so that what is in use stays in a core's cache.
@@ -266,6 +264,10 @@ def _runs(text: str) -> set[str]:
     return {" ".join(words[i : i + n])[:MARK] for n in (1, 2) for i in range(len(words) - n + 1)}
 
 
+def _slot(run: str, slots: int) -> int:
+    return zlib.crc32(run.encode("utf-8", "surrogatepass")) % slots
+
+
 def _landmarks(texts: list[str], y: np.ndarray, count: int, rng: np.random.Generator) -> tuple[list[str], list[float], list[int]]:
     """Runs of words, by how much likelier each is in toxic documents, and in how many it is: the likeliest, and usual words of the others."""
     toxic, clean = [t for t, label in zip(texts, y, strict=True) if label], [t for t, label in zip(texts, y, strict=True) if not label]
@@ -275,17 +277,15 @@ def _landmarks(texts: list[str], y: np.ndarray, count: int, rng: np.random.Gener
         for text in toxic:
             runs = _runs(text)
             if count_them:
-                hot.update(r for r in runs if len(r) > 2 and seen[hash(r) % len(seen)] >= min(2, len(toxic) // 5))
+                hot.update(r for r in runs if len(r) > 2 and seen[_slot(r, len(seen))] >= min(2, len(toxic) // 5))
             else:
-                places = np.unique(np.array([hash(r) % len(seen) for r in runs], np.int64))
+                places = np.unique(np.array([_slot(r, len(seen)) for r in runs], np.int64))
                 seen[places] = np.minimum(seen[places], 254) + 1
     cold, words = Counter(), Counter()
     for text in clean:
         own = _runs(text)
         cold.update(r for r in own if r in hot)
         words.update(r for r in own if " " not in r and len(r) > 2)
-        if len(words) > 200_000:
-            words = Counter(dict(words.most_common(50_000)))
     lift = {r: np.log((n + 0.1) / (len(toxic) + 1)) - np.log((cold[r] + 0.5) / (len(clean) + 1)) + 0.5 * min(0, np.log(n / 5)) for r, n in hot.items()}
     best = sorted(lift, key=lambda r: (-lift[r] * np.log1p(hot[r]), len(r), r))[: count // 2]
     common = sorted(words, key=lambda w: (-words[w], w))
