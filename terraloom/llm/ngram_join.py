@@ -11,8 +11,9 @@ set near enough in size and place are left out, in the shuffle that brings the l
    blocks by set size and by the member's position; pairs of blocks are skipped when the sizes or the positions
    leave too few members to share, or when all their sets are connected.
 3. *Derived answers.* Of two sets whose leader is the same, what each shares with the leader bounds what they share with each
-   other from both sides, as a set differs from a highly similar one in few members. Where the bounds settle whether the pair
-   links, that is the answer; only the other pairs that aren't connected yet are compared.
+   other from both sides. Where the bounds don't settle whether the pair links, its answer is made from the leader's: the leader's
+   size, less the members that either set lacks, plus those that both have besides. A set that shares half of the larger one's members
+   or more carries these differences, once made, in place of its text. Only pairs without a common leader are compared as texts.
 
 These steps are the same at all sizes. Comparisons are exact on whole sets of 64-bit hashes of the n-grams (within a pair of sets of
 1000 members two n-grams fall together with a chance of 1e-13); sets are equal if their 128-bit digests are. No list, candidate or
@@ -53,6 +54,8 @@ LEADERS, FIRST_LISTS = 3, 12
 LIST_PART = 10_000
 #: Sets that a worker keeps while it compares pairs.
 KEPT_SETS = 4096
+#: What is known of a compared pair.
+ANSWER = ["a", "b", "n_a", "n_b", "shared", "only_a", "only_b"]
 
 
 class _WordHashes(dict):
@@ -157,7 +160,10 @@ def _crowded_buckets(often: np.ndarray, part: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _listed(n: int, percent: int, order, part: int):
-    """An entry for each prefix member of each distinct set of a task."""
+    """An entry for each prefix member of each distinct set of a task.
+
+    As most entries end in the shuffle, they are narrow: part holds the number of parts and the part, size the set's size and the place, 32 bits each.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, often, seen = Hasher(n), order.value, set()
@@ -173,24 +179,26 @@ def _listed(n: int, percent: int, order, part: int):
                     if len(crowded):
                         at = np.minimum(np.searchsorted(crowded, bucket[first]), len(crowded) - 1)
                         of = np.where(crowded[at] == bucket[first], times[at], 1)
-                    out.append((members[first].view(np.int64), of, key[0] * 256 % of, [key] * p, np.full(p, len(members)), np.arange(p)))
+                    out.append((members[first].view(np.int64), of << 32 | key[0] * 256 % of, [key] * p, len(members) << 32 | np.arange(p)))
             if out:
-                columns = dict(zip(("member", "parts", "part", "set_id", "n", "place"), zip(*out, strict=True), strict=True))
+                columns = dict(zip(("member", "part", "set_id", "size"), zip(*out, strict=True), strict=True))
                 yield pd.DataFrame({c: list(chain.from_iterable(v)) if c == "set_id" else np.concatenate(v) for c, v in columns.items()})
 
     return run
 
 
-def _shared(a: np.ndarray, b: np.ndarray) -> int:
-    """How many members two sorted sets share."""
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which members of a sorted set another has."""
     if not len(a) or not len(b):
-        return 0
-    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-    return int((b[at] == a).sum())
+        return np.zeros(len(a), bool)
+    return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
-def _compared(n: int):
-    """How many members the sets of each pair share. Sets are kept up to a bound, as many pairs share one."""
+def _compared(n: int, differences: bool):
+    """How many members the sets of each pair share, and on demand what only a and only b has, where they share half of the larger one or more.
+
+    Sets are kept up to a bound, as many pairs share one.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sets, kept, size = Hasher(n), {}, 0
@@ -205,14 +213,19 @@ def _compared(n: int):
                         (kept[key],) = sets([text])
                         size += len(kept[key])
                     both.append(kept[key])
-                out.append((row.a, row.b, len(both[0]), len(both[1]), _shared(*both)))
-            yield pd.DataFrame(out, columns=["a", "b", "n_a", "n_b", "shared"])
+                common = _common(*both)
+                shared = int(common.sum())
+                only = [None, None]
+                if differences and 2 * shared >= max(map(len, both)):
+                    only = [both[0][~common].view(np.int64), both[1][~_common(*both[::-1])].view(np.int64)]
+                out.append((row.a, row.b, len(both[0]), len(both[1]), shared, *only))
+            yield pd.DataFrame(out, columns=ANSWER)
 
     return run
 
 
-def _answers(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """a, b, n_a, n_b, shared of the pairs; nodes tells which document stands for a set, and each pair brings two texts together."""
+def _answers(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, differences: bool = False) -> DataFrame:
+    """a, b, n_a, n_b, shared, only_a, only_b of the pairs; nodes tells which document stands for a set, and each pair brings two texts together."""
     wanted = pairs.select(F.col("a").alias("set_id")).unionByName(pairs.select(F.col("b").alias("set_id"))).distinct()
     wanted = cut(nodes.join(wanted, "set_id", "left_semi").withColumnsRenamed({"doc_id": "want_id", "text_hash": "want_hash"}))
     found = docs.join(small_side(wanted, wanted.count()), F.col("doc_id").eqNullSafe(F.col("want_id")) & (F.col("text_hash") == F.col("want_hash")))
@@ -220,7 +233,7 @@ def _answers(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> Dat
     ours = texts.select(F.col("set_id").alias("a"), F.col("text").alias("text_a"))
     theirs = texts.select(F.col("set_id").alias("b"), F.col("text").alias("text_b"))
     joined = pairs.join(ours, "a").join(theirs, "b").select("a", "b", "text_a", "text_b")
-    return cut(joined.mapInPandas(_compared(n), "a binary, b binary, n_a long, n_b long, shared long"))
+    return cut_table(joined.mapInPandas(_compared(n, differences), "a binary, b binary, n_a long, n_b long, shared long, only_a array<long>, only_b array<long>"))
 
 
 def _links(shared: Column, n_a: Column, n_b: Column, percent: int) -> Column:
@@ -239,22 +252,25 @@ def _with_partners(entries: DataFrame, percent: int) -> DataFrame:
     In a list ordered by size the three entries on each side tell: two by size and place, and whether sizes beyond the
     third are still near enough. A list that is counted in several parts is kept as it is.
     """
-    order = Window.partitionBy("member", "part").orderBy("n", "set_id")
+    order = Window.partitionBy("member", "part").orderBy("size", "set_id")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n_of, place_of = (lambda size: F.shiftright(size, 32)), (lambda size: size.bitwiseAND(F.lit(2**32 - 1)))
     # Column by column: a struct of them would be made before the shuffle and go through it.
     at = lambda c, k: F.lag(c, k).over(order) if k > 0 else F.lead(c, -k).over(order)
-    beside = {f"{c}_at{k}": at(c, k) for k in (1, 2, 3, -1, -2, -3) for c in ("set_id", "n", "place")}
-    seen = entries.withColumns({**beside, "c": F.count("*").over(whole) * F.col("parts"), "lo": F.min("set_id").over(whole), "hi": F.max("set_id").over(whole)})
+    beside = {f"{c}_at{k}": at(c, k) for k in (1, 2, 3, -1, -2, -3) for c in ("set_id", "size")}
+    seen = entries.withColumns({**beside, "times": F.count("*").over(whole), "lo": F.min("set_id").over(whole), "hi": F.max("set_id").over(whole)})
+    parts, n, place = F.shiftright("part", 32), n_of(F.col("size")), place_of(F.col("size"))
 
     def can_link(k: int) -> Column:
-        set_id, n, place = (F.col(f"{c}_at{k}") for c in ("set_id", "n", "place"))
-        near = 100 * F.least(F.col("n"), n) >= percent * F.greatest(F.col("n"), n)
-        return n.isNotNull() & (near if abs(k) == 3 else _reachable(F.col("n"), F.col("place"), n, place, percent) & (set_id != F.col("set_id")))
+        set_id, size = F.col(f"set_id_at{k}"), F.col(f"size_at{k}")
+        near = 100 * F.least(n, n_of(size)) >= percent * F.greatest(n, n_of(size))
+        return size.isNotNull() & (near if abs(k) == 3 else _reachable(n, place, n_of(size), place_of(size), percent) & (set_id != F.col("set_id")))
 
     some = can_link(1)
     for k in (2, 3, -1, -2, -3):
         some = some | can_link(k)
-    kept = seen.where((F.col("parts") > 1) | ((F.col("lo") != F.col("hi")) & some))
+    kept = seen.where((parts > 1) | ((F.col("lo") != F.col("hi")) & some))
+    kept = kept.select("set_id", "member", n.alias("n"), place.alias("place"), (F.col("times") * parts).alias("c"))
     return kept.groupBy("set_id").agg(F.first("n").alias("n"), F.collect_set(F.struct("place", "member", "c")).alias("entries"))
 
 
@@ -274,17 +290,21 @@ def _leader_pairs(held: DataFrame, percent: int) -> DataFrame:
 
 
 def _nearest(answers: DataFrame) -> DataFrame:
-    """Of each set that was compared, the set that it shares most with (itself, for a leader of others): set_id, near, near_n, near_shared."""
-    sides = [answers.select(F.col(x).alias("set_id"), F.col(y).alias("near"), F.col(f"n_{x}").alias("own_n"), F.col(f"n_{y}").alias("near_n"), "shared") for x, y in ("ab", "ba")]
+    """Of each set that was compared, the set that it shares most with (itself, for a leader of others): set_id, near, near_n, near_shared, and the members
+    that it lacks of near's and those that it has besides (null if they differ in too many)."""
+    of = lambda x, y: F.struct(F.col(y).alias("near"), F.col(f"n_{y}").alias("near_n"), "shared", F.col(f"only_{y}").alias("lacks"), F.col(f"only_{x}").alias("besides"))
+    sides = [answers.select(F.col(x).alias("set_id"), F.col(f"n_{x}").alias("own_n"), of(x, y).alias("answer")) for x, y in ("ab", "ba")]
     both = sides[0].unionByName(sides[1])
     # A set that several others were compared with answers for itself.
-    best = both.groupBy("set_id").agg(F.max_by(F.struct("near", "near_n", "shared"), F.struct("shared", "near")).alias("best"), F.count("*").alias("times"), F.max("own_n").alias("own_n"))
-    own = F.col("times") > LEADERS
+    best = both.groupBy("set_id").agg(F.max_by("answer", F.struct("answer.shared", "answer.near")).alias("best"), F.count("*").alias("times"), F.max("own_n").alias("own_n"))
+    own, none = F.col("times") > LEADERS, F.array().cast("array<long>")
     return best.select(
         "set_id",
         F.when(own, F.col("set_id")).otherwise(F.col("best.near")).alias("near"),
         F.when(own, F.col("own_n")).otherwise(F.col("best.near_n")).alias("near_n"),
         F.when(own, F.col("own_n")).otherwise(F.col("best.shared")).alias("near_shared"),
+        F.when(own, none).otherwise(F.col("best.lacks")).alias("lacks"),
+        F.when(own, none).otherwise(F.col("best.besides")).alias("besides"),
     )
 
 
@@ -313,14 +333,23 @@ def _open_pairs(held: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
 
 def _derived(pairs: DataFrame, nearest: DataFrame, percent: int) -> DataFrame:
     """pairs plus the boolean derived: whether they link where the answers of the set that is nearest to both tell it, else null."""
-    side = lambda s: nearest.select(F.col("set_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in ("near", "near_n", "near_shared")))
-    both = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    side = lambda s, *names: nearest.select(F.col("set_id").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in names))
+    numbers = ("near", "near_n", "near_shared")
+    both = pairs.join(side("a", *numbers), "a", "left").join(side("b", *numbers), "b", "left")
     same = F.coalesce(F.col("near_a") == F.col("near_b"), F.lit(False))
     # Of what both share with the nearest set at least the overlap is common; beyond it, at most what each has besides.
     less = F.col("near_shared_a") + F.col("near_shared_b") - F.col("near_n_a")
     more = F.least("near_shared_a", "near_shared_b") + F.least(F.col("n_a") - F.col("near_shared_a"), F.col("n_b") - F.col("near_shared_b"))
-    links = same & _links(less, F.col("n_a"), F.col("n_b"), percent)
-    return both.withColumn("derived", F.when(links, True).when(same & ~_links(more, F.col("n_a"), F.col("n_b"), percent), False)).select("a", "b", "derived")
+    links = lambda shared: _links(shared, F.col("n_a"), F.col("n_b"), percent)
+    bounded = both.withColumns({"same": same, "derived": F.when(same & links(less), True).when(same & ~links(more), False)})
+    bounded = cut_table(bounded.select("a", "b", "n_a", "n_b", F.col("near_n_a").alias("near_n"), "same", "derived"))
+    # What the bounds leave open is told exactly by the differences from the nearest set.
+    tight = bounded.where(F.col("same") & F.col("derived").isNull()).join(side("a", "lacks", "besides"), "a").join(side("b", "lacks", "besides"), "b")
+    shared = F.col("near_n") - F.size(F.array_union("lacks_a", "lacks_b")) + F.size(F.array_intersect("besides_a", "besides_b"))
+    known = F.col("lacks_a").isNotNull() & F.col("lacks_b").isNotNull()
+    tight = tight.select("a", "b", F.when(known, links(shared)).alias("derived"))
+    rest = bounded.where(~F.col("same") | F.col("derived").isNotNull())
+    return rest.select("a", "b", "derived").unionByName(tight)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, percent: int = PERCENT, list_part: int = LIST_PART) -> DataFrame:
@@ -340,16 +369,16 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = members.where(F.col("n") > 0).groupBy("set_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("one")).select("set_id", "one.doc_id", "one.text_hash")
     nodes = cut(nodes)
 
-    entry = "member long, parts long, part long, set_id binary, n long, place long"
+    entry = "member long, part long, set_id binary, size long"
     entries = rows.select("text").mapInPandas(_listed(n, percent, spark.sparkContext.broadcast(often), list_part), entry)
     held = cut_table(_with_partners(entries, percent))
 
-    answers = _answers(cut(_leader_pairs(held, percent)), nodes, rows, n)
+    answers = _answers(cut(_leader_pairs(held, percent)), nodes, rows, n, differences=True)
     found = answers.where(_links(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     roots = cut(components(found)).withColumnsRenamed({"node": "set_id"})
 
     open_pairs = cut(_open_pairs(held, roots, percent).join(answers.select("a", "b"), ["a", "b"], "left_anti"))
-    open_pairs = cut(_derived(open_pairs, _nearest(answers), percent))
+    open_pairs = cut(_derived(open_pairs, cut_table(_nearest(answers)), percent))
     more = _answers(open_pairs.where(F.col("derived").isNull()).select("a", "b"), nodes, rows, n)
     more = more.where(_links(F.col("shared"), F.col("n_a"), F.col("n_b"), percent)).select("a", "b")
     links = found.unionByName(more).unionByName(open_pairs.where("derived").select("a", "b"))
