@@ -1,11 +1,13 @@
 """Tables that are kept: contexts, scenes, states; and nearest pixels."""
 
+from types import SimpleNamespace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from terraloom.operators import catalog, rollup
-from terraloom.sources import context_store, rasters, scene_table
+from terraloom.sources import context_store, rasters, scene_table, staging
 
 
 def test_writing_an_area_again_replaces_its_record_only(spark, tmp_path):
@@ -81,3 +83,11 @@ def test_nearest_equals_brute_force(spark, bucket):
     for t in targets.collect():
         far = np.hypot(points[:, 0] - t["x"], points[:, 1] - t["y"])
         assert found[t["row"], t["col"]] == (int(far.argmin()) * 10 if far.min() <= 0.25 else None)
+
+
+def test_a_cluster_has_to_name_the_shared_folder():
+    context = SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None)
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.shared_folder(SimpleNamespace(conf={}, sparkContext=context))
+    context.getCheckpointDir = lambda: "hdfs://store/checkpoints/"
+    assert staging.shared_folder(SimpleNamespace(conf={}, sparkContext=context)) == "hdfs://store/checkpoints"
