@@ -7,12 +7,10 @@ filters (they are one group of copies) and pack as the closing id alone; an empt
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from terraloom.llm import best_fit_packing, decontamination, exact_dedup, ngram_join, toxicity
-from terraloom.llm.common import crc32_fold, shared_folder, table
+from terraloom.llm.common import crc32_fold, cut_table, table
 
 #: Documents that score this or more are rejected, as op3 predicts.
 TOXIC = 0.3
@@ -52,12 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from documents; each result but the last is written to the shared folder."""
+    """All stages, from documents; each result but the last is written to the shared folder, from which it goes when the driver ends."""
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut_table(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

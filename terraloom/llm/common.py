@@ -5,7 +5,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraloom.sources.staging import shared_folder
+
 #: A side of a join is broadcast only after its rows were counted and found to be at most this many.
 BROADCAST_ROWS = 200_000
 
@@ -24,15 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one is set where it is unset, as in a local test."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        folder = spark.sparkContext.getCheckpointDir()
-    return folder.rstrip("/")
-
-
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Rows go to Python in Arrow batches of few rows, as texts can be long; a setting other than Spark's default is kept."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
