@@ -2,7 +2,7 @@
 
 Reading gives a row for each feature of each file of a folder (path, feature_no, geojson, error), a task for each file. A file that
 can't be read or parsed, or holds neither a feature nor a collection, gives one row with an error. A file is read twice, piece by piece:
-to see that it is whole, then for its features. No more than a piece and one feature is held, however large the file is.
+to see that it is whole, then for its features. A task holds a piece and one value (a feature, a member that is no list), not the file.
 
 Writing takes a column geojson (features as text; nulls are left out) and writes collections, one for each task and each value of the
 column that the option "by" names, in a folder for each value; a task begins another file after FILE_BYTES. Files are written aside and moved when all tasks have ended; a failed
